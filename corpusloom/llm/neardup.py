@@ -35,7 +35,7 @@ from .words import bags, mix
 
 CELL_BITS = 20
 #: A token in at most so many texts is rare: matching on it alone is cheap.
-RARE = 200
+RARE = 100
 #: Expected texts of a pair key above which its rows are salted.
 HOT = 20_000
 
@@ -154,16 +154,13 @@ def _keyed(df_cells, total: int, threshold: float):
     return run
 
 
-def _tokens_of(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, tokens, bag, n, _ = _grouped_bags(batch)
-            has = np.flatnonzero(n > 0)
-            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(bag.view(np.int64)[has]), arrays.take(pa.array(has))], names=["bag", "tokens"])
-
-    return run
+def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, tokens, bag, n, _ = _grouped_bags(batch)
+        has = pa.array(np.flatnonzero(n > 0))
+        offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(has), pa.array(bag.view(np.int64)).take(has), arrays.take(has)], names=["id", "bag", "tokens"])
 
 
 def near_duplicates(texts: DataFrame, id_col: str, text: Column | str, group: Column | str | None = None, threshold: float = 0.85) -> NearDuplicates:
@@ -190,21 +187,22 @@ def near_duplicates(texts: DataFrame, id_col: str, text: Column | str, group: Co
         .groupBy("key", "bag", "role")
         .agg(*(F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")))
     )
-    a, b = keys.where("role <> 2").alias("a"), keys.where("role <> 1").alias("b")
+    # one exchange serves both sides; the sides are told apart in the join, as a filter on one of them would be pushed below it
+    a, b = keys.alias("a"), keys.alias("b")
+    sides = (F.col("a.role") * 4 + F.col("b.role")).isin(0, 6)
     larger = F.greatest("a.n", "b.n")
     apart = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(4)), F.lit(0))
     need = F.ceil(larger * threshold - 1e-9)
     close = (F.least("a.n", "b.n") >= need) & (apart <= F.col("a.n") + F.col("b.n") - 2 * need)
-    # a salted text is on either side; one that is on both is met once
-    candidates = persist_table(a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.bag") < F.col("b.bag")) & close).select(F.col("a.bag").alias("bag_a"), F.col("b.bag").alias("bag_b")).distinct())
+    candidates = persist_table(a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.bag") < F.col("b.bag")) & close & sides).select(F.col("a.bag").alias("bag_a"), F.col("b.bag").alias("bag_b")).distinct())
 
     wanted = candidates.select(F.explode(F.array("bag_a", "bag_b")).alias("bag")).distinct()
     ids = members.groupBy("bag").agg(F.min("id").alias("id"), F.min("grp").alias("grp")).join(wanted, "bag", "left_semi")
     # the words of the candidates: a bounded set of id cells goes to every task, the exact join follows
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 18)).cast("int")
     near = F.broadcast(ids.select(cell("id").alias("cell")).distinct())
-    tokens = source.withColumn("cell", cell("id")).join(near, "cell", "left_semi").select("id", "grp", "text").mapInArrow(_tokens_of(threshold), "bag long, tokens array<long>")
-    tokens = tokens.join(wanted, "bag", "left_semi").groupBy("bag").agg(F.first("tokens").alias("tokens"))
+    tokens = source.withColumn("cell", cell("id")).join(near, "cell", "left_semi").select("id", "grp", "text").mapInArrow(_tokens_of, "id long, bag long, tokens array<long>")
+    tokens = persist_table(tokens.join(ids.select("bag", "id"), ["bag", "id"], "left_semi").dropDuplicates(["bag"]).select("bag", "tokens"))
     ta, tb = tokens.select(F.col("bag").alias("bag_a"), F.col("tokens").alias("ta")), tokens.select(F.col("bag").alias("bag_b"), F.col("tokens").alias("tb"))
     shared = F.size(F.array_intersect("ta", "tb"))
     links = (

@@ -121,41 +121,51 @@ def common_sequence(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
-def passage(doc: np.ndarray, item: np.ndarray, k: int = K) -> tuple[float, float]:
+class Words:
+    """A text's word hashes with its grams, made once for all partners."""
+
+    def __init__(self, hashes) -> None:
+        h = np.asarray(hashes, np.int64)
+        self.words = h.tolist()
+        self.grams = grams(h.view(np.uint64), np.zeros(len(h), np.int64))[0]
+        self.order = np.argsort(self.grams, kind="stable")
+        self.sorted = self.grams[self.order]
+
+
+def passage(doc: Words, item: Words) -> tuple[float, float]:
     """(share of the item in the document's best passage, density of shared words in that passage)."""
-    if len(item) < k or len(doc) < k:
-        return 0.0, 0.0
-    gd, gi = grams(doc, np.zeros(len(doc), np.int64), k)[0], grams(item, np.zeros(len(item), np.int64), k)[0]
-    order = np.argsort(gi, kind="stable")
-    hits = np.flatnonzero(np.isin(gd, gi))
-    if not len(hits):
-        return 0.0, 0.0
     best = (0.0, 0.0)
+    if not len(item.grams) or not len(doc.grams):
+        return best
+    at = np.minimum(np.searchsorted(item.sorted, doc.grams), len(item.sorted) - 1)
+    hits = np.flatnonzero(item.sorted[at] == doc.grams)
+    if len(hits) < 2:
+        return best
+    n = len(item.words)
     edge = np.flatnonzero(np.diff(hits) > GAP)
-    for first, last in zip(np.r_[0, edge + 1], np.r_[edge, len(hits) - 1], strict=True):
-        if last - first + 1 < 2:
+    for first, last in zip(np.r_[0, edge + 1].tolist(), np.r_[edge, len(hits) - 1].tolist(), strict=True):
+        if last - first < 1:
             continue
-        a, b = hits[first], hits[last] + k
+        a, b = int(hits[first]), int(hits[last]) + K
         # the part of the item that the cluster covers
-        where = order[np.searchsorted(gi[order], gd[hits[first : last + 1]])]
-        lo, hi = int(where.min()), int(where.max()) + k
-        if hi - lo < 0.3 * len(item):
+        where = item.order[at[hits[first : last + 1]]]
+        if int(where.max()) + K - int(where.min()) < 0.3 * n:
             continue
-        span = doc[max(0, a - 3) : b + 3].tolist()
-        shared = common_sequence(item.tolist(), span)
-        density = shared / max(1, b - a)
-        share = shared / len(item)
+        shared = common_sequence(item.words, doc.words[max(0, a - 3) : b + 3])
+        density, share = shared / max(1, b - a), shared / n
         if min(1.0, density) * share > best[0] * min(1.0, best[1]):
             best = (share, density)
     return best
 
 
-def leaks(documents: DataFrame, items: DataFrame, share: float = 0.55, density: float = 0.7, dense_share: float = 0.48, least: int = 2) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, share: float = 0.55, density: float = 0.7, dense_share: float = 0.48, least: int = 4) -> DataFrame:
     """doc_id, item_id, share, density: documents that carry half of an item's words as one passage.
 
     Items built alike share half of their words in order with changes all over.
     So a passage needs ``share`` of the item at a density of ``density``, or
-    ``dense_share`` (changed words aren't shared) if nearly unchanged.  Null and
+    ``dense_share`` (changed words aren't shared) if nearly unchanged.  Pairs
+    with fewer than ``least`` fingerprints in common aren't extended: half an
+    item has more unless it is changed all over.  Null and
     empty texts and items have no words and leak nothing; rows repeated under
     one id count once.  Other columns are not read.
     """
@@ -177,9 +187,13 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.55, density:
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            texts_words = dict(zip(b["text"].unique(), (np.array(w, np.int64).view(np.uint64) for w in _item_words(pd.Series(b["text"].unique()))), strict=True))
+            unique = b["text"].unique()
+            docs = {t: Words(w) for t, w in zip(unique, _item_words(pd.Series(unique)), strict=True)}
+            known: dict[int, Words] = {}
             for d, i, text, item in zip(b["doc_id"], b["item_id"], b["text"], b["words"], strict=True):
-                s, dn = passage(texts_words[text], np.array(item, np.int64).view(np.uint64))
+                if i not in known:
+                    known[i] = Words(item)
+                s, dn = passage(docs[text], known[i])
                 if dn >= density and s >= share or dn >= 0.9 and s >= dense_share:
                     out.append((d, i, s, dn))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "share", "density"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from ..constants import WHITESPACE
 SPACE_CLASS = "[" + "".join(f"\\u{ord(c):04x}" for c in WHITESPACE) + "]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, where the body uses it inside other lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column | str) -> Column:
     """Without white space at both ends; null stays null."""
     return F.btrim(F.col(text) if isinstance(text, str) else text, F.lit(WHITESPACE))
@@ -28,9 +35,7 @@ def ngrams(items: Column, n: int) -> Column:
 
 def repetition_rate(text: Column | str, n: int = 8) -> Column:
     """Share of repeated n-grams of words: 1 - distinct / all; 0 for texts of at most n words, null for null."""
-    w = words(text)
-    g = ngrams(w, n)
-    return F.when(F.size(w) <= n, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(g)) / F.size(g))
+    return let(words(text), lambda w: F.when(w.isNull(), F.lit(None).cast("double")).when(F.size(w) <= n, F.lit(0.0)).otherwise(let(ngrams(w, n), lambda g: 1 - F.size(F.array_distinct(g)) / F.greatest(F.size(g), F.lit(1)))))
 
 
 def thousands(value: Column) -> Column:

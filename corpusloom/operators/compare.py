@@ -41,7 +41,7 @@ def replace_row(board: DataFrame, update: DataFrame, key: str) -> DataFrame:
 
 def to_upload(local: DataFrame, remote: DataFrame) -> DataFrame:
     """Local files (name, size) that are missing remotely or differ in size."""
-    return local.join(remote.select("name", F.col("size").alias("remote_size")), "name", "left").where(F.col("remote_size").isNull() | (F.col("remote_size") != F.col("size")))
+    return local.join(remote.select("name", F.col("size").alias("remote_size")), "name", "left").where(F.col("remote_size").isNull() | (F.col("remote_size") != F.col("size"))).drop("remote_size")
 
 
 def first_below(curve: DataFrame, bar: DataFrame, step: str, loss: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import EOS, IGNORE
+from ..functions.text import let
 from .prefix import mark_smallest, running_total
 
 
@@ -55,7 +56,7 @@ def packed_windows(docs: DataFrame, size: int, key: str = "doc_id", pad: bool =
 
     The rest is dropped, or filled with end tokens if ``pad``.
     """
-    ended = docs.withColumn("tokens", F.when(F.coalesce(F.element_at("tokens", -1) == EOS, F.lit(False)), F.col("tokens")).otherwise(F.concat("tokens", F.array(F.lit(EOS)))))
+    ended = docs.withColumn("tokens", F.when(F.coalesce(F.try_element_at("tokens", F.lit(-1)) == EOS, F.lit(False)), F.col("tokens")).otherwise(F.concat("tokens", F.array(F.lit(EOS)))))
     windows = _joined(_pieces(ended, size, 0, key))
     if pad:
         return windows.withColumn("tokens", F.concat("tokens", F.array_repeat(F.lit(EOS), F.lit(size) - F.size("tokens"))))
@@ -64,12 +65,12 @@ def packed_windows(docs: DataFrame, size: int, key: str = "doc_id", pad: bool =
 
 def document_ids(tokens: Column) -> Column:
     """Number of the document of each position: it rises after an end token."""
-    state = F.aggregate(
-        tokens,
-        F.struct(F.array().cast("array<int>").alias("ids"), F.lit(0).alias("now")),
-        lambda s, t: F.struct(F.concat(s["ids"], F.array(s["now"])).alias("ids"), (s["now"] + (t == EOS).cast("int")).alias("now")),
+    ends = F.filter(F.transform(tokens, lambda t, i: F.when(t == EOS, i + 1)), lambda p: p.isNotNull())
+    # runs between end tokens, each repeated as often as it is long
+    return let(
+        F.concat(F.array(F.lit(0)), ends, F.array(F.size(tokens))),
+        lambda cuts: F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), lambda d: F.array_repeat(d, F.get(cuts, d + 1) - F.get(cuts, d)))),
     )
-    return state["ids"]
 
 
 def visible_keys(windows: DataFrame) -> DataFrame:
@@ -85,8 +86,13 @@ def visible_keys(windows: DataFrame) -> DataFrame:
 
 
 def padding_visible(mask: Column) -> Column:
-    """By position: real keys at or before it, for a 1/0 mask."""
-    return F.transform(mask, lambda _, i: F.aggregate(F.slice(mask, 1, i + 1), F.lit(0), lambda a, m: a + m))
+    """Real keys at or before each position of a 1/0 mask, added up: a running count, no pairs of positions."""
+    state = F.aggregate(
+        mask,
+        F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("all")),
+        lambda s, m: F.struct((s["seen"] + m).alias("seen"), (s["all"] + s["seen"] + m).alias("all")),
+    )
+    return state["all"]
 
 
 def shift(tokens: Column) -> tuple[Column, Column]:

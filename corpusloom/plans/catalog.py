@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from . import corpus, evaluation, samples, tables
 
+_MODULES = (corpus, samples, evaluation, tables)
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable]:
+    return {k: v for m in _MODULES for k, v in m.Q.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for m in _MODULES for k, v in m.SQL.items()}

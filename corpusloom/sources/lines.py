@@ -72,9 +72,13 @@ def extracted(lines: DataFrame) -> DataFrame:
 
 
 def loose_texts(lines: DataFrame) -> DataFrame:
-    """text from the key text, else content; line breaks become spaces; blank results and broken lines are skipped."""
+    """text from the string under text, else under content; line breaks become spaces; blank results and broken lines are skipped."""
     v = F.try_parse_json("line")
-    pick = lambda k: F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit(""))
+
+    def pick(k: str) -> Column:
+        found = F.when(_kind(F.try_variant_get(v, f"$.{k}", "variant")) == "STRING", F.try_variant_get(v, f"$.{k}", "string"))
+        return F.nullif(found, F.lit(""))
+
     text = strip(F.replace(F.coalesce(pick("text"), pick("content"), F.lit("")), F.lit("\n"), F.lit(" ")))
     return lines.select("*", text.alias("text")).where("text <> ''")
 

@@ -10,6 +10,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """Tables of this driver are of no use once it ends."""
+    for spark, path in _written:
+        try:
+            jvm = spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session may be gone already
+            return
 
 
 def get_session(app: str = "corpusloom", cores: str = "*") -> SparkSession:
@@ -46,5 +59,6 @@ def persist_table(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, lineage cut, safe against lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

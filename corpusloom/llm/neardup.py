@@ -63,6 +63,13 @@ def _grouped_bags(batch: pa.RecordBatch):
     return rows, tokens, bag, n, grp
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows than 14 bits can number."""
+    for batch in batches:
+        for at in range(0, len(batch), 8192):
+            yield batch.slice(at, 8192)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row of each text that has words, then this task's counts of tokens by cell."""
     df = np.zeros(1 << CELL_BITS, np.int64)
@@ -83,17 +90,28 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+#: Sizes from which a class of sizes begins, each four times the one before.
+SMALLEST, STEP = 24, 4
+
+
 def size_class(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of a size and its number of groups: about as many as half the prefix has tokens."""
-    c = np.where(n < 24, 0, np.maximum(1, np.floor(np.log2(np.maximum(n, 1) / 128)).astype(np.int64) + 1))
-    return c, np.where(c == 0, 1, 8 << np.maximum(c, 1))
+    """Class of a size and its number of groups, which grows with the prefix. Texts near a border take part in both classes."""
+    c = np.where(n < SMALLEST, 0, np.floor(np.log(np.maximum(n, SMALLEST) / SMALLEST * (1 + 1e-12)) / np.log(STEP)).astype(np.int64) + 1)
+    return c, groups_of(c)
+
+
+def groups_of(c):
+    return STEP**c
 
 
 def match_keys(rows, tokens, bag, n, grp, df, rank, total, threshold):
     """Arrays (key, row, role) of a batch; role 0 meets all, 1 and 2 are the two sides of a salted key."""
-    d = df[(tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-    order = np.lexsort((tokens, d, rows))
-    rows, tokens, d = rows[order], tokens[order], d[order]
+    cell = (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+    place = rank[cell]
+    # by row, then by count, then by token (of which 64 - 14 - CELL_BITS bits tell those of one cell apart)
+    with np.errstate(over="ignore"):
+        order = np.argsort((rows.astype(np.uint64) << np.uint64(50)) | (place.astype(np.uint64) << np.uint64(30)) | (tokens & np.uint64((1 << 30) - 1)))
+    rows, tokens, place, d = rows[order], tokens[order], place[order], df[cell[order]]
     start = np.searchsorted(rows, np.arange(len(n)))
     pos = np.arange(len(rows)) - start[rows]
     base = n - _need(n, threshold) + 1
@@ -108,12 +126,12 @@ def match_keys(rows, tokens, bag, n, grp, df, rank, total, threshold):
         single = np.flatnonzero(rare & (d > 1) & able[rows] & (pos < longest[rows]))
         keys, at, roles = [mix(tokens[single] + salt[rows[single]])], [rows[single]], [np.zeros(len(single), np.int32)]
         for c in np.unique(np.concatenate([own, lo, hi])) if len(n) else []:
-            g = int(8 << max(c, 1)) if c else 1
+            g = int(groups_of(c))
             here = far & able & ((own == c) | (lo == c) | (hi == c))
             t = np.flatnonzero(here[rows] & ~rare & (pos < (base + g)[rows]))
-            group = rank[(tokens[t] >> np.uint64(64 - CELL_BITS)).astype(np.int64)] % g
-            t = t[np.lexsort((pos[t], group, rows[t]))]
-            group = rows[t] * g + rank[(tokens[t] >> np.uint64(64 - CELL_BITS)).astype(np.int64)] % g
+            group = rows[t] * g + place[t] % g
+            by_group = np.argsort(group, kind="stable")
+            t, group = t[by_group], group[by_group]
             step = 1
             while step < len(t) and (same := group[:-step] == group[step:]).any():
                 a, b = t[:-step][same], t[step:][same]
@@ -142,9 +160,12 @@ def _keyed(df_cells, total: int, threshold: float):
         df = df_cells.value
         rank = np.empty(len(df), np.int64)
         rank[np.argsort(df, kind="stable")] = np.arange(len(df))
-        for batch in batches:
+        for batch in _small(batches):
             rows, tokens, bag, n, grp = _grouped_bags(batch)
             key, at, role = match_keys(rows, tokens, bag, n, grp, df, rank, total, threshold)
+            # rows of a text side by side: what they repeat is compressed away in the shuffle
+            order = np.argsort(at, kind="stable")
+            key, at, role = key[order], at[order], role[order]
             bits = parity(rows, tokens, len(n))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(bag.view(np.int64)[at]), pa.array(n[at].astype(np.int32)), *(pa.array(bits[at, i]) for i in range(4)), pa.array(role)],

@@ -51,7 +51,7 @@ def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     two token sets is the number of shared words counted with multiplicity.
     """
     rows, ids, hashes = word_ids(texts)
-    order = np.argsort(rows * max(1, len(hashes)) + ids, kind="stable")
+    order = np.argsort(rows * max(1, len(hashes)) + ids)
     rows, ids = rows[order], ids[order]
     at = np.arange(len(rows))
     new = np.ones(len(rows), bool)
@@ -59,6 +59,9 @@ def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     nth = at - np.maximum.accumulate(np.where(new, at, 0)) if len(at) else at
     with np.errstate(over="ignore"):
         tokens = mix(hashes[ids] + nth.astype(np.uint64) * _MIX) if len(at) else np.zeros(0, np.uint64)
+        n = np.bincount(rows, minlength=len(texts))
         bag = np.zeros(len(texts), np.uint64)
-        np.add.at(bag, rows, mix(tokens ^ _MIX))
-    return rows, tokens, bag, np.bincount(rows, minlength=len(texts))
+        if len(at):
+            # rows are sorted: sums of runs, modulo 2^64
+            bag[n > 0] = np.add.reduceat(mix(tokens ^ _MIX), (np.cumsum(n) - n)[n > 0])
+    return rows, tokens, bag, n

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BOS, EOS, TOKEN_MAX
+from .text import strip
 
 
 def stub_ids(text: Column | str) -> Column:
@@ -55,3 +57,45 @@ def piece_decoder(path: str):
             yield pd.Series([None if i is None else model.decode([int(x) for x in i]) for i in part])
 
     return decode
+
+
+@dataclass(frozen=True)
+class Tokenizer:
+    """What encoding needs of a tokenizer: column functions, the number of ids and the end token."""
+
+    encode: Callable[[Column], Column]
+    size: int
+    eos: int | None
+    decode: Callable[[Column], Column] | None = None
+
+    def __post_init__(self) -> None:
+        if self.eos is None or not 0 <= self.eos < self.size:
+            raise ValueError("a tokenizer needs an end token among its ids")
+
+    def ids(self, text: Column, bos: int | None = None, eos: bool = False) -> Column:
+        parts = ([F.array(F.lit(bos))] if bos is not None else []) + [self.encode(text)] + ([F.array(F.lit(self.eos))] if eos else [])
+        return F.concat(*parts)
+
+
+def stub_tokenizer() -> Tokenizer:
+    return Tokenizer(stub_ids, 503, EOS)
+
+
+def piece_tokenizer(path: str) -> Tokenizer:
+    """A subword model of a public vocabulary file."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return Tokenizer(piece_encoder(path), model.get_piece_size(), model.eos_id() if model.eos_id() >= 0 else None, piece_decoder(path))
+
+
+def training_lines(docs: DataFrame, text: str = "text", most_bytes: int = 16_384, lines: int = 20_000_000, seed: int = 0, key: str = "doc_id") -> DataFrame:
+    """Lines that a tokenizer would be trained on: one per text, line breaks as spaces, none blank or over the byte cap.
+
+    ``lines`` is the sample a trainer takes; it is drawn by hash, so it is the
+    same on every run.  Training itself is no job of this library.
+    """
+    flat = docs.select(key, strip(F.regexp_replace(text, "[\r\n]+", " ")).alias("line")).where("line <> ''").where(F.octet_length("line") <= most_bytes)
+    total = flat.agg(F.count("*").alias("_n"))
+    share = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) * 1.0 / (1 << 30)
+    return flat.crossJoin(F.broadcast(total)).where(share < F.lit(float(lines)) / F.col("_n")).drop("_n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import EOS, LENGTH_RANGES
 from ..functions.text import repetition_rate, strip, words
-from ..functions.tokens import in_range, marked, piece_decoder, piece_encoder, stub_ids
+from ..functions.tokens import in_range, marked, piece_decoder, piece_encoder, stub_ids, stub_tokenizer, training_lines
 from ..operators import compare, layout, quality, stats, vocabulary
 from ..operators.prefix import running_total
 from ..sources import items as item_sources
@@ -77,6 +77,9 @@ def s14(spark, sf):
     return layout.lengths(layout.offsets(tokenized(spark, sf).select("doc_id", F.size("tokens").alias("n_tokens"))))
 
 
+Q["w03_offset_differences"], SQL["w03_offset_differences"] = Q["s14_lengths_from_offsets"], SQL["s14_lengths_from_offsets"]
+
+
 @query("s13_token_bytes")
 def s13(spark, sf):
     return sinks.token_bytes(tokenized(spark, sf)).select("doc_id", F.length("data").alias("n_bytes"), F.md5("data").alias("digest"))
@@ -139,6 +142,26 @@ def t01_subword(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ids.alias("tokens")).select("doc_id", F.size("tokens").alias("n_tokens"), in_range(F.col("tokens")).alias("in_range"))
 
 
+@query("t02_tokenizer", f"select doc_id, len(tokens)::bigint + 1 as n_tokens from {TOKENIZED}")
+def t02(spark, sf):
+    tokenizer = stub_tokenizer()
+    return table(spark, sf, "documents").select("doc_id", F.size(tokenizer.ids(F.col("text"), bos=2, eos=True)).cast("long").alias("n_tokens"))
+
+
+_LINE = "trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), " + WS + ")"
+
+
+@query("t03_training_lines", f"select doc_id, md5({_LINE}) as line from documents where {_LINE} <> '' and octet_length(encode({_LINE})) <= 16384")
+def t03(spark, sf):
+    """The corpus of a tokenizer, prepared; tokenizers aren't trained here."""
+    return training_lines(table(spark, sf, "documents")).select("doc_id", F.md5("line").alias("line"))
+
+
+@query("t04_training_lines_capped", f"select count(*) as n, max(octet_length(encode({_LINE}))) as longest from documents where {_LINE} <> '' and octet_length(encode({_LINE})) <= 2048")
+def t04(spark, sf):
+    return training_lines(table(spark, sf, "documents"), most_bytes=2048).agg(F.count("*").alias("n"), F.max(F.octet_length("line")).cast("long").alias("longest"))
+
+
 @query("t06_round_trip")
 def t06(spark, sf):
     encode, decode = piece_encoder(_model()), piece_decoder(_model())

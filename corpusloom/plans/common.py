@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..constants import WHITESPACE
 from ..functions.tokens import marked, stub_ids
+from ..session import read_table
 
 WS = "'" + WHITESPACE + "'"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return read_table(spark, sf, name)
 
 
 def tokenized(spark: SparkSession, sf: str) -> DataFrame:

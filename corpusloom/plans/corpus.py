@@ -29,24 +29,26 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# Malformed lines in place of the documents whose id leaves this rest of 23.
+# Malformed lines, one more for every document whose id leaves this rest of 23.
 _BAD = {0: "", 1: "   ", 2: "{bad", 3: "[1]", 4: '{"x":1}', 5: '{"text":null}', 6: '{"text":5}', 7: '{"text":"  "}'}
 
 
 def _lines(spark, sf) -> DataFrame:
-    """Documents as JSON lines, some replaced by malformed ones."""
-    line = F.to_json(F.struct("text"))
-    for rest, bad in _BAD.items():
-        line = F.when(F.col("doc_id") % 23 == rest, F.lit(bad)).otherwise(line)
-    return table(spark, sf, "documents").select("doc_id", line.alias("line"))
+    """All documents as JSON lines, and malformed lines beside them."""
+    docs = table(spark, sf, "documents")
+    good = docs.select("doc_id", F.to_json(F.struct("text")).alias("line"))
+    bad = F.lit(None).cast("string")
+    for rest, line in _BAD.items():
+        bad = F.when(F.col("doc_id") % 23 == rest, F.lit(line)).otherwise(bad)
+    return good.unionByName(docs.select("doc_id", bad.alias("line")).where("line is not null"))
 
 
 _CORPUS_REASON = """case doc_id % 23 when 1 then 'json_error' when 2 then 'json_error' when 3 then 'not_a_dict' when 4 then 'missing_text_field'
  when 5 then 'missing_text_field' when 6 then 'text_not_string' when 7 then 'empty_text' end"""
+_CORPUS = f"""(select case when trim(text, {WS}) = '' then 'empty_text' end as reason, length(trim(text, {WS})) as n from documents union all select {_CORPUS_REASON}, 0 from documents where doc_id % 23 between 1 and 7)"""
 
 
-@query("s01_corpus_scan", f"""select coalesce({_CORPUS_REASON}, case when trim(text, {WS}) = '' then 'empty_text' end, 'valid') as reason, count(*) as n,
- sum(case when {_CORPUS_REASON} is null then length(trim(text, {WS})) else 0 end)::bigint as n_chars from documents where doc_id % 23 <> 0 group by 1""")
+@query("s01_corpus_scan", f"select coalesce(reason, 'valid') as reason, count(*) as n, sum(case when reason is null then n else 0 end)::bigint as n_chars from {_CORPUS} group by 1")
 def s01(spark, sf):
     records = line_sources.corpus_records(_lines(spark, sf))
     return records.groupBy(F.coalesce(F.split("reason", ":")[0], F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("n_chars"))
@@ -54,15 +56,15 @@ def s01(spark, sf):
 
 _EXTRACT_REASON = """case doc_id % 23 when 0 then 'blank' when 1 then 'blank' when 2 then 'invalid_json' when 3 then 'missing_text_field' when 4 then 'missing_text_field'
  when 5 then 'invalid_text_type' when 6 then 'invalid_text_type' end"""
+_EXTRACTED = f"(select null as reason, length(text) as n from documents union all select {_EXTRACT_REASON}, case when doc_id % 23 = 7 then 2 else 0 end from documents where doc_id % 23 <= 7)"
 
 
-@query("s02_extraction", f"""select coalesce({_EXTRACT_REASON}, 'valid') as reason, count(*) as n,
- sum(case when {_EXTRACT_REASON} is not null then 0 when doc_id % 23 = 7 then 2 else length(text) end)::bigint as n_chars from documents group by 1""")
+@query("s02_extraction", f"select coalesce(reason, 'valid') as reason, count(*) as n, sum(n)::bigint as n_chars from {_EXTRACTED} group by 1")
 def s02(spark, sf):
     return line_sources.extracted(_lines(spark, sf)).groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("n_chars"))
 
 
-@query("s03_loose_texts", f"""select count(*) as n, sum(length(trim(replace(text, chr(10), ' '), {WS})))::bigint as n_chars from documents where doc_id % 23 > 7 and trim(replace(text, chr(10), ' '), {WS}) <> ''""")
+@query("s03_loose_texts", f"""select count(*) as n, sum(length(trim(replace(text, chr(10), ' '), {WS})))::bigint as n_chars from documents where trim(replace(text, chr(10), ' '), {WS}) <> ''""")
 def s03(spark, sf):
     return line_sources.loose_texts(_lines(spark, sf)).agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("n_chars"))
 
@@ -117,12 +119,12 @@ def p10(spark, sf):
     return tokenized(spark, sf).agg(F.count_if(F.size("tokens") > 4096).alias("n_over"), F.count("*").alias("n"))
 
 
-@query("p11_rejects", f"select {_CORPUS_REASON} as reason, count(*) as n from documents where doc_id % 23 between 1 and 7 group by 1")
+@query("p11_rejects", f"select reason, count(*) as n from {_CORPUS} where reason is not null group by 1")
 def p11(spark, sf):
     return quality.rejects_by_reason(line_sources.corpus_records(_lines(spark, sf)))
 
 
-@query("l01_rejects_sorted", f"select {_CORPUS_REASON} as reason, count(*) as n from documents where doc_id % 23 between 1 and 7 group by 1 order by n desc, reason")
+@query("l01_rejects_sorted", f"select reason, count(*) as n from {_CORPUS} where reason is not null group by 1 order by n desc, reason")
 def l01(spark, sf):
     return quality.rejects_by_reason(line_sources.corpus_records(_lines(spark, sf)))
 
@@ -373,7 +375,7 @@ def a04(spark, sf):
     return stats.token_counts(_sizes(spark, sf))
 
 
-@query("a11_extraction_counts", f"select coalesce({_EXTRACT_REASON}, 'valid') as category, count(*) as n from documents group by 1")
+@query("a11_extraction_counts", f"select coalesce(reason, 'valid') as category, count(*) as n from {_EXTRACTED} group by 1")
 def a11(spark, sf):
     return line_sources.extracted(_lines(spark, sf)).groupBy(F.coalesce("reason", F.lit("valid")).alias("category")).agg(F.count("*").alias("n"))
 
@@ -415,7 +417,7 @@ def f08(spark, sf):
 
 # a vocabulary of the corpus' plain words and their letters, in lines "piece TAB score"
 _VOCAB = """(select row_number() over (order by n desc, piece) - 1 as id, piece, -ln(row_number() over (order by n desc, piece))::double as score from
- (select piece, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as piece from documents union all select unnest(string_split(lower(substr(text, 1, 200)), '')) from documents) where regexp_matches(piece, '^[a-z]+$') group by 1))"""
+ (select piece, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as piece from documents union all select unnest(string_split(lower(text), '')) from documents) where regexp_matches(piece, '^[a-z]+$') group by 1))"""
 
 
 def _vocabulary(spark, sf) -> DataFrame:
@@ -424,7 +426,7 @@ def _vocabulary(spark, sf) -> DataFrame:
 
     docs = table(spark, sf, "documents").select("text")
     plain = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("piece"))
-    letters = docs.select(F.explode(F.split(F.lower(F.substring("text", 1, 200)), "")).alias("piece")).where(F.col("piece").rlike("^[a-z]+$"))
+    letters = docs.select(F.explode(F.split(F.lower("text"), "")).alias("piece")).where(F.col("piece").rlike("^[a-z]+$"))
     counts = plain.unionAll(letters).groupBy("piece").agg(F.count("*").alias("n"))
     ranked = counts.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "piece")) - 1)
     lines = ranked.select("id", F.concat_ws("\t", "piece", (-F.log(F.col("id") + 1)).cast("string")).alias("line"))

@@ -152,11 +152,11 @@ def a20(spark, sf):
     return rows.select("item_id", F.col("body").isNotNull().alias("has_call"), evaluation.valid_call(text, F.col("benchmark")).alias("valid"))
 
 
-_NLL = f"(select doc_id, {sql_score('doc_id', 'i')} * 6 as nll, 1 + (i % 9) as rank, i // 64 as batch from (select doc_id, unnest(range(least(len(tokens), 256))) as i from {TOKENIZED}))"
+_NLL = f"(select doc_id, {sql_score('doc_id', 'i')} * 6 as nll, 1 + (i % 9) as rank, i // 64 as batch from (select doc_id, unnest(range(len(tokens))) as i from {TOKENIZED}))"
 
 
 def _nll(spark, sf) -> DataFrame:
-    t = tokenized(spark, sf).select("doc_id", F.explode(F.sequence(F.lit(0), F.least(F.size("tokens"), F.lit(256)) - 1)).alias("i"))
+    t = tokenized(spark, sf).select("doc_id", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("i"))
     return t.select("doc_id", (score("doc_id", "i") * 6).alias("nll"), (1 + F.col("i") % 9).alias("rank"), F.floor(F.col("i") / 64).alias("batch"))
 
 

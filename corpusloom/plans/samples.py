@@ -31,16 +31,17 @@ _LIMIT = 512
 
 
 def _sample_lines(spark, sf) -> DataFrame:
-    """Both forms of samples as lines, some replaced by comments, blanks and broken ones."""
+    """All samples of both forms as lines, with comments, blanks and broken lines beside them."""
     a = alpaca(spark, sf).select("sample_id", F.to_json(F.struct("instruction", "input", "output")).alias("line"))
     c = chats(spark, sf).select("sample_id", F.to_json(F.struct("messages")).alias("line"))
-    line = F.when(F.col("sample_id") % 29 == 0, "# note").when(F.col("sample_id") % 29 == 1, " ").when(F.col("sample_id") % 29 == 2, "{bad").otherwise(F.col("line"))
-    return a.unionByName(c).select("sample_id", line.alias("line"))
+    other = F.when(F.col("sample_id") % 29 == 0, "# note").when(F.col("sample_id") % 29 == 1, " ").when(F.col("sample_id") % 29 == 2, "{bad")
+    lines = a.unionByName(c)
+    return lines.unionByName(lines.select("sample_id", other.alias("line")).where("line is not null"))
 
 
 _USABLE_CHAT = "(messages is not null and len(messages) > 0 and len(list_filter(messages, lambda m: m.role is null or m.content is null)) = 0)"
-_SCANNED = f"""(select sample_id, 'alpaca' as format, length(trim(output, {WS})) as n from {ALPACA} where sample_id % 29 > 2 and instruction is not null and output is not null
- union all select sample_id, 'conversation', len(messages) from {CHATS} where sample_id % 29 > 2 and {_USABLE_CHAT})"""
+_SCANNED = f"""(select sample_id, 'alpaca' as format, length(trim(output, {WS})) as n from {ALPACA} where instruction is not null and output is not null
+ union all select sample_id, 'conversation', len(messages) from {CHATS} where {_USABLE_CHAT})"""
 
 
 @query("s05_sample_scan", f"select format, count(*) as n, sum(n)::bigint as total from {_SCANNED} group by 1")
@@ -57,14 +58,14 @@ def s05_first(spark, sf):
 Q["l03_caps"], SQL["l03_caps"] = Q["s05_first_samples"], SQL["s05_first_samples"]
 
 
-@query("s06_skipped_lines", f"""select (select count(*) from (select sample_id from {ALPACA} union all select sample_id from {CHATS}) where sample_id % 29 <> 1) - (select count(*) from {_SCANNED}) as n_skipped, (select count(*) from {_SCANNED}) as n_usable""")
+@query("s06_skipped_lines", f"""select (select count(*) + count(*) filter (sample_id % 29 in (0, 2)) from (select sample_id from {ALPACA} union all select sample_id from {CHATS})) - (select count(*) from {_SCANNED}) as n_skipped, (select count(*) from {_SCANNED}) as n_usable""")
 def s06(spark, sf):
     lines = _sample_lines(spark, sf)
     usable = line_sources.samples(lines, "sample_id").agg(F.count("*").alias("n_usable"))
     return lines.where(strip("line") != "").agg(F.count("*").alias("n")).crossJoin(usable).select((F.col("n") - F.col("n_usable")).alias("n_skipped"), "n_usable")
 
 
-@query("p03_normalised", f"""select sample_id, md5(concat_ws('|', trim(instruction, {WS}), trim(coalesce(input, ''), {WS}), trim(output, {WS}))) as digest from {ALPACA} where sample_id % 29 > 2 and instruction is not null and output is not null""")
+@query("p03_normalised", f"""select sample_id, md5(concat_ws('|', trim(instruction, {WS}), trim(coalesce(input, ''), {WS}), trim(output, {WS}))) as digest from {ALPACA} where instruction is not null and output is not null""")
 def p03(spark, sf):
     got = line_sources.samples(_sample_lines(spark, sf), "sample_id").where("format = 'alpaca'")
     return got.select("sample_id", F.md5(F.concat_ws("|", "instruction", "input", "output")).alias("digest"))

@@ -62,3 +62,14 @@ def persist_table(df: DataFrame) -> DataFrame:
     _written.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table ``name`` of Parquet files in a folder.
+
+    A table of fewer splits than cores, which is a small one, is spread over
+    the cores; columns and filters still reach the scan.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores else df

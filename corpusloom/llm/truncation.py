@@ -39,6 +39,7 @@ SAMPLE = 24_000
 
 _CLOSED = re.compile(r"[.!?…。؟]['\"”’»)\]*_`]*\s*$")
 _DIGIT = re.compile(r"\d")
+_RUNS = re.compile("0+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _STRIP = " \t\r\n.,;:!?…'\"“”‘’«»()[]{}*_`>"
 _LIST = re.compile(r"^\s*(?:[-*•+]|\d+[.)])\s")
@@ -193,7 +194,7 @@ class TruncationModel:
         if not closed:
             c, s, w, f = self.word(last)
             p = self.evidence(pair_cell(self.word(before)[0].lower(), c.lower())) if before else (0, -1)
-            out += [f"word={w}/{kind}", f"wordend={w[1]}/{style}/{size}", f"pair={p}/{kind}", f"pairend={p[1]}/{style}/{size}", f"form={f}/{kind}", f"shape={s}/{kind}/{size}", f"last={c.lower()}", f"both={w}/{p}", f"end3={text[-3:]}", f"quote={(text.count('“') - text.count('”'))}/{text.count(chr(34)) % 2}/{text.count('(') - text.count(')')}"]
+            out += [f"word={w}/{kind}", f"wordend={w[1]}/{style}/{size}", f"pair={p}/{kind}", f"pairend={p[1]}/{style}/{size}", f"form={f}/{kind}", f"shape={s}/{kind}/{size}", f"runs={_RUNS.sub('0', s)}/{kind}/{size}", f"last={c.lower()}", f"both={w}/{p}", f"end3={text[-3:]}", f"quote={(text.count('“') - text.count('”'))}/{text.count(chr(34)) % 2}/{text.count('(') - text.count(')')}"]
             if kind == "list":
                 # an item that appears as a whole elsewhere
                 out.append(f"item={p}/{min(len(line.split()), 6)}")
@@ -273,12 +274,11 @@ def logistic(rows: list[list[int]], y: np.ndarray, epochs: int = 12, rate: float
     rng = np.random.default_rng(1)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
-        for part in np.array_split(order, max(1, len(order) // 64)):
+        for part in np.array_split(order, max(1, len(order) // 128)):
             idx = np.concatenate([flat[start[i] : start[i + 1]] for i in part])
             own = np.repeat(np.arange(len(part)), size[part])
             z = np.bincount(own, weights=w[idx], minlength=len(part)) + b
             d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]
-            g = np.bincount(idx, weights=d[own], minlength=len(w)) if len(idx) > 20_000 else None
             u, inv = np.unique(idx, return_inverse=True)
             g = np.bincount(inv, weights=d[own], minlength=len(u)) / len(part) + l2 * w[u]
             g2[u] += g * g
@@ -303,7 +303,7 @@ def fit_truncation(cells: DataFrame, seed: int = 3, sample: int = SAMPLE) -> Tru
     seen = counted.where("cell is null and length is null").agg(F.sum("total")).first()[0] or 0
     parts = 1 << 20
     keep = min(parts, int(parts * sample / max(1, seen)) + 1)
-    drawn = base.where(F.pmod(F.xxhash64(F.lit(seed), "sample_id", "turn"), F.lit(parts)) < keep).limit(2 * sample)
+    drawn = base.where(F.pmod(F.xxhash64(F.lit(seed), "sample_id", "turn"), F.lit(parts)) < keep).limit(2 * sample).repartition(spark.sparkContext.defaultParallelism)
     shared = spark.sparkContext.broadcast(model.state())
 
     def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -190,11 +190,16 @@ class TruncationModel:
         size = "1" if chars < 24 and len(words) == 1 else "few" if len(words) < 5 else "many"
         limit = self.at_limit(source, chars, len(value.encode()))
         style = f"{kind}/{'closed' if closed else 'open'}/{'casual' if loose else 'formal'}"
-        out = [f"style={style}", f"char={text[-1] if not text[-1].isalnum() else 'x'}/{kind}", f"limit={limit}/{closed}", f"size={size}/{closed}/{kind}", f"blank={value != text}/{closed}", f"marks={min(marks, 3)}/{style}"]
+        out = [f"style={style}", f"char={text[-1] if not text[-1].isalnum() else 'd' if text[-1].isdigit() else 'x'}/{kind}", f"limit={limit}/{closed}", f"size={size}/{closed}/{kind}", f"blank={value != text}/{closed}", f"marks={min(marks, 3)}/{style}"]
         if not closed:
             c, s, w, f = self.word(last)
             p = self.evidence(pair_cell(self.word(before)[0].lower(), c.lower())) if before else (0, -1)
             out += [f"word={w}/{kind}", f"wordend={w[1]}/{style}/{size}", f"pair={p}/{kind}", f"pairend={p[1]}/{style}/{size}", f"form={f}/{kind}", f"shape={s}/{kind}/{size}", f"runs={_RUNS.sub('0', s)}/{kind}/{size}", f"last={c.lower()}", f"both={w}/{p}", f"end3={text[-3:]}", f"quote={(text.count('“') - text.count('”'))}/{text.count(chr(34)) % 2}/{text.count('(') - text.count(')')}"]
+            if kind in ("log", "list"):
+                # whether the last record ends as the one before it does
+                above = tail[: -len(line) - 1].rpartition("\n")[2].split()
+                if above:
+                    out.append(f"record={_RUNS.sub('0', self.word(above[-1])[1]) == _RUNS.sub('0', s)}/{kind}")
             if kind == "list":
                 # an item that appears as a whole elsewhere
                 out.append(f"item={p}/{min(len(line.split()), 6)}")
@@ -241,6 +246,17 @@ def casual(value: str, rng: random.Random) -> str | None:
     return text.lower() if rng.random() < 0.5 else text[0].lower() + text[1:]
 
 
+def bare_value(value: str, rng: random.Random) -> str | None:
+    """An address, number or name of the value by itself or after one word: a complete short answer."""
+    tokens = value.split()
+    at = [i for i, t in enumerate(tokens[:-1]) if re.search(r"[\d/_]", t) and len(t) > 2 and t[0].isalnum()]
+    if not at:
+        return None
+    i = rng.choice(at)
+    found = tokens[i].strip(_STRIP)
+    return f"{tokens[i - 1]} {found}" if i and rng.random() < 0.5 else found
+
+
 def artificial_cuts(value: str, limits: list[int], sizes: list[int], rng: random.Random) -> list[str]:
     """The value cut at a limit it exceeds, in characters and bytes, and once elsewhere; cuts that leave a complete sentence or line are no cuts."""
     places = [x for x in limits if 20 < x < len(value)][:1]
@@ -258,6 +274,9 @@ def artificial_cuts(value: str, limits: list[int], sizes: list[int], rng: random
         head, rest = value[:x], value[x:]
         if not rest.strip(_STRIP) or (_CLOSED.search(head[-12:]) and (rest[0].isspace() or head[-1].isspace())):
             continue
+        # half a number looks whole, so it teaches nothing
+        if head[-1].isdigit() and rest[0].isdigit():
+            continue
         if head.count("```") % 2 == 0 and ("\n" == rest[0] or head.rstrip(" ").endswith("\n")):
             continue
         out.append(head)
@@ -324,6 +343,9 @@ def fit_truncation(cells: DataFrame, seed: int = 3, sample: int = SAMPLE) -> Tru
                     y.append(0)
                     if rng.random() < 0.3:
                         heads += artificial_cuts(loose, [], [], rng)
+                if rng.random() < 0.15 and (bare := bare_value(v, rng)):
+                    x.append(m.indices(m.features(s, bare)))
+                    y.append(0)
                 for head in heads:
                     x.append(m.indices(m.features(s, head)))
                     y.append(1)

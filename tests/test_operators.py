@@ -276,3 +276,35 @@ def test_log_and_listing(spark):
 
 def test_marked(spark):
     assert one(spark.range(1).select(marked(F.array(F.lit(9)), bos=True))) == [2, 9, 3]
+
+
+def test_event_stream(spark, tmp_path):
+    rows = "\n".join(json.dumps({"ts": f"2031-01-01T0{h}:10:00", "event_type": t, "value": v}) for h, t, v in [(1, "a", 1.0), (1, "a", 2.0), (2, "b", 4.0)])
+    (tmp_path / "e.json").write_text(rows)
+    events = spark.readStream.schema("ts timestamp, event_type string, value double").json(str(tmp_path))
+    rejects.run_once(rejects.event_counts(events), "event_windows")
+    got = {(r["event_type"], r["n"], r["total"]) for r in spark.table("event_windows").collect()}
+    assert got == {("a", 2, 3.0), ("b", 1, 4.0)}
+
+
+def test_tokenizer_needs_an_end_token():
+    from corpusloom.functions.tokens import Tokenizer, piece_tokenizer
+
+    with pytest.raises(ValueError):
+        Tokenizer(stub_ids, 10, None)
+    assert piece_tokenizer("/opt/tokenizers/piece_bpe_32k.model").size == 32_000
+
+
+def test_config():
+    config = sinks.read_config('{"batch": 8, "mystery": 1}', {"batch": 1, "max_seq_len": 512})
+    assert config == {"batch": 8, "max_seq_len": 512} and sinks.inherit(config, {"d_model": 7, "max_seq_len": 128}) == {"batch": 8, "max_seq_len": 128, "d_model": 7}
+
+
+def test_compare_reports(spark):
+    a, b = (spark.createDataFrame(r, "m string, v double") for r in ([("x", 1.0), ("y", 2.0), ("n", None)], [("x", 2.0), ("y", 2.0), ("z", 1.0)]))
+    assert {r["m"]: r["verdict"] for r in compare.compare_reports(a, b, "m", "v").collect()} == {"x": "better", "y": "same", "z": "not measured", "n": "not measured"}
+
+
+def test_merge_domains(spark):
+    merged = lines.merge_domains({"a": spark.createDataFrame([("t", 1)], "text string, n int"), "b": spark.createDataFrame([("u",)], "text string")})
+    assert sorted(map(tuple, merged.select("text", "n", "domain").collect())) == [("t", 1, "a"), ("u", None, "b")]

@@ -102,24 +102,24 @@ def s18(spark, sf):
     return line_sources.merge_domains(parts).groupBy("domain").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("n_chars"))
 
 
-@query("p01_strip", f"select doc_id, length(trim(' ' || chr(160) || text || chr(8195) || chr(28), {WS})) as n_chars, md5(trim(text, {WS})) as digest from documents")
+@query("pf01_strip", f"select doc_id, length(trim(' ' || chr(160) || text || chr(8195) || chr(28), {WS})) as n_chars, md5(trim(text, {WS})) as digest from documents")
 def p01(spark, sf):
     padded = F.concat(F.lit("  "), "text", F.lit(" \x1c"))
     return table(spark, sf, "documents").select("doc_id", F.length(strip(padded)).cast("long").alias("n_chars"), F.md5(strip("text")).alias("digest"))
 
 
-@query("p02_valid_utf8")
+@query("pf02_valid_utf8")
 def p02(spark, sf):
     """Nearest thing to repairing lone surrogates: bytes that are no UTF-8 are replaced."""
     return table(spark, sf, "documents").select("doc_id", F.make_valid_utf8(F.concat(F.col("text"), F.lit(b"\xff").cast("string"))).alias("text")).select("doc_id", F.is_valid_utf8("text").alias("valid"), F.length("text").alias("n_chars"))
 
 
-@query("p10_over_length", f"select count(*) filter (len(tokens) > 4096) as n_over, count(*) as n from {TOKENIZED}")
+@query("pf10_over_length", f"select count(*) filter (len(tokens) > 4096) as n_over, count(*) as n from {TOKENIZED}")
 def p10(spark, sf):
     return tokenized(spark, sf).agg(F.count_if(F.size("tokens") > 4096).alias("n_over"), F.count("*").alias("n"))
 
 
-@query("p11_rejects", f"select reason, count(*) as n from {_CORPUS} where reason is not null group by 1")
+@query("pf11_rejects", f"select reason, count(*) as n from {_CORPUS} where reason is not null group by 1")
 def p11(spark, sf):
     return quality.rejects_by_reason(line_sources.corpus_records(_lines(spark, sf)))
 

@@ -65,24 +65,24 @@ def s06(spark, sf):
     return lines.where(strip("line") != "").agg(F.count("*").alias("n")).crossJoin(usable).select((F.col("n") - F.col("n_usable")).alias("n_skipped"), "n_usable")
 
 
-@query("p03_normalised", f"""select sample_id, md5(concat_ws('|', trim(instruction, {WS}), trim(coalesce(input, ''), {WS}), trim(output, {WS}))) as digest from {ALPACA} where instruction is not null and output is not null""")
+@query("pf03_normalised", f"""select sample_id, md5(concat_ws('|', trim(instruction, {WS}), trim(coalesce(input, ''), {WS}), trim(output, {WS}))) as digest from {ALPACA} where instruction is not null and output is not null""")
 def p03(spark, sf):
     got = line_sources.samples(_sample_lines(spark, sf), "sample_id").where("format = 'alpaca'")
     return got.select("sample_id", F.md5(F.concat_ws("|", "instruction", "input", "output")).alias("digest"))
 
 
-@query("p04_formats", f"select count(*) as total, count(*) filter (format = 'alpaca') as alpaca, count(*) filter (format = 'conversation') as conversation from {_SCANNED}")
+@query("pf04_formats", f"select count(*) as total, count(*) filter (format = 'alpaca') as alpaca, count(*) filter (format = 'conversation') as conversation from {_SCANNED}")
 def p04(spark, sf):
     return line_sources.samples(_sample_lines(spark, sf), "sample_id").agg(F.count("*").alias("total"), F.count_if(F.col("format") == "alpaca").alias("alpaca"), F.count_if(F.col("format") == "conversation").alias("conversation"))
 
 
-Q["a05_format_counts"], SQL["a05_format_counts"] = Q["p04_formats"], SQL["p04_formats"]
-Q["u05_mixed_formats"], SQL["u05_mixed_formats"] = Q["p04_formats"], SQL["p04_formats"]
+Q["a05_format_counts"], SQL["a05_format_counts"] = Q["pf04_formats"], SQL["pf04_formats"]
+Q["u05_mixed_formats"], SQL["u05_mixed_formats"] = Q["pf04_formats"], SQL["pf04_formats"]
 
 _BLANK = lambda c: f"coalesce(trim({c}, {WS}) = '', true)"
 
 
-@query("p05_alpaca_errors", f"""select sample_id, (case when {_BLANK('instruction')} then 1 else 0 end + case when {_BLANK('output')} then 1 else 0 end)::bigint as n_errors,
+@query("pf05_alpaca_errors", f"""select sample_id, (case when {_BLANK('instruction')} then 1 else 0 end + case when {_BLANK('output')} then 1 else 0 end)::bigint as n_errors,
  (not {_BLANK('instruction')} and not {_BLANK('output')}) as valid, (coalesce(length(output), 0) > 32000) as long_output from {ALPACA}""")
 def p05(spark, sf):
     out = quality.validate(alpaca(spark, sf), quality.alpaca_errors(F.col("instruction"), F.col("input"), F.col("output")))
@@ -94,12 +94,12 @@ _CHAT_ERRORS = f"""(case when messages is null or len(messages) = 0 then 1 else
  + len(list_filter(messages, lambda m: coalesce(trim(m.content, {WS}) = '', true))) + (case when len(list_filter(messages, lambda m: m.role = 'user')) = 0 then 1 else 0 end) + (case when len(list_filter(messages, lambda m: m.role = 'assistant')) = 0 then 1 else 0 end) end)"""
 
 
-@query("p06_conversation_errors", f"select sample_id, {_CHAT_ERRORS}::bigint as n_errors, {_CHAT_ERRORS} = 0 as valid from {CHATS}")
+@query("pf06_conversation_errors", f"select sample_id, {_CHAT_ERRORS}::bigint as n_errors, {_CHAT_ERRORS} = 0 as valid from {CHATS}")
 def p06(spark, sf):
     return quality.validate(chats(spark, sf), quality.conversation_errors(F.col("messages"))).select("sample_id", F.size("errors").cast("long").alias("n_errors"), "valid")
 
 
-@query("p07_lenient", f"select sample_id from {CHATS} where {_CHAT_ERRORS} = 0")
+@query("pf07_lenient", f"select sample_id from {CHATS} where {_CHAT_ERRORS} = 0")
 def p07(spark, sf):
     return quality.validate(chats(spark, sf), quality.conversation_errors(F.col("messages"))).where("valid").select("sample_id")
 
@@ -212,7 +212,7 @@ def c06(spark, sf):
     return _valid_chats(spark, sf).select("sample_id", ids.alias("i"), labels.alias("l")).select("sample_id", digest(F.col("i")).alias("ids"), digest(F.col("l")).alias("labels"))
 
 
-@query("p09_drop_rules", f"select sample_id from {ALPACA} where not {_BLANK('instruction')} and not {_BLANK('output')}")
+@query("pf09_drop_rules", f"select sample_id from {ALPACA} where not {_BLANK('instruction')} and not {_BLANK('output')}")
 def p09(spark, sf):
     m = encode.alpaca_messages(F.col("instruction"), F.col("input"), F.col("output"))
     kept = alpaca(spark, sf).select("sample_id", m.alias("messages")).where("messages is not null")
@@ -240,7 +240,7 @@ def t10(spark, sf):
     return _encoded(spark, sf).select("sample_id", digest(F.col("input_ids")).alias("ids"), digest(F.col("labels")).alias("labels"))
 
 
-@query("p08_trainable", f"select sample_id from {_ENCODED} where len(list_filter(labels, lambda x: x <> -100)) > 0")
+@query("pf08_trainable", f"select sample_id from {_ENCODED} where len(list_filter(labels, lambda x: x <> -100)) > 0")
 def p08(spark, sf):
     return _encoded(spark, sf).where(quality.trainable(F.col("labels"))).select("sample_id")
 

@@ -63,26 +63,30 @@ def packed_windows(docs: DataFrame, size: int, key: str = "doc_id", pad: bool =
     return windows.where(F.size("tokens") == size)
 
 
-def document_ids(tokens: Column) -> Column:
-    """Number of the document of each position: it rises after an end token."""
+def document_runs(tokens: Column) -> Column:
+    """Lengths of the documents in a window, each with its end token; the first one may have begun before."""
     ends = F.filter(F.transform(tokens, lambda t, i: F.when(t == EOS, i + 1)), lambda p: p.isNotNull())
-    # runs between end tokens, each repeated as often as it is long
     return let(
         F.concat(F.array(F.lit(0)), ends, F.array(F.size(tokens))),
-        lambda cuts: F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), lambda d: F.array_repeat(d, F.get(cuts, d + 1) - F.get(cuts, d)))),
+        lambda cuts: F.filter(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), lambda d: F.get(cuts, d + 1) - F.get(cuts, d)), lambda n: n > 0),
     )
 
 
-def visible_keys(windows: DataFrame) -> DataFrame:
-    """window_id, pos, doc, visible: keys that a position sees under the causal mask inside its document.
+def document_ids(tokens: Column) -> Column:
+    """Number of the document of each position: it rises after an end token."""
+    return F.flatten(F.transform(document_runs(tokens), lambda n, d: F.array_repeat(d, n)))
+
+
+def visible_keys(tokens: Column) -> Column:
+    """Keys that each position sees under the causal mask inside its document: those since the document's start, so no pair is formed."""
+    return F.flatten(F.transform(document_runs(tokens), lambda n: F.sequence(F.lit(1), n)))
 
-    They are the positions since the document's start, so no pair is formed.
-    """
-    at = windows.select("window_id", F.posexplode("tokens").alias("pos", "token"))
-    order = Window.partitionBy("window_id").orderBy("pos")
-    ended = F.coalesce(F.sum((F.col("token") == EOS).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    with_doc = at.withColumn("doc", ended)
-    return with_doc.withColumn("visible", F.row_number().over(Window.partitionBy("window_id", "doc").orderBy("pos"))).drop("token")
+
+def visible_totals(windows: DataFrame) -> DataFrame:
+    """window_id, doc, n, n_visible: positions of each document of a window and the entries of the mask they open."""
+    runs = windows.select("window_id", F.posexplode(document_runs(F.col("tokens"))).alias("doc", "n"))
+    n = F.col("n").cast("long")
+    return runs.select("window_id", F.col("doc").cast("long").alias("doc"), n.alias("n"), F.expr("cast(n as bigint) * (n + 1) div 2").alias("n_visible"))
 
 
 def padding_visible(mask: Column) -> Column:

@@ -266,8 +266,7 @@ _VISIBLE = f"""with e as (select window_id, unnest(t) as token, generate_subscri
 
 @query("k11_document_mask", _VISIBLE + " select window_id::bigint as window_id, doc::bigint as doc, count(*) as n, sum(visible)::bigint as n_visible from v group by 1, 2")
 def k11(spark, sf):
-    v = layout.visible_keys(layout.packed_windows(tokenized(spark, sf), 2048))
-    return v.groupBy("window_id", F.col("doc").cast("long").alias("doc")).agg(F.count("*").alias("n"), F.sum("visible").cast("long").alias("n_visible"))
+    return layout.visible_totals(layout.packed_windows(tokenized(spark, sf), 2048))
 
 
 for _alias in ("w01_running_document", "j10_mask_join"):

@@ -96,12 +96,12 @@ _CHAT_ERRORS = f"""(case when messages is null or len(messages) = 0 then 1 else
 
 @query("pf06_conversation_errors", f"select sample_id, {_CHAT_ERRORS}::bigint as n_errors, {_CHAT_ERRORS} = 0 as valid from {CHATS}")
 def p06(spark, sf):
-    return quality.validate(chats(spark, sf), quality.conversation_errors(F.col("messages"))).select("sample_id", F.size("errors").cast("long").alias("n_errors"), "valid")
+    return quality.validate(_deliveries(spark, sf), quality.conversation_errors(F.col("messages"))).select("sample_id", F.size("errors").cast("long").alias("n_errors"), "valid").distinct()
 
 
 @query("pf07_lenient", f"select sample_id from {CHATS} where {_CHAT_ERRORS} = 0")
 def p07(spark, sf):
-    return quality.validate(chats(spark, sf), quality.conversation_errors(F.col("messages"))).where("valid").select("sample_id")
+    return _valid_chats(spark, sf).select("sample_id").distinct()
 
 
 @query("a10_validation_report", f"""with v as (select sample_id, {_CHAT_ERRORS} = 0 as ok from {CHATS}) select count(*) as total, count(*) filter (ok) as valid, count(*) filter (not ok) as invalid,
@@ -111,8 +111,13 @@ def a10(spark, sf):
     return out.withColumn("dropped_pct", F.round(F.col("dropped_pct").cast("double"), 6))
 
 
+def _deliveries(spark, sf) -> DataFrame:
+    """Every delivery of a conversation. Repeated ones give equal rows, so results are made distinct, not the conversations."""
+    return table(spark, sf, "chat_samples").select("sample_id", "messages")
+
+
 def _valid_chats(spark, sf) -> DataFrame:
-    return quality.validate(chats(spark, sf), quality.conversation_errors(F.col("messages"))).where("valid").select("sample_id", "messages")
+    return quality.validate(_deliveries(spark, sf), quality.conversation_errors(F.col("messages"))).where("valid").select("sample_id", "messages")
 
 
 def _valid_alpaca(spark, sf) -> DataFrame:
@@ -161,7 +166,7 @@ def _rendered_sql(template: bool, final: bool = True) -> str:
 def _rendered(spark, sf, template: bool) -> DataFrame:
     s = _valid_chats(spark, sf).select("sample_id", render.conversation_segments(F.col("messages"), template=template).alias("s"))
     chars = F.aggregate(F.filter("s", lambda x: x["is_target"]), F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"]))
-    return s.select("sample_id", F.md5(render.rendered(F.col("s"))).alias("text"), F.size("s").cast("long").alias("n_segments"), chars.alias("n_target_chars"))
+    return s.select("sample_id", F.md5(render.rendered(F.col("s"))).alias("text"), F.size("s").cast("long").alias("n_segments"), chars.alias("n_target_chars")).distinct()
 
 
 @query("c02_conversation_segments", _rendered_sql(False))
@@ -182,7 +187,7 @@ Q["w05_turn_pairs"], SQL["w05_turn_pairs"] = Q["c02_conversation_segments"], SQL
  select sample_id, count(*) as n_spans, md5(string_agg((pos + 15)::bigint || '-' || (pos + 15 + length(said))::bigint, ',' order by i)) as spans from o where role = 'assistant' group by 1""")
 def c04(spark, sf):
     s = _valid_chats(spark, sf).select("sample_id", render.target_spans(render.with_offsets(render.conversation_segments(F.col("messages"), template=True))).alias("t"))
-    return s.select("sample_id", F.size("t").cast("long").alias("n_spans"), F.md5(F.array_join(F.transform("t", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")).alias("spans"))
+    return s.select("sample_id", F.size("t").cast("long").alias("n_spans"), F.md5(F.array_join(F.transform("t", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")).alias("spans")).distinct()
 
 
 Q["w06_char_offsets"], SQL["w06_char_offsets"] = Q["c04_spans"], SQL["c04_spans"]
@@ -190,7 +195,7 @@ Q["w06_char_offsets"], SQL["w06_char_offsets"] = Q["c04_spans"], SQL["c04_spans"
 
 @query("c05_inference_prompt", f"""select sample_id, md5(case when any_value(head) = '' then '' else 'System: ' || any_value(head) || {_G} end || string_agg({_turn_text(False, False)}, '' order by i)) as text from {_TURNS} group by 1""")
 def c05(spark, sf):
-    return _valid_chats(spark, sf).select("sample_id", F.md5(render.rendered(render.conversation_segments(F.col("messages"), final_response=False))).alias("text"))
+    return _valid_chats(spark, sf).select("sample_id", F.md5(render.rendered(render.conversation_segments(F.col("messages"), final_response=False))).alias("text")).distinct()
 
 
 _IDS = lambda t: f"list_transform(string_split({t}, ''), lambda c: unicode(c) % 500 + 3)"
@@ -209,7 +214,7 @@ def _control_sql() -> str:
 @query("c06_control_tokens", _control_sql() + f" select sample_id, {sql_digest('ids')} as ids, {sql_digest('labels')} as labels from g")
 def c06(spark, sf):
     ids, labels = encode.control_example(F.col("messages"), _LIMIT)
-    return _valid_chats(spark, sf).select("sample_id", ids.alias("i"), labels.alias("l")).select("sample_id", digest(F.col("i")).alias("ids"), digest(F.col("l")).alias("labels"))
+    return _valid_chats(spark, sf).select("sample_id", ids.alias("i"), labels.alias("l")).select("sample_id", digest(F.col("i")).alias("ids"), digest(F.col("l")).alias("labels")).distinct()
 
 
 @query("pf09_drop_rules", f"select sample_id from {ALPACA} where not {_BLANK('instruction')} and not {_BLANK('output')}")

@@ -181,8 +181,10 @@ def test_packing_against_loop(spark):
 def test_document_ids_and_masks(spark):
     df = docs(spark, [[7, 3, 8, 9, 3, 4]]).withColumnRenamed("doc_id", "window_id")
     assert one(df.select(layout.document_ids(F.col("tokens")))) == [0, 0, 1, 1, 1, 2]
-    v = {r["pos"]: r["visible"] for r in layout.visible_keys(df).collect()}
-    assert v == {0: 1, 1: 2, 2: 1, 3: 2, 4: 3, 5: 1}
+    assert one(df.select(layout.visible_keys(F.col("tokens")))) == [1, 2, 1, 2, 3, 1]
+    assert [(r["doc"], r["n"], r["n_visible"]) for r in layout.visible_totals(df).orderBy("doc").collect()] == [(0, 2, 3), (1, 3, 6), (2, 1, 1)]
+    closed = docs(spark, [[3, 7, 3], []]).orderBy("doc_id")
+    assert [r[0] for r in closed.select(layout.document_ids(F.col("tokens"))).collect()] == [[0, 1, 1], []]
 
 
 def test_running_total_and_split(spark):

@@ -88,7 +88,7 @@ def mix(documents: DataFrame, targets: DataFrame, path: str | None = None, seed:
     inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     once = sized.join(offsets.join(plan, ["source"]), ["source", "bucket"]).withColumn("upto", F.col("offset") + F.sum("n_tokens").over(inside))
     copies = once.select("doc_id", "source", "n_tokens", "available", "target_share", "upto", F.explode(F.sequence(F.lit(0), F.col("max_repeats") - 1)).alias("copy"))
-    queue = copies.select("doc_id", "source", "copy", "n_tokens", ((F.col("copy") * F.col("available") + F.col("upto")) / F.col("target_share")).alias("finish"))
+    queue = persist_table(copies.select("doc_id", "source", "copy", "n_tokens", ((F.col("copy") * F.col("available") + F.col("upto")) / F.col("target_share")).alias("finish")))
 
     # the finish time at which the budget is used up, from the same buckets: no global sort is collected
     cut = _cut(queue, budget)

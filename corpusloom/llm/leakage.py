@@ -2,9 +2,11 @@
 
 Words of documents and items are hashed; of every window of ``W`` consecutive
 ``K``-word grams the smallest hash is kept as a fingerprint on both sides, so
-any shared span of ``K + W - 1`` words has a common fingerprint.  Documents and
-items that share enough of them are extended to whole passages: the longest
-common word sequence around each cluster of shared grams.
+any shared span of ``K + W - 1`` words has a common fingerprint.  Of items so
+short that half of them with ``FEW`` changed words may hold no such span, every
+gram is a fingerprint, on both sides.  Documents and items that share one are
+extended to whole passages: the longest common word sequence around each
+cluster of shared grams.
 
 Documents pass a bit set of the items' fingerprints first.  Its size is fixed,
 whatever the number of items; the join that follows is exact.
@@ -27,6 +29,12 @@ K, W = 3, 3
 BITS = 24
 #: Words between shared grams that still belong to one passage.
 GAP = 12
+#: Changed words that half of an item may have and still be sure of a common fingerprint.
+FEW = 3
+#: Words before the first and after the last shared gram that may belong to a passage.
+EDGE = 3
+#: Share of an item that the grams of a passage cover at least, counted up to ``EDGE`` words further on both sides.
+LEAST_COVERED = 0.3
 
 
 def grams(hashes: np.ndarray, rows: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -84,25 +92,45 @@ def item_words(items: DataFrame, repeated: int = 3) -> DataFrame:
     return persist_table(cut.select(F.col("item_id").cast("long").alias("item_id"), "ctx").mapInPandas(run, "item_id long, words array<long>"))
 
 
+def is_short(n: int) -> bool:
+    """Whether half of n words, ``FEW`` of them changed, may hold no span of ``K + W - 1`` words."""
+    return (n + 1) // 2 - FEW < (FEW + 1) * (K + W - 2) + 1
+
+
 def _item_prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for i, words in zip(b["item_id"], b["words"], strict=True):
             h = np.array(words, np.int64).view(np.uint64)
             rows = np.zeros(len(h), np.int64)
-            yield pd.DataFrame({"item_id": i, "print": np.unique(grams(h, rows)[0][winnow(h, rows)]).view(np.int64)})
+            g, short = grams(h, rows)[0], is_short(len(h))
+            yield pd.DataFrame({"item_id": i, "short": short, "print": np.unique(g if short else g[winnow(h, rows)]).view(np.int64)})
+
+
+def _bit_set(prints: DataFrame) -> np.ndarray:
+    cells = prints.select((F.shiftrightunsigned("print", 64 - BITS)).cast("int").alias("cell")).distinct().toArrow()["cell"].to_numpy()
+    bits = np.zeros(1 << (BITS - 3), np.uint8)
+    np.bitwise_or.at(bits, cells >> 3, (1 << (cells & 7)).astype(np.uint8))
+    return bits
+
 
+def _known(g: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    cell = g >> np.uint64(64 - BITS)
+    return (bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _document_prints(bits, short_bits=None):
+    """short_bits: of the grams of short items, if there are any; these are kept wherever they are."""
 
-def _document_prints(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bits.value
         for b in batches:
             rows, ids, hashes = word_ids(b.column("text"))
             h = hashes[ids]
+            g, ok = grams(h, rows)
             at = winnow(h, rows)
-            g = grams(h, rows)[0][at]
-            cell = g >> np.uint64(64 - BITS)
-            hit = (known[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            pairs = np.unique(np.stack([rows[at][hit], g[hit].view(np.int64)]), axis=1) if hit.any() else np.zeros((2, 0), np.int64)
+            at = at[_known(g[at], bits.value)]
+            if short_bits is not None:
+                at = np.union1d(at, np.flatnonzero(ok & _known(g, short_bits.value)))
+            pairs = np.unique(np.stack([rows[at], g[at].view(np.int64)]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(pairs[0])), pa.array(pairs[1])], names=["doc_id", "print"])
 
     return run
@@ -121,81 +149,99 @@ def common_sequence(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
-class Words:
-    """A text's word hashes with its grams, made once for all partners."""
-
-    def __init__(self, hashes) -> None:
-        h = np.asarray(hashes, np.int64)
-        self.words = h.tolist()
-        self.grams = grams(h.view(np.uint64), np.zeros(len(h), np.int64))[0]
-        self.order = np.argsort(self.grams, kind="stable")
-        self.sorted = self.grams[self.order]
-
-
-def passage(doc: Words, item: Words) -> tuple[float, float]:
-    """(share of the item in the document's best passage, density of shared words in that passage)."""
-    best = (0.0, 0.0)
-    if not len(item.grams) or not len(doc.grams):
-        return best
-    at = np.minimum(np.searchsorted(item.sorted, doc.grams), len(item.sorted) - 1)
-    hits = np.flatnonzero(item.sorted[at] == doc.grams)
-    if len(hits) < 2:
-        return best
-    n = len(item.words)
-    edge = np.flatnonzero(np.diff(hits) > GAP)
-    for first, last in zip(np.r_[0, edge + 1].tolist(), np.r_[edge, len(hits) - 1].tolist(), strict=True):
-        if last - first < 1:
-            continue
-        a, b = int(hits[first]), int(hits[last]) + K
-        # the part of the item that the cluster covers
-        where = item.order[at[hits[first : last + 1]]]
-        if int(where.max()) + K - int(where.min()) < 0.3 * n:
-            continue
-        shared = common_sequence(item.words, doc.words[max(0, a - 3) : b + 3])
-        density, share = shared / max(1, b - a), shared / n
-        if min(1.0, density) * share > best[0] * min(1.0, best[1]):
-            best = (share, density)
-    return best
-
-
-def leaks(documents: DataFrame, items: DataFrame, share: float = 0.55, density: float = 0.7, dense_share: float = 0.48, least: int = 4) -> DataFrame:
+def clusters(doc: np.ndarray, doc_rows: np.ndarray, item: np.ndarray, item_rows: np.ndarray, size: int, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document row, item row, first word, word after the last, item words covered, whether there are several) of each cluster of shared grams.
+
+    All pairs at once.  ``wanted`` holds document row times ``size``, the number of items, plus item row.
+    """
+    (dg, dok), (ig, iok) = grams(doc, doc_rows), grams(item, item_rows)
+    dpos, ipos = np.flatnonzero(dok), np.flatnonzero(iok)
+    ipos = ipos[np.argsort(ig[ipos], kind="stable")]
+    known = ig[ipos]
+    lo = np.searchsorted(known, dg[dpos])
+    n = np.searchsorted(known, dg[dpos], "right") - lo
+    at = np.repeat(dpos, n)
+    of = ipos[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(at))]
+    key = doc_rows[at] * size + item_rows[of]
+    keep = np.isin(key, wanted)
+    at, of, key = at[keep], of[keep], key[keep]
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 6
+    order = np.lexsort((at, key))
+    at, of, key = at[order], of[order], key[order]
+    start = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(at) > GAP)])
+    first, last = at[start], at[np.r_[start[1:], len(at)] - 1]
+    covered = np.maximum.reduceat(of, start) + K - np.minimum.reduceat(of, start)
+    return key[start] // size, key[start] % size, first, last + K, covered, last > first
+
+
+def passages(texts: pa.Array, item_words: pa.ListArray, wanted: np.ndarray, share: float, density: float, dense_share: float) -> dict[int, tuple[float, float]]:
+    """By pair of ``wanted``, (share of the item, density of shared words) of the best passage that is long and dense enough.
+
+    A cluster is left out only if the words it can reach are fewer than the share asks for.
+    """
+    rows, ids, hashes = word_ids(texts)
+    h = hashes[ids]
+    lengths = np.diff(item_words.offsets.to_numpy())
+    item = item_words.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    item_rows = np.repeat(np.arange(len(lengths)), lengths)
+    ends = np.searchsorted(rows, np.arange(len(texts) + 1))
+    starts = np.cumsum(lengths) - lengths
+    size = len(lengths)
+    d, i, a, b, covered, several = clusters(h, rows, item, item_rows, size, wanted)
+    n = lengths[i]
+    far = (b - a + 2 * EDGE >= min(share, dense_share) * n) & (covered + 2 * EDGE >= LEAST_COVERED * n)
+    out: dict[int, tuple[float, float]] = {}
+    for x in np.flatnonzero(far).tolist():
+        words = item[starts[i[x]] : starts[i[x]] + n[x]].tolist()
+        key, begin, end = int(d[x]) * size + int(i[x]), int(ends[d[x]]), int(ends[d[x] + 1])
+        # a single gram is a phrase: words beside it count with their own places in the density
+        reach = [(EDGE, EDGE)] if several[x] else [(l, r) for l in range(EDGE + 1) for r in range(EDGE + 1)]
+        for l, r in reach:
+            shared = common_sequence(words, h[max(begin, int(a[x]) - l) : min(end, int(b[x]) + r)].tolist())
+            dn, s = shared / (int(b[x] - a[x]) + (0 if several[x] else l + r)), shared / int(n[x])
+            if not several[x] and shared <= K and s < 1:
+                continue
+            if (dn >= density and s >= share or dn >= 0.9 and s >= dense_share) and min(1.0, dn) * s > out.get(key, (0.0, 0.0))[0] * min(1.0, out.get(key, (0.0, 0.0))[1]):
+                out[key] = (s, dn)
+    return out
+
+
+def leaks(documents: DataFrame, items: DataFrame, share: float = 0.55, density: float = 0.7, dense_share: float = 0.48) -> DataFrame:
     """doc_id, item_id, share, density: documents that carry half of an item's words as one passage.
 
     Items built alike share half of their words in order with changes all over.
     So a passage needs ``share`` of the item at a density of ``density``, or
-    ``dense_share`` (changed words aren't shared) if nearly unchanged.  Pairs
-    with fewer than ``least`` fingerprints in common aren't extended: half an
-    item has more unless it is changed all over.  Null and
+    ``dense_share`` (changed words aren't shared) if nearly unchanged.  Every
+    pair with a common fingerprint is extended.  Three words alone are a phrase
+    and no passage, unless they are the item; items of one or two words have no
+    gram and leak nothing.  Null and
     empty texts and items have no words and leak nothing; rows repeated under
     one id count once.  Other columns are not read.
     """
     spark = documents.sparkSession
     words = item_words(items)
-    prints = persist_table(words.mapInPandas(_item_prints, "item_id long, print long"))
-    cells = prints.select((F.shiftrightunsigned("print", 64 - BITS)).cast("int").alias("cell")).distinct().toArrow()["cell"].to_numpy()
-    bits = np.zeros(1 << (BITS - 3), np.uint8)
-    np.bitwise_or.at(bits, cells >> 3, (1 << (cells & 7)).astype(np.uint8))
+    prints = persist_table(words.mapInPandas(_item_prints, "item_id long, short boolean, print long"))
+    bits = spark.sparkContext.broadcast(_bit_set(prints.where("not short")))
+    short_bits = spark.sparkContext.broadcast(_bit_set(prints.where("short"))) if prints.where("short").head(1) else None
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    found = texts.mapInArrow(_document_prints(spark.sparkContext.broadcast(bits)), "doc_id long, print long")
-    pairs = persist_table(found.join(prints, "print").groupBy("doc_id", "item_id").agg(F.count_distinct("print").alias("shared")).where(F.col("shared") >= least))
+    found = texts.mapInArrow(_document_prints(bits, short_bits), "doc_id long, print long")
+    pairs = persist_table(found.join(prints, "print").select("doc_id", "item_id").distinct())
 
     # texts of the candidates: a bounded set of id cells goes to every task, the exact join follows
     cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 18)).cast("int").alias("cell")
     near = F.broadcast(pairs.select(cell).distinct())
     joined = texts.withColumn("cell", cell).join(near, "cell", "left_semi").drop("cell").join(pairs, "doc_id").join(words, "item_id").select("doc_id", "item_id", "text", "words")
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            unique = b["text"].unique()
-            docs = {t: Words(w) for t, w in zip(unique, _item_words(pd.Series(unique)), strict=True)}
-            known: dict[int, Words] = {}
-            for d, i, text, item in zip(b["doc_id"], b["item_id"], b["text"], b["words"], strict=True):
-                if i not in known:
-                    known[i] = Words(item)
-                s, dn = passage(docs[text], known[i])
-                if dn >= density and s >= share or dn >= 0.9 and s >= dense_share:
-                    out.append((d, i, s, dn))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "share", "density"])
-
-    return joined.mapInPandas(verify, "doc_id long, item_id long, share double, density double").groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("density").alias("density"))
+            text = b.column("text").dictionary_encode()
+            of_text = text.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, first, of_item = np.unique(b.column("item_id").to_numpy(), return_index=True, return_inverse=True)
+            wanted = of_text * len(ids) + of_item
+            good = passages(text.dictionary, b.column("words").take(pa.array(first)), np.unique(wanted), share, density, dense_share)
+            at = np.flatnonzero(np.isin(wanted, list(good)))
+            s, dn = (pa.array([good[k][j] for k in wanted[at].tolist()], pa.float64()) for j in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), b.column("item_id").take(pa.array(at)), s, dn], names=["doc_id", "item_id", "share", "density"])
+
+    return joined.mapInArrow(verify, "doc_id long, item_id long, share double, density double").groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("density").alias("density"))

@@ -337,6 +337,32 @@ def test_leaks(spark):
     assert leakage.leaks(df, spark.createDataFrame([], "item_id long, ctx string")).count() == 0
 
 
+def test_leaks_of_short_items(spark):
+    """Whole short items, halves and spoiled halves have few common fingerprints and are found all the same; phrases aren't."""
+    rng = random.Random(14)
+    word = lambda: f"{rng.choice('abcdef')}{rng.randrange(10**6)}"
+    items, docs, expected = [], [], set()
+    fill = lambda n: " ".join(f"z{rng.randrange(900)}" for _ in range(n))
+    for i, n in enumerate(n for n in (3, 4, 5, 6, 7, 8, 9, 10, 12) for _ in range(6)):
+        ctx = [word() for _ in range(n)]
+        items.append((i, " ".join(ctx)))
+        docs.append((i, f"{fill(40)} {' '.join(ctx)} {fill(40)}"))
+        expected.add((i, i))
+    for i, n in enumerate((n for n in (16, 20, 26, 36, 44) for _ in range(6)), 100):
+        ctx = [word() for _ in range(n)]
+        items.append((i, " ".join(ctx)))
+        part = ctx[n // 5 : n // 5 + -(-55 * n // 100)]
+        docs.append((i, f"{fill(40)} {' '.join(part)} {fill(40)}"))
+        spoiled = ctx[: -(-6 * n // 10) + n // 10]
+        for k in range(n // 10):
+            spoiled[(k + 1) * len(spoiled) // (n // 10 + 1)] = word()
+        docs.append((1000 + i, f"{fill(40)} {' '.join(spoiled)} {fill(40)}"))
+        docs.append((2000 + i, f"{fill(40)} {' '.join(ctx[:4])} {fill(40)}"))  # a phrase
+        expected |= {(i, i), (1000 + i, i)}
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, ctx string")).collect()}
+    assert got == expected
+
+
 # --- mixing --------------------------------------------------------------------
 
 

@@ -254,6 +254,29 @@ def test_refusals():
         assert sum(defects.votes_refusal(ask, good)) < 0, good
 
 
+def test_long_refusals():
+    ask = "Which steps help against token theft on the badge system?"
+    refusals = (
+        "I'm sorry, but I can't help with that request. Our safety guidelines do not allow me to describe how such an attack is stopped or carried out. I understand that this may be frustrating, and I appreciate your patience. If you like, I would be happy to talk about other topics, such as how a team can plan its training or write clear reports. Please let me know what you would like to discuss instead.",
+        "Thank you for your question. I understand that the matter is important to you and your colleagues. Unfortunately, I am not able to answer it, because the rules that I follow forbid me to discuss the protection of badge systems in any detail. I can gladly help you with other questions about the company, its offices and its services. Please feel free to ask.",
+        "Es tut mir leid, aber diese Frage kann ich Ihnen leider nicht beantworten. Unsere Richtlinien erlauben mir nicht, über den Schutz von solchen Anlagen zu sprechen, auch wenn der Grund für die Frage ein guter ist. Ich bitte dafür um Ihr Verständnis und um etwas Geduld. Gerne spreche ich mit Ihnen über andere Themen, etwa über die Planung von Schulungen.",
+    )
+    for bad in refusals:
+        assert len(bad.split()) > 50 and defects.votes_refusal(ask, bad) == (1, 1, 1, 1), bad
+        assert sum(defects.votes_refusal("Write a letter to decline the offer of the supplier.", bad)) < 0
+    assert all(defects.votes_refusal(ask, bad) == (1, 1, 1, 1) for bad in defects._LONG_REFUSALS)
+    short = "I'm sorry, but I can't help with that."
+    for padded in (" " * 90 + short, short + " " * 90, short.replace(" ", " " * 12), short.replace(" ", "\n" + " " * 12, 2)):
+        assert defects.votes_refusal(ask, padded) == defects.votes_refusal(ask, short)
+    answers = (
+        "I can't give legal advice, but these steps help. Rotate the signing keys every month and bind each token to the device that asked for it. Keep the lifetime of a token short. Log each use with the reader and the time. Alert the guard when one badge is used at two doors within a minute.",
+        "A stolen token cannot be used when it is bound to a device. " * 8,
+        "Unfortunately, the badge system cannot tell a copied token from a real one. Bind tokens to the readers, rotate the keys each month and shorten the lifetime. " * 3,
+    )
+    for good in answers:
+        assert len(good.split()) > 45 and sum(defects.votes_refusal(ask, good)) < 0, good
+
+
 def test_copies():
     ask = "How would you use hardware keys to protect a build server from port knocking?"
     for bad in (ask, ask.upper(), f"User: {ask}", f"You asked: “{ask}”", "How you would use hardware keys to protect a build server port knocking?"):

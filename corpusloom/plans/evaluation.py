@@ -295,7 +295,9 @@ def w10(spark, sf):
     return table(spark, sf, "events").select(F.col("event_id").alias("step")).orderBy(F.desc("step")).limit(5)
 
 
-Q["l08_by_step"], SQL["l08_by_step"] = Q["w10_last_versions"], SQL["w10_last_versions"]
+@query("l08_by_step", f"select step from {_CURVE} order by step")
+def l08(spark, sf):
+    return table(spark, sf, "events").select(F.col("event_id").alias("step")).orderBy("step")
 
 
 @query("w11_throughput", f"select (step // 100)::bigint as part, count(*) as n, round(avg(loss), 6) as mean from {_CURVE} group by 1")

@@ -319,6 +319,19 @@ def test_find_defects(spark, cut_model):
     assert none.count() == 0
 
 
+def test_closed_answers_can_be_cut(spark, cut_model):
+    """Truncated answers of p5 are those of p2, whatever they end with."""
+    answers = ["The relay needs at least version 4.", "Set the lifetime of the token to v2.", "It listens on port 443 and on", "Keep the keys in a safe."]
+    a = spark.createDataFrame([(i, "s", "Which version?", "", x) for i, x in enumerate(answers * 5)], "sample_id long, source string, instruction string, input string, output string")
+    c = spark.createDataFrame([], "sample_id long, source string, messages array<struct<role:string,content:string>>")
+    model = truncation.TruncationModel(**{**cut_model.state(), "bias": cut_model.bias + 1.5})
+    for m in (cut_model, model, truncation.TruncationModel(**{**cut_model.state(), "bias": 60.0})):
+        cut = {r["sample_id"] for r in truncation.score_values(truncation.values(a, c), m).where("truncated").collect()}
+        found, _ = defects.find_defects(a, c, m)
+        assert {r["sample_id"] for r in found.where("defect = 'truncated'").collect()} == cut
+    assert len(cut) == 20
+
+
 # --- leakage -------------------------------------------------------------------
 
 

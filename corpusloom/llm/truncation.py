@@ -112,7 +112,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends += np.bincount(cells[e], minlength=len(ends))
         seen += len(texts)
         for s, f, v in zip(b.column("source").to_pylist(), b.column("field").to_pylist(), texts.to_pylist(), strict=True):
-            if len(v) > 40 and (v[-1].isalnum() or v[-1] in " ,;:-–—/(=_�"):
+            # a short value of few words is a name, number or the like: its length is no field's
+            if (len(v) > 40 or v.count(" ") >= 3) and (v[-1].isalnum() or v[-1] in " ,;:-–—/(=_�"):
                 lengths[s, f, "c", len(v)] += 1
                 lengths[s, f, "b", len(v.encode())] += 1
     at = np.flatnonzero(total)
@@ -231,7 +232,8 @@ def find_limits(lengths: list[tuple[str | None, str, int, int]]) -> dict[tuple[s
         by.setdefault((source, unit), Counter())[length] += n
     out = {}
     for key, count in by.items():
-        found = [x for x, n in count.items() if n >= 4 + 5 * sum(count[y] for y in range(x - 15, x + 16) if abs(y - x) > 2) / 26]
+        # short lengths have fewer below them
+        found = [x for x, n in count.items() if n >= 4 + 5 * sum(count[y] for y in range(x - 15, x + 16) if abs(y - x) > 2) / (13 + min(13, max(0, x - 3)))]
         if found:
             out[key] = sorted(found)
     return out
@@ -315,9 +317,10 @@ def fit_truncation(cells: DataFrame, seed: int = 3, sample: int = SAMPLE) -> Tru
     total, ends = np.zeros(1 << CELL_BITS, np.int64), np.zeros(1 << CELL_BITS, np.int64)
     at = table["cell"].to_numpy()
     total[at], ends[at] = table["total"].to_numpy(), table["ends"].to_numpy()
-    # a spike stands out by its count, so lengths seen less than four times need not leave the executors
-    spikes = counted.where("length is not null").groupBy("source", "unit", "length").agg(F.sum("total").alias("n"))
-    around = spikes.alias("a").join(spikes.where("n >= 4").select("source", "unit").distinct().alias("s"), F.expr("a.source <=> s.source and a.unit = s.unit"), "left_semi").where("length <= 100000")
+    # a spike stands out by its count: only lengths seen four times and those around them leave the executors
+    spikes = persist_table(counted.where("length is not null").groupBy("source", "unit", "length").agg(F.sum("total").alias("n")))
+    reach = spikes.where("n >= 4").select("source", "unit", F.explode(F.expr("sequence(length - 15, length + 15)")).alias("length")).distinct()
+    around = spikes.alias("a").join(reach.alias("s"), F.expr("a.source <=> s.source and a.unit = s.unit and a.length = s.length"), "left_semi")
     model = TruncationModel(total, ends, find_limits([(r["source"], r["unit"], r["length"], r["n"]) for r in around.collect()]))
     seen = counted.where("cell is null and length is null").agg(F.sum("total")).first()[0] or 0
     parts = 1 << 20

@@ -195,6 +195,20 @@ def test_limits_found():
     assert truncation.find_limits(lengths) == {("s", "c"): [250]}
 
 
+def test_limits_of_any_length(spark):
+    """A source's limit is found below 40 characters and beyond 100,000, and ordinary short values make none."""
+    rng = random.Random(15)
+    schema = "sample_id long, source string, field string, turn int, value string"
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    text = lambda n: " ".join(word() for _ in range(n // 4 + 9))[: n - 1] + "x"
+    rows = [("short", text(32)) for _ in range(12)] + [("forty", text(40)) for _ in range(12)] + [("long", text(131_072)) for _ in range(6)]
+    rows += [(s, text(rng.randrange(20, 400))) for s in ("short", "forty", "long") for _ in range(60)]
+    rows += [("plain", text(k)) for k in range(2, 30) for _ in range(6)]
+    values = spark.createDataFrame([(i, s, "output", -1, v) for i, (s, v) in enumerate(rows)], schema)
+    limits = truncation.fit_truncation(values).limits
+    assert {k[0]: v for k, v in limits.items() if k[1] == "c"} == {"short": [32], "forty": [40], "long": [131_072]}
+
+
 @pytest.fixture(scope="module")
 def cut_model(spark):
     sf = SF.replace("0.001", "0.01")

@@ -118,7 +118,8 @@ def match_keys(rows, tokens, bag, n, grp, df, rank, total, threshold):
     rare = d <= RARE
     far = np.zeros(len(n), bool)
     far[rows[(pos < base[rows]) & ~rare]] = True
-    able = n > 5  # smaller bags have no partner but their equals
+    # texts that can have a partner besides their equals: one as long or shorter, or a longer one
+    able = (_need(n, threshold) < n) | (np.floor(n / threshold + 1e-9) > n)
     own, lo, hi = (size_class(m)[0] for m in (n, _need(n, threshold), np.floor(n / threshold + 1e-9).astype(np.int64)))
     longest = base + np.where(far, size_class(np.maximum(n, np.floor(n / threshold + 1e-9)))[1], 0)
     with np.errstate(over="ignore"):

@@ -86,6 +86,18 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, seed, rare, hot
                 assert got == (i % 2 == j % 2 and near(bags[i], bags[j])), (texts[i], texts[j])
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.75, 0.8, 0.85])
+def test_near_duplicates_of_few_words(spark, threshold):
+    """Texts of one to seven words, whatever the threshold."""
+    rng = random.Random(16)
+    texts = [" ".join(rng.choice(WORDS[:9]) for _ in range(rng.randrange(1, 8))) for _ in range(120)] + ["a b c d e", "a b c d f", "a b c d"]
+    found = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", F.col("text"), threshold=threshold)
+    bag_of = {r["id"]: r["bag"] for r in found.members.collect()}
+    links = {frozenset((r["bag_a"], r["bag_b"])) for r in found.links.collect()}
+    bags = [bag(t) for t in texts]
+    assert links == {frozenset((bag_of[i], bag_of[j])) for i in range(len(texts)) for j in range(i) if bag_of[i] != bag_of[j] and near(bags[i], bags[j], threshold)}
+
+
 def test_near_duplicates_of_nothing(spark):
     found = neardup.near_duplicates(spark.createDataFrame([], "id long, text string"), "id", "text")
     assert found.members.count() == 0 and found.links.count() == 0

@@ -6,23 +6,48 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
-_written: list[tuple[SparkSession, str]] = []
+#: Written tables by path.
+_written: dict[str, SparkSession] = {}
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path, None)
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may be gone already; other tables may have another one
+        pass
 
 
 @atexit.register
 def _clean() -> None:
     """Tables of this driver are of no use once it ends."""
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone already
-            return
+    for path in list(_written):
+        _delete(path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table of ``persist_table`` that nothing reads any more."""
+    path = df.__dict__.get("_path")
+    if path in _written:
+        _delete(path)
+
+
+@contextmanager
+def table_scope() -> Iterator[None]:
+    """Deletes at its end the tables written inside; results that read them have to be written or collected before."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in set(_written) - before:
+            _delete(path)
 
 
 def get_session(app: str = "corpusloom", cores: str = "*") -> SparkSession:
@@ -56,12 +81,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def persist_table(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, lineage cut, safe against lost executors."""
+    """Write ``df`` to the shared folder and read it back: computed once, lineage cut, safe against lost executors.
+
+    The table lasts until ``drop_table``, the end of its ``table_scope`` or of
+    the driver, as results may read it until then.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = spark
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._path = path
+    return table
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import persist_table
+from .pruning import pruned
 from .words import mix, word_ids
 
 K, W = 3, 3
@@ -228,10 +229,7 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.55, density:
     found = texts.mapInArrow(_document_prints(bits, short_bits), "doc_id long, print long")
     pairs = persist_table(found.join(prints, "print").select("doc_id", "item_id").distinct())
 
-    # texts of the candidates: a bounded set of id cells goes to every task, the exact join follows
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 18)).cast("int").alias("cell")
-    near = F.broadcast(pairs.select(cell).distinct())
-    joined = texts.withColumn("cell", cell).join(near, "cell", "left_semi").drop("cell").join(pairs, "doc_id").join(words, "item_id").select("doc_id", "item_id", "text", "words")
+    joined = pruned(texts, "doc_id", pairs.select("doc_id").distinct()).join(pairs, "doc_id").join(words, "item_id").select("doc_id", "item_id", "text", "words")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -16,6 +16,10 @@ longer one, counted with multiplicity and in any order.  The search is exact.
 4. Each key carries the text's size and a 256-bit parity of its tokens.  Bits
    that differ bound the symmetric difference from below, so pairs that cannot
    reach the threshold end inside the join.  The rest is verified on tokens.
+5. Rows of each key are counted where the exchange has brought them together.
+   Keys of more than ``HOT`` rows, as a template repeated with other values has
+   them, are spread over blocks of that size, so no task meets more than
+   ``HOT`` rows of a key with as many others.
 
 Null and empty texts have no words and are in no class.
 """
@@ -27,20 +31,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import persist_table
+from ..session import drop_table, persist_table
+from .pruning import pruned
 from .words import bags, mix
 
 CELL_BITS = 20
 #: A token in at most so many texts is rare: matching on it alone is cheap.
 RARE = 100
-#: Expected texts of a pair key above which its rows are salted.
+#: Rows of a key above which they are spread over blocks of so many.
 HOT = 20_000
+#: Words of texts for each of the tasks that match keys, if the session asks for fewer tasks.
+WORDS_A_TASK = 2_000_000
+#: Classes that a task remembers, so that copies of a text are matched once a task.
+REMEMBERED = 1 << 18
 
 _SCAN = "id long, grp long, bag long, n int, cell int, df long"
-_KEYS = "key long, bag long, n int, s0 long, s1 long, s2 long, s3 long, role int"
+_KEYS = "key long, bag long, n int, s0 long, s1 long, s2 long, s3 long"
 
 
 @dataclass
@@ -104,8 +113,8 @@ def groups_of(c):
     return STEP**c
 
 
-def match_keys(rows, tokens, bag, n, grp, df, rank, total, threshold):
-    """Arrays (key, row, role) of a batch; role 0 meets all, 1 and 2 are the two sides of a salted key."""
+def match_keys(rows, tokens, n, grp, df, rank, threshold):
+    """Arrays (key, row) of a batch."""
     cell = (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
     place = rank[cell]
     # by row, then by count, then by token (of which 64 - 14 - CELL_BITS bits tell those of one cell apart)
@@ -125,7 +134,7 @@ def match_keys(rows, tokens, bag, n, grp, df, rank, total, threshold):
     with np.errstate(over="ignore"):
         salt = mix(grp + np.uint64(3))
         single = np.flatnonzero(rare & (d > 1) & able[rows] & (pos < longest[rows]))
-        keys, at, roles = [mix(tokens[single] + salt[rows[single]])], [rows[single]], [np.zeros(len(single), np.int32)]
+        keys, at = [mix(tokens[single] + salt[rows[single]])], [rows[single]]
         for c in np.unique(np.concatenate([own, lo, hi])) if len(n) else []:
             g = int(groups_of(c))
             here = far & able & ((own == c) | (lo == c) | (hi == c))
@@ -136,17 +145,10 @@ def match_keys(rows, tokens, bag, n, grp, df, rank, total, threshold):
             step = 1
             while step < len(t) and (same := group[:-step] == group[step:]).any():
                 a, b = t[:-step][same], t[step:][same]
-                key = mix(tokens[a] + mix(tokens[b] + np.uint64(c)) + salt[rows[a]])
-                sides = np.ceil(d[a].astype(float) * d[b] / max(1, total) / HOT).astype(np.int64)
-                cold = sides <= 1
-                keys.append(key[cold]), at.append(rows[a][cold]), roles.append(np.zeros(cold.sum(), np.int32))
-                if not cold.all():
-                    k, r, s = key[~cold], rows[a][~cold], sides[~cold]
-                    keys.append(mix(k + bag[r] % s.astype(np.uint64))), at.append(r), roles.append(np.ones(len(r), np.int32))
-                    nth = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
-                    keys.append(mix(np.repeat(k, s) + nth.astype(np.uint64))), at.append(np.repeat(r, s)), roles.append(np.full(s.sum(), 2, np.int32))
+                keys.append(mix(tokens[a] + mix(tokens[b] + np.uint64(c)) + salt[rows[a]]))
+                at.append(rows[a])
                 step += 1
-    return np.concatenate(keys), np.concatenate(at), np.concatenate(roles)
+    return np.concatenate(keys), np.concatenate(at)
 
 
 def parity(rows: np.ndarray, tokens: np.ndarray, count: int) -> np.ndarray:
@@ -156,21 +158,31 @@ def parity(rows: np.ndarray, tokens: np.ndarray, count: int) -> np.ndarray:
     return np.packbits(odd.reshape(count, 256), axis=1, bitorder="little").view(np.int64)
 
 
-def _keyed(df_cells, total: int, threshold: float):
+def _keyed(df_cells, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = df_cells.value
         rank = np.empty(len(df), np.int64)
         rank[np.argsort(df, kind="stable")] = np.arange(len(df))
+        seen: set[int] = set()
         for batch in _small(batches):
             rows, tokens, bag, n, grp = _grouped_bags(batch)
-            key, at, role = match_keys(rows, tokens, bag, n, grp, df, rank, total, threshold)
+            # copies of a text have the same keys: once is enough
+            first = np.unique(bag, return_index=True)[1]
+            new = np.array([b not in seen for b in bag[first].tolist()], bool)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            seen.update(bag[first[new]].tolist())
+            keep = np.zeros(len(n), bool)
+            keep[first[new]] = True
+            of_kept = keep[rows]
+            key, at = match_keys(rows[of_kept], tokens[of_kept], np.where(keep, n, 0), grp, df, rank, threshold)
             # rows of a text side by side: what they repeat is compressed away in the shuffle
             order = np.argsort(at, kind="stable")
-            key, at, role = key[order], at[order], role[order]
+            key, at = key[order], at[order]
             bits = parity(rows, tokens, len(n))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(bag.view(np.int64)[at]), pa.array(n[at].astype(np.int32)), *(pa.array(bits[at, i]) for i in range(4)), pa.array(role)],
-                names=["key", "bag", "n", "s0", "s1", "s2", "s3", "role"],
+                [pa.array(key.view(np.int64)), pa.array(bag.view(np.int64)[at]), pa.array(n[at].astype(np.int32)), *(pa.array(bits[at, i]) for i in range(4))],
+                names=["key", "bag", "n", "s0", "s1", "s2", "s3"],
             )
 
     return run
@@ -185,6 +197,44 @@ def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id").take(has), pa.array(bag.view(np.int64)).take(has), arrays.take(has)], names=["id", "bag", "tokens"])
 
 
+def _blocks(keys: DataFrame) -> DataFrame:
+    """Rows of hot keys in blocks (lo, hi): those of two parts meet in one block, those of one part in that of the part."""
+    parts = F.ceil(F.col("m") / HOT)
+    own = keys.withColumn("part", F.pmod(F.col("bag"), parts))
+    return own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
+
+
+def _close(threshold: float) -> Column:
+    """Whether rows a and b, of different bags, may share enough words by their sizes and parities."""
+    apart = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(4)), F.lit(0))
+    need = F.ceil(F.greatest("a.n", "b.n") * threshold - 1e-9)
+    return (F.col("a.bag") < F.col("b.bag")) & (F.least("a.n", "b.n") >= need) & (apart <= F.col("a.n") + F.col("b.n") - 2 * need)
+
+
+def _candidates(keys: DataFrame, threshold: float) -> DataFrame:
+    """bag_a < bag_b of rows of one key that may share enough words.
+
+    Rows of hot keys pass the first join unmatched and are kept beside its
+    pairs; only if there are any they meet in blocks.
+    """
+    parts = ("key", "bag", "n", "s0", "s1", "s2", "s3", "m")
+    a, b = keys.where("m > 1").alias("a"), keys.where(F.col("m").between(2, HOT)).alias("b")
+    hot = F.when(F.col("a.m") > HOT, F.struct(*(F.col(f"a.{c}") for c in parts)))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & _close(threshold), "left").where((F.col("a.m") > HOT) | F.col("b.bag").isNotNull())
+    met = persist_table(met.select(F.col("a.bag").alias("bag_a"), F.col("b.bag").alias("bag_b"), hot.alias("hot")).distinct())
+    pairs, rest = met.where("hot is null").select("bag_a", "bag_b"), met.where("hot is not null").select("hot.*")
+    if rest.head(1):
+        blocks = _blocks(rest)
+        a, b = blocks.alias("a"), blocks.alias("b")
+        same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "lo", "hi")]
+        # rows of one part meet in their own block only
+        once = (F.col("a.lo") == F.col("a.hi")) | (F.col("a.part") != F.col("b.part"))
+        more = a.join(b, same[0] & same[1] & same[2] & once & _close(threshold)).select(F.col("a.bag").alias("bag_a"), F.col("b.bag").alias("bag_b"))
+        pairs = persist_table(pairs.unionByName(more).distinct())
+        drop_table(met)
+    return pairs
+
+
 def near_duplicates(texts: DataFrame, id_col: str, text: Column | str, group: Column | str | None = None, threshold: float = 0.85) -> NearDuplicates:
     """Classes of equal word multisets and the links between different classes.
 
@@ -202,29 +252,20 @@ def near_duplicates(texts: DataFrame, id_col: str, text: Column | str, group: Co
     counts = scan.where("cell is not null").groupBy("cell").agg(F.sum("df").alias("df")).toArrow()
     cells = np.zeros(1 << CELL_BITS, np.int64)
     cells[counts["cell"].to_numpy()] = counts["df"].to_numpy()
-    total = scan.where("bag is not null").count()
-    keys = (
-        source.mapInArrow(_keyed(spark.sparkContext.broadcast(cells), total, threshold), _KEYS)
-        .repartition("key")
-        .groupBy("key", "bag", "role")
-        .agg(*(F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")))
-    )
-    # one exchange serves both sides; the sides are told apart in the join, as a filter on one of them would be pushed below it
-    a, b = keys.alias("a"), keys.alias("b")
-    sides = (F.col("a.role") * 4 + F.col("b.role")).isin(0, 6)
-    larger = F.greatest("a.n", "b.n")
-    apart = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(4)), F.lit(0))
-    need = F.ceil(larger * threshold - 1e-9)
-    close = (F.least("a.n", "b.n") >= need) & (apart <= F.col("a.n") + F.col("b.n") - 2 * need)
-    candidates = persist_table(a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.bag") < F.col("b.bag")) & close & sides).select(F.col("a.bag").alias("bag_a"), F.col("b.bag").alias("bag_b")).distinct())
+    words = scan.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+    keys = source.mapInArrow(_keyed(spark.sparkContext.broadcast(cells), threshold), _KEYS)
+    tasks = -(-words // WORDS_A_TASK)
+    keys = keys.repartition(tasks, "key") if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else keys.repartition("key")
+    keys = keys.groupBy("key", "bag").agg(*(F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")))
+    # one exchange serves the counts and both sides of the join
+    keys = keys.withColumn("m", F.count("*").over(Window.partitionBy("key")))
+    candidates = _candidates(keys, threshold)
 
     wanted = candidates.select(F.explode(F.array("bag_a", "bag_b")).alias("bag")).distinct()
-    ids = members.groupBy("bag").agg(F.min("id").alias("id"), F.min("grp").alias("grp")).join(wanted, "bag", "left_semi")
-    # the words of the candidates: a bounded set of id cells goes to every task, the exact join follows
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 18)).cast("int")
-    near = F.broadcast(ids.select(cell("id").alias("cell")).distinct())
-    tokens = source.withColumn("cell", cell("id")).join(near, "cell", "left_semi").select("id", "grp", "text").mapInArrow(_tokens_of, "id long, bag long, tokens array<long>")
-    tokens = persist_table(tokens.join(ids.select("bag", "id"), ["bag", "id"], "left_semi").dropDuplicates(["bag"]).select("bag", "tokens"))
+    # one text of each class that may have a link
+    ids = persist_table(members.groupBy("bag").agg(F.min("id").alias("id")).join(wanted, "bag", "left_semi"))
+    tokens = pruned(source, "id", ids).select("id", "grp", "text").mapInArrow(_tokens_of, "id long, bag long, tokens array<long>")
+    tokens = persist_table(tokens.join(ids, ["bag", "id"], "left_semi").dropDuplicates(["bag"]).select("bag", "tokens"))
     ta, tb = tokens.select(F.col("bag").alias("bag_a"), F.col("tokens").alias("ta")), tokens.select(F.col("bag").alias("bag_b"), F.col("tokens").alias("tb"))
     shared = F.size(F.array_intersect("ta", "tb"))
     links = (

@@ -67,16 +67,25 @@ def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("sample_id", "class_id", F.coalesce("root", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("n_linked_classes"))
 
 
-def p4_pairs(spark: SparkSession, sf: str) -> DataFrame:
+def _overlaps(spark: SparkSession, sf: str) -> overlap.SplitOverlaps:
     return overlap.split_overlaps(_read(spark, sf, "documents"), _read(spark, sf, "split_meta"))
 
 
+def p4_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per build and listed document: its class and the numbers of its counterparts on the other side."""
+    return _overlaps(spark, sf).documents()
+
+
+def p4_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return _overlaps(spark, sf).pairs()
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_pairs(spark, sf).select("build_id", F.least("train_doc", "val_doc").alias("doc_id_a"), F.greatest("train_doc", "val_doc").alias("doc_id_b")).distinct()
 
 
 def p4_report(spark: SparkSession, sf: str) -> DataFrame:
-    return overlap.overlap_report(p4_pairs(spark, sf))
+    return _overlaps(spark, sf).report()
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,7 +120,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_windows, p1_filling, p2_found, p2_rates, p3_found, p3_groups, p4_found, p4_report, p4_pairs, p5_found, p6_found, p6_leaks, p7_mixture, p7_shares, p8_found, p8_restored)
+    named = (p1_windows, p1_filling, p2_found, p2_rates, p3_found, p3_groups, p4_found, p4_report, p4_documents, p4_pairs, p5_found, p6_found, p6_leaks, p7_mixture, p7_shares, p8_found, p8_restored)
     return {f.__name__: f for f in named}
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import containers, defects, encoding, groups, leakage, mixing, neardup, overlap, queries, truncation, words
+from corpusloom.llm import containers, defects, encoding, groups, leakage, mixing, neardup, overlap, pruning, queries, truncation, words
 
 SF = "/root/testdata/sf0.001"
 WORDS = [f"w{i}" for i in range(400)]
@@ -68,9 +68,12 @@ def corpus(seed, n=160):
 
 @pytest.mark.parametrize("seed, rare, hot", [(1, 100, 20_000), (2, 2, 20_000), (3, 1, 3)])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, seed, rare, hot):
-    """With few rare tokens nearly all keys are pairs; with a low limit keys are salted."""
+    """With few rare tokens nearly all keys are pairs; with a low limit hot keys are split into blocks, and tasks forget the texts they saw."""
     monkeypatch.setattr(neardup, "RARE", rare)
     monkeypatch.setattr(neardup, "HOT", hot)
+    if hot == 3:
+        monkeypatch.setattr(neardup, "REMEMBERED", 5)
+        monkeypatch.setattr(neardup, "WORDS_A_TASK", 100)
     texts = corpus(seed)
     rows = [(i, i % 2, t, 7) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows + rows[:20] + [(None, 0, "a b c d e f g", 7)], "id long, part long, text string, bag int")
@@ -98,6 +101,34 @@ def test_near_duplicates_of_few_words(spark, threshold):
     assert links == {frozenset((bag_of[i], bag_of[j])) for i in range(len(texts)) for j in range(i) if bag_of[i] != bag_of[j] and near(bags[i], bags[j], threshold)}
 
 
+def test_one_template_in_many_texts(spark, monkeypatch):
+    """100,000 texts of one template with other values: the rows of its keys are spread over blocks of like size."""
+    monkeypatch.setattr(neardup, "HOT", 5_000)
+    template = " ".join(f"t{i}" for i in range(40))
+    value = lambda c: F.concat(F.lit(c), F.pmod(F.xxhash64("id", F.lit(c)), F.lit(40)).cast("string"))
+    values = [value(c) for c in "abcdefghij"]
+    df = spark.range(100_000).select("id", F.concat_ws(" ", F.lit(template), *values).alias("text"))
+    keys = df.select(F.lit(1).cast("long").alias("key"), F.xxhash64("text").alias("bag"), F.lit(100_000).cast("long").alias("m"))
+    blocks = neardup._blocks(keys).groupBy("lo", "hi").count().collect()
+    assert len(blocks) == 20 * 21 // 2 and max(r["count"] for r in blocks) < 2.3 * neardup.HOT
+    # a few thousand of them end to end: no text has a partner by chance, but every text has its edited copy
+    some = df.where("id < 3000").unionByName(df.where("id < 3000").select((F.col("id") + 1_000_000).alias("id"), F.concat("text", F.lit(" more")).alias("text")))
+    monkeypatch.setattr(neardup, "HOT", 500)
+    found = neardup.near_duplicates(some, "id", "text", threshold=0.97)
+    degree = found.links.select(F.explode(F.array("bag_a", "bag_b")).alias("bag")).distinct().count()
+    assert degree == found.members.select("bag").distinct().count()
+
+
+def test_pruned(spark, monkeypatch):
+    rows = spark.range(20_000).select("id", F.lit(1).alias("_x")).unionByName(spark.createDataFrame([(None, 1)], "id long, _x int"))
+    wanted = spark.range(0, 20_000, 50)
+    got = {r["id"] for r in pruning.pruned(rows, "id", wanted).collect()}
+    assert {r["id"] for r in wanted.collect()} <= got and len(got) < 2_500 and None not in got
+    assert pruning.pruned(rows, "id", wanted.limit(0)).count() == 0
+    assert pruning.pruned(rows, "id", wanted, most=10).count() == 20_001
+    assert [pruning.bits_for(n) for n in (0, 5_000, 1 << 20, 1 << 23)] == [1 << 16, 1 << 17, 1 << 24, 1 << 26]
+
+
 def test_near_duplicates_of_nothing(spark):
     found = neardup.near_duplicates(spark.createDataFrame([], "id long, text string"), "id", "text")
     assert found.members.count() == 0 and found.links.count() == 0
@@ -149,10 +180,31 @@ def test_overlap_edges(spark):
     docs = spark.createDataFrame([(1, 0, 0, "", "s"), (2, 0, 1, "a b c", None), (3, 0, 2, "C b, a", "s"), (4, 1, 0, "a b c", "s")], "doc_id long, shard_no int, doc_index long, text string, source string")
     schema = "build_id long, shard_no int, train_doc_indices array<long>, val_doc_indices array<long>"
     builds = spark.createDataFrame([(1, 0, [0, 1, 1, 99], [0, 2, None]), (1, 0, [0, 1, 1, 99], [0, 2, None]), (2, 1, None, [0])], schema)
-    pairs = overlap.split_overlaps(docs, builds)
-    assert sorted((r["build_id"], r["train_doc"], r["val_doc"], r["kind"]) for r in pairs.collect()) == [(1, 1, 1, "same"), (1, 2, 3, "equal")]
-    assert overlap.overlap_report(pairs).count() == 4
-    assert overlap.split_overlaps(docs, spark.createDataFrame([], schema)).count() == 0
+    found = overlap.split_overlaps(docs, builds)
+    assert sorted((r["build_id"], r["train_doc"], r["val_doc"], r["kind"]) for r in found.pairs().collect()) == [(1, 1, 1, "same"), (1, 2, 3, "equal")]
+    assert found.report().count() == 4
+    none = overlap.split_overlaps(docs, spark.createDataFrame([], schema))
+    assert none.pairs().count() == 0 and none.documents().count() == 0 and none.report().count() == 0
+
+
+def test_overlap_counts_are_those_of_the_pairs(spark):
+    """The report made of counts by class, and the counterparts by document, equal what the expanded pairs give."""
+    rng = random.Random(18)
+    texts = [" ".join(rng.choice(WORDS[:40]) for _ in range(12)) for _ in range(8)]
+    docs = [(i, i % 2, i // 2, edited(rng, rng.choice(texts), rng.choice([0, 0, 1, 2])), rng.choice(["s", "t", None])) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, shard_no int, doc_index long, text string, source string")
+    builds = [(b, b % 2, [rng.randrange(60) for _ in range(40)], [rng.randrange(60) for _ in range(20)]) for b in range(4)]
+    found = overlap.split_overlaps(df, spark.createDataFrame(builds, "build_id long, shard_no int, train_doc_indices array<long>, val_doc_indices array<long>"))
+    expected, partners = {}, Counter()
+    for r in found.pairs().collect():
+        for side in ("train", "val"):
+            expected.setdefault((r["build_id"], side, r[f"{side}_source"], r["kind"]), []).append(r[f"{side}_doc"])
+            partners[r["build_id"], side, r[f"{side}_doc"], r["kind"]] += 1
+    assert {k[3] for k in expected} == {"same", "equal", "near"}
+    assert {(r["build_id"], r["side"], r["source"], r["kind"]): (r["n_documents"], r["n_pairs"]) for r in found.report().collect()} == {k: (len(set(v)), len(v)) for k, v in expected.items()}
+    rows = found.documents().collect()
+    assert len(rows) == len({(r["build_id"], r["side"], r["doc_id"]) for r in rows})
+    assert {(r["build_id"], r["side"], r["doc_id"], k): r[f"n_{k}"] for r in rows for k in ("same", "equal", "near") if r[f"n_{k}"]} == dict(partners)
 
 
 # --- packing -------------------------------------------------------------------

@@ -253,7 +253,8 @@ def near_duplicates(texts: DataFrame, id_col: str, text: Column | str, group: Co
     cells = np.zeros(1 << CELL_BITS, np.int64)
     cells[counts["cell"].to_numpy()] = counts["df"].to_numpy()
     words = scan.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
-    keys = source.mapInArrow(_keyed(spark.sparkContext.broadcast(cells), threshold), _KEYS)
+    # said here, as the optimizer would add it to one side of the join only, and the sides would have exchanges of their own
+    keys = source.mapInArrow(_keyed(spark.sparkContext.broadcast(cells), threshold), _KEYS).where("key is not null")
     tasks = -(-words // WORDS_A_TASK)
     keys = keys.repartition(tasks, "key") if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else keys.repartition("key")
     keys = keys.groupBy("key", "bag").agg(*(F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")))

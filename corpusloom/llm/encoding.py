@@ -4,8 +4,10 @@ A chain is one or two steps "written as A, read as B".  A multinomial
 classifier over hashed byte bigrams, trained on words of the corpus garbled by
 every chain, predicts the chain of each word that is not ASCII (ASCII is the
 same under all chains).  A prediction counts only if the chain can be inverted
-strictly and the inverted word is likelier as intact text than the word itself.
-U+FFFD marks text that is lost for good.
+strictly and the inverted word is likelier as intact text than the word itself:
+by its bytes, and by how often either form occurs in all documents, which a
+count sketch of fixed size tells.  U+FFFD in place of a part of a word marks
+text that is lost for good; by itself or in quotation marks it is quoted.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +47,11 @@ CHAINS: tuple[tuple[tuple[str, str], ...], ...] = (
 )
 
 CELLS = 1 << 13
+#: Cells of each of the two rows of the count sketch.
+COUNT_BITS = 20
 _WORD = re.compile(r"[^ \t\r\n\v\f]*[^\x00-\x7f \t\r\n\v\f][^ \t\r\n\v\f]*")
 _LOST = "�"
+_BROKEN_WORD = re.compile(r"[^\W_]�|�[^\W_]")
 _MARKS = re.compile("[‘’“”„«»…–—•]")
 _PUNCT = string.punctuation
 
@@ -68,11 +76,20 @@ def garble(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
         return None
 
 
-def restore(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
-    """The text before the chain; None unless every step decodes strictly."""
+def as_bytes(text: str, page: str) -> bytes | None:
+    """The bytes that the page reads as the text, None if there are none."""
+    try:
+        return codecs.charmap_encode(text, "strict", _TABLES[page][1])[0]
+    except UnicodeError:
+        return None
+
+
+def restore(text: str, chain: tuple[tuple[str, str], ...], first: bytes | None = None) -> str | None:
+    """The text before the chain; None unless every step decodes strictly. ``first`` are the bytes of the last step if known."""
     try:
         for written, read in reversed(chain):
-            data = codecs.charmap_encode(text, "strict", _TABLES[read][1])[0]
+            data = first if first is not None else codecs.charmap_encode(text, "strict", _TABLES[read][1])[0]
+            first = None
             text = data.decode("utf-8") if written == "utf-8" else codecs.charmap_decode(data, "strict", _TABLES[written][0])[0]
         return text
     except UnicodeError:
@@ -90,13 +107,23 @@ class EncodingModel:
 
     logp: np.ndarray
     prior: np.ndarray
-    #: counts of whole words in the training sample, without ASCII punctuation around them
-    words: dict[str, int]
+    #: counts of words of all documents, without ASCII punctuation around them: two rows of a count sketch
+    counts: np.ndarray
     #: log odds that a run of words of one chain must reach against intact text
     margin: float = 7.0
     #: weight of the classifier's odds where the chain has no UTF-8 step: any bytes decode then, and the bytes of a character aren't independent
     temper: float = 0.4
     known: dict[str, dict[int, tuple[float, str | None]]] = field(default_factory=dict, repr=False)
+    #: by word, the chains whose odds are positive
+    likely: dict[str, list[tuple[int, float]]] = field(default_factory=dict, repr=False)
+
+    def count(self, word: str) -> int:
+        """How often the word occurs in all documents, or more; words that look garbled count as none."""
+        core = word.strip(_PUNCT)
+        if not core or _suspect(core):
+            return 0
+        a, b = _count_cells(core)
+        return int(min(self.counts[0, a], self.counts[1, b]))
 
     def word(self, word: str) -> dict[int, tuple[float, str | None]]:
         """By class, the log odds against intact text and the restored word.
@@ -109,8 +136,10 @@ class EncodingModel:
             cells = _cells(word)
             scores = self.logp[cells].sum(axis=0) + self.prior
             found = {}
+            own = np.log(self.count(word) + 0.5)
+            data = {page: as_bytes(word, page) for page in PAGES}
             for k, chain in enumerate(CHAINS, 1):
-                back = restore(word, chain)
+                back = None if data[chain[-1][1]] is None else restore(word, chain, data[chain[-1][1]])
                 if back == word:
                     continue
                 odds = float(scores[k] - scores[0]) * (1.0 if _strict(chain) else self.temper)
@@ -119,22 +148,29 @@ class EncodingModel:
                 else:
                     # checked: the restored word has to be likelier than the word, per byte as lengths differ
                     gain = float(self.logp[_cells(back), 0].mean() - self.logp[cells, 0].mean())
-                    odds += float(np.clip(np.log((self.words.get(back.strip(_PUNCT), 0) + 0.5) / (self.words.get(word.strip(_PUNCT), 0) + 0.5)), -6, 6))
+                    odds += float(np.clip(np.log(self.count(back) + 0.5) - own, -6, 6))
                     if not _strict(chain):
                         odds += 4.0 * (_plain(back) - _plain(word))
                     found[k] = (odds, back) if gain > 0 else (min(odds, -1.0), None)
             if len(self.known) > 200_000:
                 self.known.clear()
+                self.likely.clear()
             self.known[word] = found
+            self.likely[word] = [(k, odds) for k, (odds, _) in found.items() if odds > 0]
         return found
 
     def runs(self, words: list[str]) -> list[tuple[int, int, int, float]]:
         """Runs (first, last, class, odds) of words garbled by one chain, the likeliest first, without overlaps."""
         best: list[tuple[float, int, int, int]] = []
         by_chain: dict[int, list[tuple[int, float]]] = {}
-        for i, w in enumerate(words):
-            for k, (odds, _) in self.word(w).items():
-                by_chain.setdefault(k, []).append((i, odds))
+        # a run has no more than the positive odds of its words, each once: other chains have no run
+        most: Counter[int] = Counter()
+        for w in set(words):
+            self.word(w)
+            for k, odds in self.likely[w]:
+                most[k] += odds
+        for k in sorted(k for k, odds in most.items() if odds >= self.margin):
+            by_chain[k] = [(i, self.word(w)[k][0]) for i, w in enumerate(words) if k in self.word(w)]
         for k, odds in by_chain.items():
             total, start, top, span = 0.0, 0, 0.0, None
             counted: set[str] = set()  # a word that recurs in a run is no further evidence for it
@@ -168,7 +204,7 @@ class EncodingModel:
         if text.isascii():
             return False, [], text
         words = _WORD.findall(text)
-        runs, lost = self.runs(words), _LOST in text
+        runs, lost = self.runs(words), _LOST in text and bool(_BROKEN_WORD.search(text))
         if all(self._quoted(words[i], k) for a, b, k, _ in runs for i in range(a, b + 1)):
             runs = []  # the text shows such sequences but isn't garbled itself
         if not runs and not lost:
@@ -206,24 +242,35 @@ def _suspect(word: str) -> bool:
     return any(restore(word, chain) not in (None, word) for chain in CHAINS if chain[0][0] == "utf-8")
 
 
-def train(words: list[tuple[str, int]]) -> EncodingModel:
-    """Fit on (word, count) of words that are mostly intact. Words all in capitals are added with a tenth of the weight."""
-    counts = np.full((CELLS, len(CHAINS) + 1), 0.02)
-    vocabulary: Counter[str] = Counter()
+def train(words: list[tuple[str, int]], counts: np.ndarray | None = None) -> EncodingModel:
+    """Fit on (word, count) of words that are mostly intact. Words all in capitals are added with a tenth of the weight.
+
+    ``counts`` are the sketch of all documents; of these words alone if there are none.
+    """
+    by_cell = np.full((CELLS, len(CHAINS) + 1), 0.02)
     mass = np.full(len(CHAINS) + 1, 1e-3)
+    own = np.zeros((2, 1 << COUNT_BITS), np.int64)
     for word, n in words:
         if _suspect(word):
             continue
-        vocabulary[word.strip(_PUNCT)] += n
+        if core := word.strip(_PUNCT):
+            a, b = _count_cells(core)
+            own[0, a] += n
+            own[1, b] += n
         for form, w in ((word, n), (word.upper(), n * 0.1)):
-            np.add.at(counts[:, 0], _cells(form), w)
+            np.add.at(by_cell[:, 0], _cells(form), w)
             mass[0] += w
             for k, chain in enumerate(CHAINS, 1):
                 bad = garble(form, chain)
                 if bad is not None and bad != form and restore(bad, chain) == form:
-                    np.add.at(counts[:, k], _cells(bad), w)
+                    np.add.at(by_cell[:, k], _cells(bad), w)
                     mass[k] += w
-    return EncodingModel(np.log(counts / counts.sum(axis=0)), np.log(mass / mass[0]), dict(vocabulary))
+    return EncodingModel(np.log(by_cell / by_cell.sum(axis=0)), np.log(mass / mass[0]), own if counts is None else counts)
+
+
+def _count_cells(word: str) -> tuple[int, int]:
+    h = xxhash.xxh64_intdigest(word)
+    return h >> (64 - COUNT_BITS), h & ((1 << COUNT_BITS) - 1)
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,11 +281,39 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())}, columns=["word", "n"])
 
 
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of this task's words by cell of both rows."""
+    total = np.zeros(2 << COUNT_BITS, np.int64)
+    for b in batches:
+        parts = pc.ascii_split_whitespace(b.column("text"))
+        coded = parts.flatten().dictionary_encode()
+        n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
+        bare = pc.ascii_trim(coded.dictionary, characters=_PUNCT).to_pylist()
+        h = np.fromiter((xxhash.xxh64_intdigest(w) for w in bare), np.uint64, len(bare))
+        for cells in ((h >> np.uint64(64 - COUNT_BITS)).astype(np.int64), (h & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64) + (1 << COUNT_BITS)):
+            total += np.bincount(cells, weights=n, minlength=len(total)).astype(np.int64)
+    cells = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], names=["cell", "n"])
+
+
+def word_counts(documents: DataFrame) -> np.ndarray:
+    """The count sketch of the words of all documents; as many cells come to the driver as the sketch has, whatever the data."""
+    table = documents.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(_sketch, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(2 << COUNT_BITS, np.int64)
+    out[table["cell"].to_numpy()] = table["n"].to_numpy()
+    return out.reshape(2, -1)
+
+
 def fit_encoding(documents: DataFrame, sample_docs: int = 4000, sample_words: int = 20_000) -> EncodingModel:
-    """Train on the words of ``sample_docs`` documents with the smallest id hashes, the ``sample_words`` most frequent ones."""
-    sample = documents.select("doc_id", "text").where("text is not null and text rlike '[^\\\\x00-\\\\x7F]'").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    """Counts of words over all documents; the classifier is trained on the ``sample_words`` most frequent words of about ``sample_docs`` documents.
+
+    The sample is drawn by a share of the id hashes, in every task by itself.
+    """
+    parts = 1 << 30
+    share = min(parts, int(parts * sample_docs / max(1, documents.count())) + 1)
+    sample = documents.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(parts)) < share).select("text").where("text is not null and text rlike '[^\\\\x00-\\\\x7F]'")
     words = sample.mapInPandas(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(sample_words)
-    return train([(r["word"], r["n"]) for r in words.collect()])
+    return train([(r["word"], r["n"]) for r in words.collect()], word_counts(documents))
 
 
 def garbled(documents: DataFrame, model: EncodingModel) -> DataFrame:
@@ -248,7 +323,10 @@ def garbled(documents: DataFrame, model: EncodingModel) -> DataFrame:
     same doc_id and text come out once.
     """
 
+    shared = documents.sparkSession.sparkContext.broadcast((model.logp, model.prior, model.counts, model.margin, model.temper))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = EncodingModel(*shared.value)
         for batch in batches:
             rows = [(i, *found[1:]) for i, text in zip(batch["doc_id"], batch["text"], strict=True) if (found := model.document(text))[0]]
             yield pd.DataFrame(rows, columns=["doc_id", "chains", "restored"])

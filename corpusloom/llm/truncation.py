@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import persist_table
@@ -225,18 +225,17 @@ class TruncationModel:
         return float(self.weights[self.indices(self.features(source, value))].sum()) + self.bias
 
 
-def find_limits(lengths: list[tuple[str | None, str, int, int]]) -> dict[tuple[str | None, str], list[int]]:
-    """Limits by (source, unit): lengths of open values well above the 15 lengths on both sides."""
-    by: dict[tuple[str | None, str], Counter[int]] = {}
-    for source, unit, length, n in lengths:
-        by.setdefault((source, unit), Counter())[length] += n
-    out = {}
-    for key, count in by.items():
-        # short lengths have fewer below them
-        found = [x for x, n in count.items() if n >= 4 + 5 * sum(count[y] for y in range(x - 15, x + 16) if abs(y - x) > 2) / (13 + min(13, max(0, x - 3)))]
-        if found:
-            out[key] = sorted(found)
-    return out
+def find_limits(lengths: DataFrame) -> DataFrame:
+    """source, unit, length of the limits among (source, unit, length, n): lengths of open values well above the 15 lengths on both sides.
+
+    A source and unit have a row per length, so a window over them is bounded
+    by the longest value, whatever the number of values.
+    """
+    around = Window.partitionBy("source", "unit").orderBy("length")
+    beside = F.sum("n").over(around.rangeBetween(-15, 15)) - F.sum("n").over(around.rangeBetween(-2, 2))
+    # short lengths have fewer below them
+    places = F.lit(13) + F.least(F.lit(13), F.greatest(F.lit(0), F.col("length") - 3))
+    return lengths.withColumn("beside", beside).where(F.col("n") >= 4 + 5 * F.col("beside") / places).select("source", "unit", "length")
 
 
 def casual(value: str, rng: random.Random) -> str | None:
@@ -261,9 +260,9 @@ def bare_value(value: str, rng: random.Random) -> str | None:
 
 def artificial_cuts(value: str, limits: list[int], sizes: list[int], rng: random.Random) -> list[str]:
     """The value cut at a limit it exceeds, in characters and bytes, and once elsewhere; cuts that leave a complete sentence or line are no cuts."""
-    places = [x for x in limits if 20 < x < len(value)][:1]
+    places = [x for x in limits if 4 < x < len(value)][:1]
     data = value.encode()
-    places += [len(data[:x].decode(errors="ignore")) for x in sizes if 20 < x < len(data)][:1]
+    places += [len(data[:x].decode(errors="ignore")) for x in sizes if 4 < x < len(data)][:1]
     if len(value) > 24:
         places.append(rng.randrange(16, len(value) - 1))
     out = []
@@ -309,7 +308,7 @@ def logistic(rows: list[list[int]], y: np.ndarray, epochs: int = 12, rate: float
 
 
 def fit_truncation(cells: DataFrame, seed: int = 3, sample: int = SAMPLE) -> TruncationModel:
-    """Fit on values(...); ``sample`` values at most are used for training, all of them for counts and limits."""
+    """Fit on values(...); about ``sample`` values are used for training, all of them for counts and limits."""
     spark = cells.sparkSession
     base = cells.select("sample_id", "source", "field", "turn", F.col("value").cast("string").alias("value"))
     counted = persist_table(base.select("source", "field", "value").mapInArrow(_count, "cell int, total long, ends long, source string, field string, unit string, length int"))
@@ -317,15 +316,16 @@ def fit_truncation(cells: DataFrame, seed: int = 3, sample: int = SAMPLE) -> Tru
     total, ends = np.zeros(1 << CELL_BITS, np.int64), np.zeros(1 << CELL_BITS, np.int64)
     at = table["cell"].to_numpy()
     total[at], ends[at] = table["total"].to_numpy(), table["ends"].to_numpy()
-    # a spike stands out by its count: only lengths seen four times and those around them leave the executors
-    spikes = persist_table(counted.where("length is not null").groupBy("source", "unit", "length").agg(F.sum("total").alias("n")))
-    reach = spikes.where("n >= 4").select("source", "unit", F.explode(F.expr("sequence(length - 15, length + 15)")).alias("length")).distinct()
-    around = spikes.alias("a").join(reach.alias("s"), F.expr("a.source <=> s.source and a.unit = s.unit and a.length = s.length"), "left_semi")
-    model = TruncationModel(total, ends, find_limits([(r["source"], r["unit"], r["length"], r["n"]) for r in around.collect()]))
+    spikes = find_limits(counted.where("length is not null").groupBy("source", "unit", "length").agg(F.sum("total").alias("n")))
+    limits: dict[tuple[str | None, str], list[int]] = {}
+    for r in spikes.orderBy("length").collect():  # a few of each source
+        limits.setdefault((r["source"], r["unit"]), []).append(r["length"])
+    model = TruncationModel(total, ends, limits)
     seen = counted.where("cell is null and length is null").agg(F.sum("total")).first()[0] or 0
     parts = 1 << 20
     keep = min(parts, int(parts * sample / max(1, seen)) + 1)
-    drawn = base.where(F.pmod(F.xxhash64(F.lit(seed), "sample_id", "turn"), F.lit(parts)) < keep).limit(2 * sample).repartition(spark.sparkContext.defaultParallelism)
+    # the share bounds the sample, in every task by itself
+    drawn = base.where(F.pmod(F.xxhash64(F.lit(seed), "sample_id", "turn"), F.lit(parts)) < keep).repartition(spark.sparkContext.defaultParallelism)
     shared = spark.sparkContext.broadcast(model.state())
 
     def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -352,7 +352,7 @@ def fit_truncation(cells: DataFrame, seed: int = 3, sample: int = SAMPLE) -> Tru
                 for head in heads:
                     x.append(m.indices(m.features(s, head)))
                     y.append(1)
-            yield pd.DataFrame({"x": x, "y": pd.Series(y, dtype="int32")})
+            yield pd.DataFrame({"x": pd.Series(x, dtype=object), "y": pd.Series(y, dtype="int32")})
 
     got = drawn.mapInPandas(examples, "x array<int>, y int").toPandas()
     y = got["y"].to_numpy().astype(float)

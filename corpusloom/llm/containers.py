@@ -4,9 +4,11 @@ The items of a run are spread by hash over blocks of about ``BLOCK`` items, so
 a run of any size is packed by many tasks.  Every block is evolved on several
 islands; between rounds each island gets the elite of its neighbour.  A
 crossover injects the best filled windows of one parent into the other, drops
-the windows that hold the same items twice and puts displaced items back by
-best fit.  Windows that stay badly filled are opened again and their items
-packed once more across the blocks of the run.
+the windows that hold the same items twice and puts displaced items back: first
+in exchange for smaller ones, then by best fit.  A block ends where a lower
+bound says that no packing has fewer windows.  Windows that stay badly filled
+are opened again and their items packed once more across the blocks of the run;
+a run keeps its first packing unless the second one has fewer windows.
 
 Items longer than a window are cut into full windows and a rest; no other item
 is ever divided.
@@ -15,10 +17,13 @@ is ever divided.
 from __future__ import annotations
 
 import random
+from bisect import bisect_right, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import persist_table
@@ -26,21 +31,31 @@ from ..session import persist_table
 BLOCK = 2000
 ISLANDS = 2
 ROUNDS = 2
-GENERATIONS = 12
+GENERATIONS = 30
 POPULATION = 5
 #: Windows of a block filled less than this are opened for the second level.
 OPEN = 0.98
 
-Bins = list[list[int]]
+@dataclass
+class Packing:
+    """Items of each window, and how full each is."""
 
+    bins: list[list[int]]
+    fill: list[int]
 
-def best_fit(order: list[int], sizes: list[int], cap: int, bins: Bins, room: list[int]) -> None:
+    def score(self) -> tuple[int, int]:
+        """Fewer windows first, then the sum of squared fillings: full and empty windows beat even ones."""
+        return -len(self.bins), sum(f * f for f in self.fill)
+
+
+def best_fit(order: list[int], sizes: list[int], cap: int, into: Packing) -> None:
     """Put items, in this order, each into the window with the least room that takes it."""
+    bins, fill = into.bins, into.fill
     by_room: dict[int, list[int]] = {}
     mask = 0
-    for b, r in enumerate(room):
-        by_room.setdefault(r, []).append(b)
-        mask |= 1 << r
+    for b, f in enumerate(fill):
+        by_room.setdefault(cap - f, []).append(b)
+        mask |= 1 << (cap - f)
     for i in order:
         s = sizes[i]
         fits = mask >> s
@@ -50,85 +65,122 @@ def best_fit(order: list[int], sizes: list[int], cap: int, bins: Bins, room: lis
             if not by_room[r]:
                 mask &= ~(1 << r)
             bins[b].append(i)
-            r -= s
+            fill[b] += s
         else:
-            b, r = len(bins), cap - s
+            b = len(bins)
             bins.append([i])
-            room.append(r)
-        room[b] = r
+            fill.append(s)
+        r = cap - fill[b]
         by_room.setdefault(r, []).append(b)
         mask |= 1 << r
 
 
-def packed(order: list[int], sizes: list[int], cap: int) -> Bins:
-    bins: Bins = []
-    best_fit(order, sizes, cap, bins, [])
-    return bins
-
-
-def fitness(bins: Bins, sizes: list[int], cap: int) -> tuple[int, float]:
-    """Fewer windows first, then the sum of squared fillings: full and empty windows beat even ones."""
-    return -len(bins), sum((sum(sizes[i] for i in b) / cap) ** 2 for b in bins)
-
-
-def crossover(a: Bins, b: Bins, sizes: list[int], cap: int, rng: random.Random) -> Bins:
-    fill = [sum(sizes[i] for i in x) for x in b]
-    best = sorted(range(len(b)), key=fill.__getitem__, reverse=True)[: max(1, len(b) // 3)]
-    injected = [b[i] for i in rng.sample(best, max(1, len(best) // 2))]
-    inside = {i for x in injected for i in x}
-    kept = [x for x in a if inside.isdisjoint(x)]
-    displaced = [i for x in a if not inside.isdisjoint(x) for i in x if i not in inside]
-    return refill(injected + kept, displaced, sizes, cap)
+def packed(order: list[int], sizes: list[int], cap: int) -> Packing:
+    out = Packing([], [])
+    best_fit(order, sizes, cap, out)
+    return out
 
 
-def refill(bins: Bins, displaced: list[int], sizes: list[int], cap: int) -> Bins:
-    bins = [list(x) for x in bins]
-    displaced = sorted(displaced, key=sizes.__getitem__, reverse=True)
-    best_fit(displaced, sizes, cap, bins, [cap - sum(sizes[i] for i in x) for x in bins])
-    return bins
+def least_windows(sizes: list[int], cap: int) -> int:
+    """Windows that no packing can do without.
 
+    For every size k up to half a window: items over cap - k stand alone,
+    those over half a window can't meet each other, and what items from k on
+    need beyond the room beside these takes more windows.
+    """
+    if not sizes:
+        return 0
+    s = np.sort(np.asarray(sizes, np.int64))
+    upto = np.concatenate([[0], np.cumsum(s)])
+    k = np.unique(np.concatenate([[0], s[2 * s <= cap]]))
+    half = int(np.searchsorted(s, cap // 2, "right"))
+    alone = np.searchsorted(s, cap - k, "right")
+    begin = np.searchsorted(s, k, "left")
+    large, wide = len(s) - alone, np.maximum(0, alone - half)
+    room = wide * cap - (upto[alone] - upto[np.minimum(half, alone)])
+    rest = upto[np.minimum(half, alone)] - upto[np.minimum(begin, half)]
+    return int((large + wide + np.maximum(0, -(-(rest - room) // cap))).max())
+
+
+def refill(kept: Packing, displaced: list[int], sizes: list[int], cap: int) -> Packing:
+    """Put displaced items back: first in place of smaller ones that make room for them, then by best fit."""
+    free = sorted((sizes[i], i) for i in displaced)
+    for b, items in enumerate(kept.bins):
+        room = cap - kept.fill[b]
+        if not room or not free:
+            continue
+        # the exchange that fills the window most
+        gain, out, at = 0, -1, -1
+        for x, i in enumerate(items):
+            j = bisect_right(free, (sizes[i] + room, len(sizes))) - 1
+            if j >= 0 and free[j][0] - sizes[i] > gain:
+                gain, out, at = free[j][0] - sizes[i], x, j
+        if gain:
+            i = items[out]
+            items[out] = free.pop(at)[1]
+            kept.fill[b] += gain
+            insort(free, (sizes[i], i))
+    best_fit([i for _, i in reversed(free)], sizes, cap, kept)
+    return kept
+
+
+def crossover(a: Packing, b: Packing, sizes: list[int], cap: int, rng: random.Random) -> Packing:
+    """Whole well-filled windows of b beside those windows of a that share no item with them, but for the worst ones and a few others."""
+    best = sorted(range(len(b.bins)), key=b.fill.__getitem__, reverse=True)[: max(1, len(b.bins) // 3)]
+    injected = rng.sample(best, max(1, len(best) // 2))
+    inside = {i for j in injected for i in b.bins[j]}
+    opened = {min(range(len(a.bins)), key=a.fill.__getitem__), *rng.sample(range(len(a.bins)), min(len(a.bins), 3))}
+    child, displaced = Packing([list(b.bins[j]) for j in injected], [b.fill[j] for j in injected]), []
+    for j, items in enumerate(a.bins):
+        if j not in opened and inside.isdisjoint(items):
+            child.bins.append(list(items))
+            child.fill.append(a.fill[j])
+        else:
+            displaced += [i for i in items if i not in inside]
+    return refill(child, displaced, sizes, cap)
 
-def mutate(bins: Bins, sizes: list[int], cap: int, rng: random.Random) -> Bins:
-    """Open the worst window and a few others."""
-    fill = [sum(sizes[i] for i in x) for x in bins]
-    out = {min(range(len(bins)), key=fill.__getitem__), *rng.sample(range(len(bins)), min(len(bins), 3))}
-    return refill([x for i, x in enumerate(bins) if i not in out], [i for j in out for i in bins[j]], sizes, cap)
 
+def evolve(sizes: list[int], cap: int, seed: int, elites: list[Packing], generations: int = GENERATIONS, population: int = POPULATION) -> Packing:
+    """The best packing an island finds, never worse than best fit by falling size or the elites it got.
 
-def evolve(sizes: list[int], cap: int, seed: int, elites: list[Bins], generations: int = GENERATIONS, population: int = POPULATION) -> Bins:
-    """The best packing an island finds, never worse than best fit by falling size or the elites it got."""
+    Ends where no packing can have fewer windows.
+    """
     if not sizes:
-        return []
+        return Packing([], [])
     rng = random.Random(seed)
-    least = -(-sum(sizes) // cap)
+    least = least_windows(sizes, cap)
     order = sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True)
     pool = [packed(order, sizes, cap), *elites]
-    while len(pool) < population:
+    scored = sorted(((p.score(), p) for p in pool), key=lambda x: x[0], reverse=True)
+    if len(scored[0][1].bins) <= least:
+        return scored[0][1]
+    while len(scored) < population:
         noise = [s * rng.uniform(0.8, 1.0) for s in sizes]
-        pool.append(packed(sorted(order, key=noise.__getitem__, reverse=True), sizes, cap))
-    scored = sorted(((fitness(p, sizes, cap), p) for p in pool), key=lambda x: x[0], reverse=True)
+        p = packed(sorted(order, key=noise.__getitem__, reverse=True), sizes, cap)
+        scored.append((p.score(), p))
+    scored.sort(key=lambda x: x[0], reverse=True)
     for _ in range(generations):
-        if len(scored[0][1]) <= least:
+        i, j = rng.sample(range(min(4, len(scored))), 2)
+        child = crossover(scored[i][1], scored[j][1], sizes, cap, rng)
+        scored = sorted([*scored, (child.score(), child)], key=lambda x: x[0], reverse=True)[:population]
+        if len(scored[0][1].bins) <= least:
             break
-        i, j = rng.sample(range(min(4, len(scored))), 2) if len(scored) > 1 else (0, 0)
-        child = mutate(crossover(scored[i][1], scored[j][1], sizes, cap, rng), sizes, cap, rng)
-        scored = sorted([*scored, (fitness(child, sizes, cap), child)], key=lambda x: x[0], reverse=True)[:population]
     return scored[0][1]
 
 
-def _labels(bins: Bins, n: int) -> list[int]:
+def _labels(packing: Packing, n: int) -> list[int]:
     out = [0] * n
-    for b, items in enumerate(bins):
+    for b, items in enumerate(packing.bins):
         for i in items:
             out[i] = b
     return out
 
 
-def _groups(labels) -> Bins:
+def _packing(labels, sizes: list[int]) -> Packing:
     bins: dict[int, list[int]] = {}
-    for i, b in enumerate(labels):
-        bins.setdefault(int(b), []).append(i)
-    return list(bins.values())
+    for i, b in enumerate(labels.tolist()):
+        bins.setdefault(b, []).append(i)
+    return Packing(list(bins.values()), [sum(sizes[i] for i in x) for x in bins.values()])
 
 
 _ISLAND = "grp string, block int, island int, cap int, ids array<string>, sizes array<int>, elite array<int>, score double"
@@ -139,12 +191,12 @@ def _round(number: int):
         for batch in batches:
             elite, score = [], []
             for row in batch.itertuples(index=False):
-                sizes = [int(s) for s in row.sizes]
-                elites = [_groups(e) for e in (row.elite, row.guest) if e is not None]
-                bins = evolve(sizes, int(row.cap), hash((row.block, row.island, number)), elites)
-                elite.append(_labels(bins, len(sizes)))
-                windows, square = fitness(bins, sizes, int(row.cap))
-                score.append(windows + square / (1 + len(bins)))
+                sizes, cap = row.sizes.tolist(), int(row.cap)
+                elites = [_packing(e, sizes) for e in (row.elite, row.guest) if e is not None]
+                best = evolve(sizes, cap, hash((row.block, row.island, number)), elites)
+                elite.append(_labels(best, len(sizes)))
+                windows, square = best.score()
+                score.append(windows + square / cap**2 / (1 + len(best.bins)))
             yield batch.drop(columns=["guest"]).assign(elite=elite, score=score)
 
     return run
@@ -172,11 +224,17 @@ def pack(items: DataFrame) -> DataFrame:
     All items of a grp have one cap.  Sizes are from 1 to cap.
     """
     first = persist_table(_pack_level(items))
-    fill = F.sum("size").over(Window.partitionBy("grp", "block", "bin")) / F.col("cap")
-    marked = first.withColumn("open", fill < OPEN)
-    kept = marked.where(~F.col("open")).select("grp", "id", "size", "cap", F.concat_ws("-", F.lit("a"), "block", "bin").alias("window"))
-    again = _pack_level(marked.where("open").select("grp", "id", "size", "cap")).select("grp", "id", "size", "cap", F.concat_ws("-", F.lit("b"), "block", "bin").alias("window"))
-    return kept.unionByName(again)
+    place = ["grp", "block", "bin"]
+    filled = first.groupBy(*place).agg((F.sum("size") / F.max("cap")).alias("fill"))
+    marked = first.join(filled.where(F.col("fill") < OPEN).select(*place, F.lit(True).alias("open")), place, "left")
+    named = lambda level: F.concat_ws("-", F.lit(level), "block", "bin").alias("window")
+    again = persist_table(_pack_level(marked.where("open").select("grp", "id", "size", "cap")).select("grp", "id", "size", "cap", named("b")))
+    # whether the second packing of a run is the better one
+    before = filled.where(F.col("fill") < OPEN).groupBy("grp").agg(F.count("*").alias("before"))
+    after = again.groupBy("grp").agg(F.count_distinct("window").alias("after"))
+    better = before.join(after, "grp").where("after < before").select("grp", F.lit(True).alias("better"))
+    kept = marked.join(better, "grp", "left").where("open is null or better is null").select("grp", "id", "size", "cap", named("a"))
+    return kept.unionByName(again.join(better, "grp", "left_semi"))
 
 
 def valid_reports(reports: DataFrame, runs: DataFrame) -> DataFrame:

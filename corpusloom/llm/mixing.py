@@ -5,8 +5,9 @@ the tokens of its source up to it, in shuffled order, divided by the source's
 weight.  The mixture is what finishes first, up to the token budget.  A source
 that runs out of repeats leaves its share to the others in their proportions.
 
-Running sums are made of range-partitioned sums in two levels, so no source is
-ever sorted in one task.
+Running sums are made of sums of buckets of the shuffled order, which are as
+many as the documents ask for, and of sums inside each; so no source is ever
+sorted in one task.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from ..session import persist_table
 
-#: Buckets of the shuffled order of a source; each is summed by one task.
-BUCKETS = 256
+#: Documents to a bucket of the shuffled order; a source has as many buckets as that asks of all documents, each summed by one task.
+BUCKET = 20_000
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -71,10 +72,11 @@ def mix(documents: DataFrame, targets: DataFrame, path: str | None = None, seed:
     """
     goal = targets.where("source is not null and target_share > 0 and max_repeats >= 1").groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t")).select("source", "t.target_share", "t.max_repeats")
     wanted = documents.select("doc_id", "source", "text").join(goal.select("source"), "source", "left_semi")
-    sized = persist_table(count_tokens(wanted.where("doc_id is not null").select("doc_id", "source", "text"), path or tokenizer_file()))
-    sized = sized.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("d")).select("doc_id", "d.source", "d.n_tokens").where("n_tokens > 0")
+    tokens = persist_table(count_tokens(wanted.where("doc_id is not null").select("doc_id", "source", "text"), path or tokenizer_file()))
+    sized = tokens.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("d")).select("doc_id", "d.source", "d.n_tokens").where("n_tokens > 0")
     place = F.xxhash64(F.lit(seed), "doc_id")
-    sized = sized.select("*", place.alias("place")).withColumn("bucket", F.shiftrightunsigned("place", 56).cast("int"))
+    bits = min(24, max(8, (tokens.count() // BUCKET).bit_length()))
+    sized = sized.select("*", place.alias("place")).withColumn("bucket", F.shiftrightunsigned("place", 64 - bits).cast("int"))
 
     # two levels: sums of buckets, then running sums inside
     sums = sized.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"))

@@ -8,8 +8,10 @@ gram is a fingerprint, on both sides.  Documents and items that share one are
 extended to whole passages: the longest common word sequence around each
 cluster of shared grams.
 
-Documents pass a bit set of the items' fingerprints first.  Its size is fixed,
-whatever the number of items; the join that follows is exact.
+Documents pass bit sets of the items' fingerprints and grams first: grams of
+items that lie too far from others to make up a passage of any item end there.
+The sets have a fixed size, whatever the number of items; the join that follows
+is exact.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ GAP = 12
 FEW = 3
 #: Words before the first and after the last shared gram that may belong to a passage.
 EDGE = 3
-#: Share of an item that the grams of a passage cover at least, counted up to ``EDGE`` words further on both sides.
-LEAST_COVERED = 0.3
+#: Words at each end of a passage that may be changed and thus lie outside its shared grams.
+LOOSE = 1
 
 
 def grams(hashes: np.ndarray, rows: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +106,8 @@ def _item_prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             h = np.array(words, np.int64).view(np.uint64)
             rows = np.zeros(len(h), np.int64)
             g, short = grams(h, rows)[0], is_short(len(h))
-            yield pd.DataFrame({"item_id": i, "short": short, "print": np.unique(g if short else g[winnow(h, rows)]).view(np.int64)})
+            picked = np.isin(g, g[winnow(h, rows)]) | short
+            yield pd.DataFrame({"item_id": i, "n": len(h), "short": short, "print": g.view(np.int64), "picked": picked})
 
 
 def _bit_set(prints: DataFrame) -> np.ndarray:
@@ -119,16 +122,33 @@ def _known(g: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _document_prints(bits, short_bits=None):
-    """short_bits: of the grams of short items, if there are any; these are kept wherever they are."""
+def _within_long(at: np.ndarray, known: np.ndarray, rows: np.ndarray, least: float) -> np.ndarray:
+    """Those of the positions ``at`` that lie in clusters of ``known`` positions, which hold them, of ``least`` words or more."""
+    if not len(known):
+        return at[:0]
+    start = np.flatnonzero(np.r_[True, (np.diff(rows[known]) != 0) | (np.diff(known) > GAP)])
+    first, last = known[start], known[np.r_[start[1:], len(known)] - 1]
+    cluster = np.searchsorted(first, at, "right") - 1
+    return at[(last + K - first)[cluster] >= least]
+
+
+def _document_prints(bits, all_bits, least: float, short_bits=None):
+    """Fingerprints of documents that items may have.
+
+    ``all_bits`` are all grams of the longer items: fingerprints whose cluster
+    of such grams is shorter than ``least`` words can't be part of a passage of
+    any of them.  ``short_bits`` are the grams of short items, if there are any;
+    these are kept wherever they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, ids, hashes = word_ids(b.column("text"))
             h = hashes[ids]
             g, ok = grams(h, rows)
+            known = np.flatnonzero(ok & _known(g, all_bits.value))
             at = winnow(h, rows)
-            at = at[_known(g[at], bits.value)]
+            at = _within_long(at[_known(g[at], bits.value) & _known(g[at], all_bits.value)], known, rows, least)
             if short_bits is not None:
                 at = np.union1d(at, np.flatnonzero(ok & _known(g, short_bits.value)))
             pairs = np.unique(np.stack([rows[at], g[at].view(np.int64)]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
@@ -176,10 +196,12 @@ def clusters(doc: np.ndarray, doc_rows: np.ndarray, item: np.ndarray, item_rows:
     return key[start] // size, key[start] % size, first, last + K, covered, last > first
 
 
-def passages(texts: pa.Array, item_words: pa.ListArray, wanted: np.ndarray, share: float, density: float, dense_share: float) -> dict[int, tuple[float, float]]:
-    """By pair of ``wanted``, (share of the item, density of shared words) of the best passage that is long and dense enough.
+def passages(texts: pa.Array, item_words: pa.ListArray, wanted: np.ndarray, share: float, density: float) -> dict[int, tuple[float, float]]:
+    """By pair of ``wanted``, (share of the item, density of shared words) of the best passage that spans and shares enough.
 
-    A cluster is left out only if the words it can reach are fewer than the share asks for.
+    A passage spans the item from its first to its last shared word, changed
+    words included.  A cluster is left out only if the words it can reach are
+    fewer than that asks for.
     """
     rows, ids, hashes = word_ids(texts)
     h = hashes[ids]
@@ -191,7 +213,7 @@ def passages(texts: pa.Array, item_words: pa.ListArray, wanted: np.ndarray, shar
     size = len(lengths)
     d, i, a, b, covered, several = clusters(h, rows, item, item_rows, size, wanted)
     n = lengths[i]
-    far = (b - a + 2 * EDGE >= min(share, dense_share) * n) & (covered + 2 * EDGE >= LEAST_COVERED * n)
+    far = (b - a + 2 * EDGE >= density * share * n) & (covered + 2 * EDGE >= share * n)
     out: dict[int, tuple[float, float]] = {}
     for x in np.flatnonzero(far).tolist():
         words = item[starts[i[x]] : starts[i[x]] + n[x]].tolist()
@@ -203,17 +225,18 @@ def passages(texts: pa.Array, item_words: pa.ListArray, wanted: np.ndarray, shar
             dn, s = shared / (int(b[x] - a[x]) + (0 if several[x] else l + r)), shared / int(n[x])
             if not several[x] and shared <= K and s < 1:
                 continue
-            if (dn >= density and s >= share or dn >= 0.9 and s >= dense_share) and min(1.0, dn) * s > out.get(key, (0.0, 0.0))[0] * min(1.0, out.get(key, (0.0, 0.0))[1]):
+            spans = s if not several[x] else (int(covered[x]) + 2 * LOOSE) / int(n[x])
+            if dn >= density and s >= density * share and max(s, spans) >= share and min(1.0, dn) * s > out.get(key, (0.0, 0.0))[0] * min(1.0, out.get(key, (0.0, 0.0))[1]):
                 out[key] = (s, dn)
     return out
 
 
-def leaks(documents: DataFrame, items: DataFrame, share: float = 0.55, density: float = 0.7, dense_share: float = 0.48) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, density: float = 0.8) -> DataFrame:
     """doc_id, item_id, share, density: documents that carry half of an item's words as one passage.
 
-    Items built alike share half of their words in order with changes all over.
-    So a passage needs ``share`` of the item at a density of ``density``, or
-    ``dense_share`` (changed words aren't shared) if nearly unchanged.  Every
+    A passage spans ``share`` of the item, changed words included, and
+    ``density`` of its own words are the item's, in order.  Items built alike
+    share up to half of their words in order, but with changes all over.  Every
     pair with a common fingerprint is extended.  Three words alone are a phrase
     and no passage, unless they are the item; items of one or two words have no
     gram and leak nothing.  Null and
@@ -222,11 +245,15 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.55, density:
     """
     spark = documents.sparkSession
     words = item_words(items)
-    prints = persist_table(words.mapInPandas(_item_prints, "item_id long, short boolean, print long"))
-    bits = spark.sparkContext.broadcast(_bit_set(prints.where("not short")))
-    short_bits = spark.sparkContext.broadcast(_bit_set(prints.where("short"))) if prints.where("short").head(1) else None
+    all_grams = persist_table(words.mapInPandas(_item_prints, "item_id long, n int, short boolean, print long, picked boolean").distinct())
+    prints = all_grams.where("picked").select("item_id", "print")
+    long, shorter = all_grams.where("not short"), all_grams.where("short")
+    bits, all_bits = (spark.sparkContext.broadcast(_bit_set(x)) for x in (long.where("picked"), long))
+    short_bits = spark.sparkContext.broadcast(_bit_set(shorter)) if shorter.head(1) else None
+    # words that a passage of the shortest of the longer items has between its first and its last shared gram
+    least = density * share * (long.agg(F.min("n")).first()[0] or 0) - 2 * EDGE
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    found = texts.mapInArrow(_document_prints(bits, short_bits), "doc_id long, print long")
+    found = texts.mapInArrow(_document_prints(bits, all_bits, least, short_bits), "doc_id long, print long")
     pairs = persist_table(found.join(prints, "print").select("doc_id", "item_id").distinct())
 
     joined = pruned(texts, "doc_id", pairs.select("doc_id").distinct()).join(pairs, "doc_id").join(words, "item_id").select("doc_id", "item_id", "text", "words")
@@ -237,7 +264,7 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.55, density:
             of_text = text.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             ids, first, of_item = np.unique(b.column("item_id").to_numpy(), return_index=True, return_inverse=True)
             wanted = of_text * len(ids) + of_item
-            good = passages(text.dictionary, b.column("words").take(pa.array(first)), np.unique(wanted), share, density, dense_share)
+            good = passages(text.dictionary, b.column("words").take(pa.array(first)), np.unique(wanted), share, density)
             at = np.flatnonzero(np.isin(wanted, list(good)))
             s, dn = (pa.array([good[k][j] for k in wanted[at].tolist()], pa.float64()) for j in (0, 1))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), b.column("item_id").take(pa.array(at)), s, dn], names=["doc_id", "item_id", "share", "density"])

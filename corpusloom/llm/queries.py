@@ -89,8 +89,10 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    model = truncation.fit_truncation(_values(spark, sf))
-    found, _ = defects.find_defects(_read(spark, sf, "alpaca_samples"), _read(spark, sf, "chat_samples"), model)
+    alpaca, chat = _read(spark, sf, "alpaca_samples"), _read(spark, sf, "chat_samples")
+    labelled = _read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    voters = defects.fit_voters(alpaca, chat, truncation.fit_truncation(truncation.values(alpaca, chat)), labelled)
+    found, _ = defects.find_defects(alpaca, chat, voters)
     return found.select("sample_id", "turn", "defect").distinct()
 
 

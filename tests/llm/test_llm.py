@@ -1,5 +1,6 @@
 """Training-data operators against brute force, round trips and held-out cases, with their edge cases."""
 
+import itertools
 import random
 import re
 from collections import Counter
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import containers, defects, encoding, groups, leakage, mixing, neardup, overlap, pruning, queries, truncation, words
+from corpusloom.llm import containers, defects, encoding, groups, language, leakage, mixing, neardup, overlap, pruning, queries, truncation, words
 
 SF = "/root/testdata/sf0.001"
 WORDS = [f"w{i}" for i in range(400)]
@@ -216,10 +217,38 @@ def test_best_fit_and_evolution():
     order = sorted(range(300), key=lambda i: -sizes[i])
     base = containers.packed(order, sizes, 100)
     best = containers.evolve(sizes, 100, 1, [])
-    for bins in (base, best):
-        assert sorted(i for b in bins for i in b) == list(range(300)) and max(sum(sizes[i] for i in b) for b in bins) <= 100
-    assert len(best) <= len(base) and len(containers.evolve(sizes, 100, 2, [best])) <= len(best)
-    assert containers.evolve([], 10, 0, []) == [] and len(containers.evolve([10, 10], 10, 0, [])) == 2
+    for p in (base, best):
+        assert sorted(i for b in p.bins for i in b) == list(range(300)) and max(p.fill) <= 100 and p.fill == [sum(sizes[i] for i in b) for b in p.bins]
+    assert len(best.bins) <= len(base.bins) and len(containers.evolve(sizes, 100, 2, [best]).bins) <= len(best.bins)
+    assert containers.evolve([], 10, 0, []).bins == [] and len(containers.evolve([10, 10], 10, 0, []).bins) == 2
+
+
+@pytest.mark.parametrize("low, high, gained", [(820, 2457, 5), (1024, 2048, 15), (1229, 1638, 15)])
+def test_evolution_beats_best_fit_on_hard_sizes(low, high, gained):
+    """Sizes of 20 to 60 %, 25 to 50 % and 30 to 40 % of a window: best fit by falling size wastes room that the search finds."""
+    rng = random.Random(19)
+    sizes = [rng.randrange(low, high) for _ in range(1000)]
+    base = containers.packed(sorted(range(1000), key=lambda i: -sizes[i]), sizes, 4096)
+    best = containers.evolve(sizes, 4096, 1, [])
+    assert len(base.bins) - len(best.bins) >= gained and len(best.bins) >= containers.least_windows(sizes, 4096)
+
+
+def test_least_windows():
+    """The bound holds for every packing of small cases, and counts items that can't meet."""
+    rng = random.Random(20)
+    for _ in range(200):
+        cap = rng.randrange(5, 30)
+        sizes = [rng.randrange(1, cap + 1) for _ in range(rng.randrange(0, 8))]
+        best = len(sizes)
+        for order in itertools.permutations(range(len(sizes))) if len(sizes) < 7 else [range(len(sizes))] * 0:
+            windows, room = 0, 0
+            for i in order:
+                if sizes[i] > room:
+                    windows, room = windows + 1, cap
+                room -= sizes[i]
+            best = min(best, windows)
+        assert containers.least_windows(sizes, cap) <= best
+    assert containers.least_windows([6] * 9, 10) == 9 and containers.least_windows([10, 1], 10) == 2 and containers.least_windows([], 10) == 0
 
 
 def test_fill_windows(spark, monkeypatch):
@@ -254,9 +283,10 @@ def test_fill_windows(spark, monkeypatch):
 # --- truncation ----------------------------------------------------------------
 
 
-def test_limits_found():
+def test_limits_found(spark):
     lengths = [("s", "c", x, 1) for x in range(100, 300, 7)] + [("s", "c", 250, 30), (None, "b", 90, 1)]
-    assert truncation.find_limits(lengths) == {("s", "c"): [250]}
+    found = truncation.find_limits(spark.createDataFrame(lengths, "source string, unit string, length int, n long").groupBy("source", "unit", "length").agg(F.sum("n").alias("n")))
+    assert [tuple(r) for r in found.collect()] == [("s", "c", 250)]
 
 
 def test_limits_of_any_length(spark):
@@ -318,7 +348,7 @@ def test_empty(answer):
     assert sum(v > 0 for v in defects.votes_empty(answer)) >= 2
 
 
-@pytest.mark.parametrize("answer", ["TCP", "443", "true", "No", "Yes.", "Option B", "0x2f86", "flush_route_v2()", "192.0.2.54", "word " * 5000])
+@pytest.mark.parametrize("answer", ["TCP", "443", "true", "No", "Yes.", "Option B", "0x2f86", "flush_route_v2()", "192.0.2.54", "Нет", "Keine", "Ninguno", "word " * 5000])
 def test_short_answers_are_answers(answer):
     assert all(v < 0 for v in defects.votes_empty(answer))
     assert all(v <= 0 for v in defects.votes_refusal("Which port?", answer))
@@ -328,6 +358,9 @@ def test_refusals():
     ask = "Which steps help against token theft on the badge system?"
     for bad in ("I'm sorry, but I can't help with that.", "Request declined by policy.", "Leider kann ich diese Frage nicht beantworten.", "Je ne peux pas répondre à cette demande.", "Lo siento, no puedo ayudar con eso.", "Let's talk about something different."):
         assert sum(defects.votes_refusal(ask, bad)) > 0, bad
+    filler = "A signal handler maps 57 entries onto a signal handler."
+    for bad in (f"{filler} I'm sorry, but I have to pass on this one. Please consult a qualified professional instead. Feel free to ask about another topic.", "Regrettably, I'd rather not go into this. I hope you understand."):
+        assert sum(defects.votes_refusal(ask, bad)[0::3]) > 0, bad
     for good in ("You cannot recover a key from its digest, so store it elsewhere. " * 3, "The service is not able to start unless data masking is active on the badge system."):
         assert sum(defects.votes_refusal(ask, good)) < 0, good
 
@@ -357,19 +390,79 @@ def test_long_refusals():
 
 def test_copies():
     ask = "How would you use hardware keys to protect a build server from port knocking?"
-    for bad in (ask, ask.upper(), f"User: {ask}", f"You asked: “{ask}”", "How you would use hardware keys to protect a build server port knocking?"):
+    for bad in (ask, ask.upper(), f"{ask}\n\n{ask}", f"User: {ask}", f"You asked: “{ask}”", "How you would use hardware keys to protect a build server port knocking?"):
         assert sum(defects.votes_copy(ask, "", bad)) > 0, bad
     for good in (f"{ask} Keep the keys in a safe, rotate them each month, log every use and alert on failures.", "Keep the keys in a safe.", ""):
         assert sum(defects.votes_copy(ask, "", good)) < 0, good
     assert sum(defects.votes_copy("Correct spelling and punctuation of the input.", "on corxiter boards the bus holds 57 slots", "On Corxiter boards the bus holds 57 slots.")) < 0
 
 
-def test_languages():
+@pytest.fixture(scope="module")
+def languages(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet")
+    return language.fit_languages(docs.select(F.col("doc_id").alias("id"), "text", "lang"), sample=2500)
+
+
+def test_language_model_on_held_out_documents(spark, languages):
+    """Sentences of documents that weren't drawn, with clean labels; uneven labels have made no languages of their own."""
+    assert languages.languages == ("de", "en", "es", "fr", "pt", "ru")
+    rows = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").where("lang in ('de', 'en', 'es', 'fr', 'pt', 'ru')").select("text", "lang").collect()
+    texts = [" ".join(r["text"].split()[:25]) for r in rows]
+    words, letters, n = languages.score(texts)
+    for scores, least in ((words, 0.96), (letters, 0.93)):
+        best = language.leading(scores, 3.0)
+        known = best >= 0
+        right = [languages.languages[i] == r["lang"] for i, r in zip(best, rows, strict=True) if i >= 0]
+        assert known.mean() > 0.9 and np.mean(right) > least
+
+
+def test_language_edges(spark, languages):
+    words, letters, n = languages.score(["", "   ", "split_schema_once() 0x12 10.0.0.1 svc-1", "der die das " * 20_000])
+    assert not words[:3].any() and not n[:3].any() and n[3] == 60_000
+    assert language.leading(words, 3.0).tolist()[:3] == [-1, -1, -1]
+    empty = spark.createDataFrame([], "id long, text string, lang string")
+    none = language.fit_languages(empty)
+    assert none.languages == () and defects.votes_language(none, ["a"], [""], ["b"]) == [(0, 0, 0)]
+    odd = spark.createDataFrame([(1, "a b c", "en"), (2, None, "de"), (3, "x", None), (None, "y", "fr"), (4, "z", "unknown")], "id long, text string, lang string").withColumn("label", F.lit(1))
+    assert language.fit_languages(odd).languages == ()
+
+
+def test_languages(languages):
     english, german = "Why did the alarm fail when the operator was on leave?", "Der Betreiber war im Urlaub und niemand hat die Anlage geprüft, weil die Regel zu weit war."
-    assert sum(defects.votes_language(english, "", german)) > 0
-    assert sum(defects.votes_language(english + " Please reply in German only.", "", german)) < 0
-    assert sum(defects.votes_language(english, "", "Because the rule was too broad and nobody had read the report.")) < 0
-    assert sum(defects.votes_language(english, "", "0x496b8e9c")) <= 0
+    vote = lambda p, x, a: sum(defects.votes_language(languages, [p], [x], [a])[0])
+    assert vote(english, "", german) > 0
+    assert vote(english + " Please reply in German only.", "", german) < 0
+    assert vote("Translate the text into German.", "Nobody checked the plant because the rule was too broad.", german) < 0
+    assert vote("Rewrite the text.", german, german) <= 0
+    assert vote(english, "", "Because the rule was too broad and nobody had read the report.") < 0
+    assert vote(english, "", f"The note said: “{german}” and nobody read it before the operator came back to the plant.") <= 0
+    for short in ("0x496b8e9c", "TCP", "Option B", "split_schema_once()", ""):
+        assert vote(english, "", short) <= 0 and vote("Welche Schritte helfen trotz Warnung?", "", short) <= 0
+
+
+def test_prompts_teach_the_language_model(spark, languages):
+    """Words that no document has are learnt from prompts by the language of their answers."""
+    ask = ["Blorft quandle zim", "Wuggle frip snarl"]
+    answers = {0: "Because the rule was too broad and nobody had read the report before the shift ended.", 1: "Weil die Regel zu weit war und niemand den Bericht vor dem Ende der Schicht gelesen hat."}
+    rows = [(ask[i % 2], answers[i % 2]) for i in range(80)]
+    more = language.taught(languages, spark.createDataFrame(rows, "a string, b string"))
+    best = language.leading(more.score(ask)[0], 3.0)
+    assert [more.languages[i] for i in best] == ["en", "de"]
+
+
+def test_refusal_classifier_beyond_phrases(spark):
+    """Trained on answers that the phrases give away, it votes for refusals that hold no such phrase, and against answers."""
+    known = ("I'm sorry, but I can't help with that. Is there anything else you would like to know?", "Unfortunately, I am not able to assist with this request. Please consult a professional instead.", "Sorry, I won't answer that. Feel free to ask about another topic.")
+    subjects = ("router", "printer", "ledger", "archive", "sensor", "gateway", "console", "bucket", "scanner", "portal")
+    rows = [(f"How is the {s} kept safe?", f"The {s} is locked by key {i} and the {t} logs each use of it.") for i, s in enumerate(subjects) for t in subjects]
+    rows += [("How is it kept safe?", k) for k in known for _ in range(12)]
+    model = defects.fit_refusals(spark.createDataFrame(rows, "prompt string, answer string"))
+    held_out = ("Sorry, this isn't a request that gets help here. Is there anything else you would like to know?", "Unfortunately that is no topic for me. Please consult a professional instead.")
+    for text in held_out:
+        assert max(defects.votes_refusal("How is it kept safe?", text)[0::3]) < 1 and model.vote(text) == 1, text
+    assert all(model.vote(f"The {s} is kept in a safe place and logs each use.") == -1 for s in subjects)
+    assert model.vote("") <= 0 and model.vote("word " * 5000) == 0 and defects.RefusalModel().vote("Sorry") == 0
+    assert defects.fit_refusals(spark.createDataFrame([], "prompt string, answer string")).weights is None
 
 
 def test_label_model():
@@ -391,9 +484,10 @@ def test_find_defects(spark, cut_model):
     a = spark.createDataFrame([(1, "s", "Why?", None, None), (1, "s", "Why?", None, None), (2, None, None, None, "Because."), (3, "s", "Name the port that the badge system needs.", "", "Name the port that the badge system needs.")], "sample_id long, source string, instruction string, input string, output string").withColumn("defect", F.lit(1))
     message = "sample_id long, source string, messages array<struct<role:string,content:string>>"
     c = spark.createDataFrame([(10, "s", [("user", "Hi there"), ("assistant", "")]), (11, "s", [("assistant", "")]), (12, "s", None), (13, "s", []), (14, "s", [("user", "Q"), ("tool", "x"), ("assistant", "")])], message)
-    found, cutoffs = defects.find_defects(a, c, cut_model)
+    voters = defects.fit_voters(a, c, cut_model)
+    found, cutoffs = defects.find_defects(a, c, voters)
     assert {tuple(r)[:3] for r in found.collect()} == {(1, -1, "empty"), (3, -1, "copy"), (10, 1, "empty")} and set(cutoffs) == set(defects.DEFECTS)
-    none, _ = defects.find_defects(a.limit(0), c.limit(0), cut_model)
+    none, _ = defects.find_defects(a.limit(0), c.limit(0), defects.fit_voters(a.limit(0), c.limit(0), cut_model))
     assert none.count() == 0
 
 
@@ -405,7 +499,7 @@ def test_closed_answers_can_be_cut(spark, cut_model):
     model = truncation.TruncationModel(**{**cut_model.state(), "bias": cut_model.bias + 1.5})
     for m in (cut_model, model, truncation.TruncationModel(**{**cut_model.state(), "bias": 60.0})):
         cut = {r["sample_id"] for r in truncation.score_values(truncation.values(a, c), m).where("truncated").collect()}
-        found, _ = defects.find_defects(a, c, m)
+        found, _ = defects.find_defects(a, c, defects.Voters(m, language.no_languages(), defects.RefusalModel()))
         assert {r["sample_id"] for r in found.where("defect = 'truncated'").collect()} == cut
     assert len(cut) == 20
 
@@ -467,7 +561,7 @@ def test_leaks_of_short_items(spark):
         items.append((i, " ".join(ctx)))
         part = ctx[n // 5 : n // 5 + -(-55 * n // 100)]
         docs.append((i, f"{fill(40)} {' '.join(part)} {fill(40)}"))
-        spoiled = ctx[: -(-6 * n // 10) + n // 10]
+        spoiled = ctx[: -(-n // 2) + 1]
         for k in range(n // 10):
             spoiled[(k + 1) * len(spoiled) // (n // 10 + 1)] = word()
         docs.append((1000 + i, f"{fill(40)} {' '.join(spoiled)} {fill(40)}"))
@@ -555,7 +649,7 @@ def test_intact(encodings, text):
 
 def test_garbled_table(spark, encodings):
     bad = encoding.garble(CLEAN[0], (("utf-8", "cp1252"),))
-    rows = [(1, bad), (1, bad), (2, CLEAN[0]), (3, None), (4, ""), (5, "verloren �"), (6, CLEAN[1] * 2000 + bad)]
+    rows = [(1, bad), (1, bad), (2, CLEAN[0]), (3, None), (4, ""), (5, "verlor�n"), (7, "The sign � stands for what can't be read, “�” in quotation marks."), (6, CLEAN[1] * 2000 + bad)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("chains", F.lit(1))
     got = {r["doc_id"]: r["restored"] for r in encoding.garbled(df, encodings).collect()}
     assert set(got) == {1, 5, 6} and got[1] == CLEAN[0] and got[5] is None and got[6] == CLEAN[1] * 2000 + CLEAN[0]

@@ -30,3 +30,22 @@ def nucleus(scores: DataFrame, group: str, p: float, probability: str = "p", tie
 def argmax(scores: DataFrame, group: str, score: str, index: str) -> DataFrame:
     """The first best of each group, by one aggregation and no sort."""
     return scores.groupBy(group).agg(F.max_by(F.struct(index, score), F.struct(F.col(score), -F.col(index))).alias("b")).select(group, f"b.{index}", f"b.{score}")
+
+
+def top_members(scores: DataFrame, group: str, k: int, score: str = "logit", tie: str = "token") -> DataFrame:
+    """Adds in_top: whether the row is among exactly ``k`` rows of its group, ties in the order of ``tie``."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), tie))
+    return scores.withColumn("in_top", place <= k)
+
+
+def multinomial(scores: DataFrame, group: str, score: str, index: str, uniform: Column, temperature: float) -> DataFrame:
+    """One row of each group, drawn with probabilities softmax(score / temperature); the best one at temperature 0 or below.
+
+    ``uniform`` are numbers between 0 and 1, both excluded, one of each row: by
+    a seeded hash of its keys the draw is the same on every run.  The largest
+    score plus Gumbel noise is such a draw, so no running sums are needed.
+    """
+    if temperature <= 0:
+        return argmax(scores, group, score, index)
+    noisy = scores.withColumn("_noisy", F.col(score) / temperature - F.log(-F.log(uniform)))
+    return argmax(noisy, group, "_noisy", index).select(group, index)

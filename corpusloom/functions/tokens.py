@@ -59,6 +59,61 @@ def piece_decoder(path: str):
     return decode
 
 
+def load_byte_model(path: str):
+    """A byte-level vocabulary of ranks; the pattern that cuts words is beside it."""
+    import base64
+    import importlib.util
+    from pathlib import Path
+
+    import tiktoken
+
+    spec = importlib.util.spec_from_file_location("public_tokenizers", Path(path).parent / "__init__.py")
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding(path, pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def byte_encoder(path: str):
+    """A vectorised function text -> ids of a byte-level vocabulary of ranks."""
+
+    @F.pandas_udf("array<int>")
+    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load_byte_model(path)
+        for part in texts:
+            yield pd.Series([None if t is None else model.encode_ordinary(t) for t in part])
+
+    return encode
+
+
+def byte_decoder(path: str):
+    """A vectorised function ids -> text of a byte-level vocabulary of ranks."""
+
+    @F.pandas_udf("string")
+    def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load_byte_model(path)
+        for part in ids:
+            yield pd.Series([None if i is None else model.decode([int(x) for x in i]) for i in part])
+
+    return decode
+
+
+def json_encoder(path: str):
+    """A vectorised function text -> ids of a tokenizer file in JSON; texts that look like special tokens are ordinary text."""
+
+    @F.pandas_udf("array<int>")
+    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer as JsonTokenizer
+
+        model = JsonTokenizer.from_file(path)
+        model.encode_special_tokens = True
+        for part in texts:
+            yield pd.Series([None if t is None else model.encode(t, add_special_tokens=False).ids for t in part])
+
+    return encode
+
+
 @dataclass(frozen=True)
 class Tokenizer:
     """What encoding needs of a tokenizer: column functions, the number of ids and the end token."""

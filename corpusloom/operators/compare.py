@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import previous
+
 
 def unassigned(docs: DataFrame, assigned: DataFrame, key: str) -> DataFrame:
     return docs.join(assigned, key, "left_anti")
@@ -47,3 +49,21 @@ def to_upload(local: DataFrame, remote: DataFrame) -> DataFrame:
 def first_below(curve: DataFrame, bar: DataFrame, step: str, loss: str) -> DataFrame:
     """The first step whose loss is below the one row of ``bar``."""
     return curve.crossJoin(F.broadcast(bar.select(F.col(loss).alias("_bar")).limit(1))).where(F.col(loss) < F.col("_bar")).agg(F.min(step).alias("first_step"))
+
+
+def array_parity(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """key, same, first_difference: whether two arrays agree, and the 0-based place of the first element that differs or is missing in one of them."""
+    x, y = F.col(a), F.col(b)
+    apart = F.array_position(F.zip_with(x, y, lambda u, v: u.eqNullSafe(v)), False)
+    same = x.eqNullSafe(y)
+    return pairs.select(key, same.alias("same"), F.when(~same, F.when(apart > 0, apart - 1).otherwise(F.least(F.size(x), F.size(y)))).cast("int").alias("first_difference"))
+
+
+def offset_check(index: DataFrame, key: str) -> DataFrame:
+    """One row: n_falling, n_gaps, last_end of an index with start_byte and end_byte: starts below the one before, starts that aren't the end before, and the largest end.
+
+    Rows are compared across the borders of partitions too; no window takes all of them.
+    """
+    steps = previous(index.select(key, F.struct("start_byte", "end_byte").alias("_own")), key, "_own", "_before")
+    own, before = F.col("_own"), F.col("_before")
+    return steps.agg(F.count_if(own["start_byte"] < before["start_byte"]).alias("n_falling"), F.count_if(own["start_byte"] != F.coalesce(before["end_byte"], F.lit(0))).alias("n_gaps"), F.max(own["end_byte"]).alias("last_end"))

@@ -27,11 +27,13 @@ def encode_segments(segments: Column, limit: int, encode: Encoder = stub_ids, bo
     return F.slice(ids, 1, limit), F.slice(labels, 1, limit)
 
 
-def control_example(messages: Column, limit: int, encode: Encoder = stub_ids, train_thinking: bool = True) -> tuple[Column, Column]:
+def control_example(messages: Column, limit: int, encode: Encoder = stub_ids, train_thinking: bool = True, fields: tuple[str, ...] = ()) -> tuple[Column, Column]:
     """(input_ids, labels) with control tokens around every turn; tool results are context, never targets.
 
-    Messages have role and content; fields thinking and tool_call (JSON text)
-    are used where the struct has them.  Null content counts as empty.
+    Messages have role and content; ``fields`` says which of thinking and
+    tool_call (JSON text) the struct has besides.  A tool call is a target,
+    thinking only if ``train_thinking``.  Null content counts as empty, and
+    null or blank thinking and tool calls leave no tokens.
     """
 
     def piece(head: int | None, text: Column, tail: int | None) -> Column:
@@ -43,7 +45,7 @@ def control_example(messages: Column, limit: int, encode: Encoder = stub_ids, tr
             said = m["content"]
             parts = [keep(F.array(F.lit(ASSISTANT)), False)]
             for name, head, tail, target in (("thinking", THINK, END_THINK, train_thinking), ("tool_call", TOOL_CALL, END_TOOL, True)):
-                if name in _fields:
+                if name in fields:
                     parts.append(F.when(F.coalesce(strip(m[name]), F.lit("")) != "", keep(piece(head, m[name], tail), target)).otherwise(F.array().cast("array<int>")))
             parts.append(keep(piece(None, said, END), True))
             return (
@@ -56,16 +58,11 @@ def control_example(messages: Column, limit: int, encode: Encoder = stub_ids, tr
 
         return build
 
-    _fields = control_example.fields
     ids = F.concat(F.array(F.lit(BOS)), F.flatten(F.transform(messages, turn(False))), F.array(F.lit(EOS)))
     labels = F.concat(F.array(F.lit(IGNORE)), F.flatten(F.transform(messages, turn(True))), F.array(F.lit(EOS)))
     return F.slice(ids, 1, limit), F.slice(labels, 1, limit)
 
 
-#: Fields of the message struct beside role and content that control_example reads.
-control_example.fields = ()
-
-
 def alpaca_messages(instruction: Column, extra: Column, output: Column) -> Column:
     """A sample as user and assistant messages; null if instruction or output is blank."""
     i, x, o = (strip(F.coalesce(c, F.lit(""))) for c in (instruction, extra, output))

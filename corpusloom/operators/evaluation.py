@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import END_TOOL, IGNORE, TOOL_CALL
 from ..functions.sampling import argmax
+from .prefix import least_before
 
 
 def token_scores(scores: DataFrame, by: list[str]) -> DataFrame:
@@ -38,6 +41,12 @@ def choose(scores: DataFrame, normalised: bool) -> DataFrame:
     return argmax(sums.withColumn("v", F.col("s") / F.col("n") if normalised else F.col("s")), "item_id", "v", "choice").select("item_id", "choice")
 
 
+def throughput(timed: DataFrame, by: str, seconds: str) -> DataFrame:
+    """by, n, per_second: items over the seconds they took, by group and in total (by = null); null if no time passed."""
+    rows = timed.select(F.coalesce(by, F.lit("unknown")).alias(by), seconds)
+    return rows.rollup(by).agg(F.count("*").alias("n"), (F.count("*") / F.nullif(F.sum(seconds), F.lit(0.0))).alias("per_second"))
+
+
 def accuracy(scores: DataFrame, labels: DataFrame, by: str) -> DataFrame:
     """by, n, acc, acc_norm by group, and the total with by = null, in one pass of grouping sets."""
     raw = choose(scores, False).withColumnRenamed("choice", "raw")
@@ -46,9 +55,14 @@ def accuracy(scores: DataFrame, labels: DataFrame, by: str) -> DataFrame:
     return judged.rollup(by).agg(F.count("*").alias("n"), F.avg("r").alias("acc"), F.avg("m").alias("acc_norm"))
 
 
-def matches(generated: Column, reference: Column, mode: Column) -> Column:
-    """exact: the same after trimming; contains: the reference in the text, whatever the case."""
-    return F.when(mode == "exact", F.trim(generated) == F.trim(reference)).otherwise(F.contains(F.lower(generated), F.lower(reference)))
+def matches(generated: Column, reference: Column, mode: Column, ids: Column | None = None, expected: Column | None = None, decode: Callable[[Column], Column] | None = None) -> Column:
+    """exact: the same after trimming; tool: the generated ``ids`` hold a valid call, of the ``expected`` tool if there is one; else the reference in the text, whatever the case.
+
+    Without ids and their decoder no tool answer matches.
+    """
+    text = F.when(mode == "exact", F.trim(generated) == F.trim(reference))
+    call = valid_call(decode(tool_call_body(ids)), expected) if ids is not None and decode is not None else F.lit(False)
+    return text.when(mode == "tool", call).otherwise(F.contains(F.lower(generated), F.lower(F.trim(reference))))
 
 
 def tool_call_body(ids: Column) -> Column:
@@ -81,9 +95,12 @@ def cross_entropy(logits: Column, target: Column, z: float = 0.0) -> Column:
     return F.when(target != IGNORE, lse - F.element_at(logits, target + 1) + z * lse * lse)
 
 
+def masked_cross_entropy(rows: DataFrame, logits: str, target: str, z: float = 0.0) -> DataFrame:
+    """One row: n_targets and the mean loss over the targets that aren't ignored. Without any the query fails, as the mean of none is no loss."""
+    some = rows.agg(F.count_if(F.col(target) != IGNORE).alias("n_targets"), F.avg(cross_entropy(F.col(logits), F.col(target), z)).alias("loss"))
+    return some.select("n_targets", F.when(F.col("n_targets") == 0, F.raise_error(F.lit("all targets are ignored")).cast("double")).otherwise(F.col("loss")).alias("loss"))
+
+
 def repeated_best(values: DataFrame, order: str, loss: str) -> DataFrame:
     """Adds is_best: the loss is below every one before."""
-    from pyspark.sql import Window
-
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return values.withColumn("is_best", F.coalesce(F.col(loss) < F.min(loss).over(before), F.lit(True)))
+    return least_before(values, order, loss, "_before").withColumn("is_best", F.coalesce(F.col(loss) < F.col("_before"), F.lit(True))).drop("_before")

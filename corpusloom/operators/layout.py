@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import EOS, IGNORE
 from ..functions.text import let
-from .prefix import mark_smallest, running_total
+from .prefix import in_order, mark_smallest, running_total
 
 
 def offsets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -29,25 +34,135 @@ def split_documents(docs: DataFrame, seed: int, ratio: float, key: str = "doc_id
     return mark_smallest(docs, hashed, key, F.greatest(F.lit(1), F.floor(F.col("n_all") * ratio)), "is_val")
 
 
-def _pieces(docs: DataFrame, size: int, overlap: int, key: str) -> DataFrame:
-    """Slices of documents by window of ``size`` tokens and ``overlap`` more: window_id, at, part."""
-    placed = running_total(docs.withColumn("_n", F.size("tokens").cast("long")).where("_n > 0"), key, "_n", "_start")
-    first = F.greatest(F.lit(0), F.ceil((F.col("_start") - (size + overlap - 1)) / size)).cast("long")
-    last = F.floor((F.col("_start") + F.col("_n") - 1) / size).cast("long")
-    cut = placed.select("tokens", "_start", "_n", F.explode(F.sequence(first, last)).alias("window_id"))
-    lo = F.greatest(F.col("_start"), F.col("window_id") * size)
-    hi = F.least(F.col("_start") + F.col("_n"), F.col("window_id") * size + size + overlap)
-    return cut.where(hi > lo).select("window_id", lo.alias("at"), F.slice("tokens", (lo - F.col("_start") + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+def load_split(train: DataFrame, val: DataFrame | None, ratio: float, seed: int, key: str, cap: int = 0) -> DataFrame:
+    """Samples with is_val: those of a validation table if there is one, else of a split of the training table.
+
+    ``cap`` takes the first samples by the key, max(1, floor(cap * ratio)) of
+    them for validation; 0 takes all.
+    """
+    first = lambda df, n: df if cap <= 0 else df.orderBy(key).limit(n)
+    val_cap = max(1, int(cap * ratio))
+    if val is not None:
+        return first(train, cap).withColumn("is_val", F.lit(False)).unionByName(first(val, val_cap).withColumn("is_val", F.lit(True)))
+    if cap <= 0:
+        return split_documents(train, seed, ratio, key)
+    hashed = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+    return mark_smallest(first(train, cap), hashed, key, F.greatest(F.lit(1), F.floor(F.col("n_all") * ratio)), "is_val")
 
 
-def _joined(pieces: DataFrame) -> DataFrame:
-    """A window's slices fit in a window, so their list is bounded."""
-    return pieces.groupBy("window_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda s: s["part"])).alias("tokens"))
+def _stream(docs: DataFrame, key: str) -> tuple[DataFrame, np.ndarray]:
+    """(documents with their block of the stream, side by side and in order; first token of each block).
+
+    Blocks are ranges of the key, a unique integer.  Their borders and sizes
+    come from keys and lengths alone, so the tokens are shuffled once.
+    Documents with a null key or null tokens are left out.
+    """
+    docs = docs.where(F.col(key).isNotNull() & F.col("tokens").isNotNull())
+    sized = in_order(docs.select(key, F.size("tokens").cast("long").alias("_n")), key)
+    parts = sized.groupBy("__part").agg(F.min(key).alias("first"), F.sum("_n").alias("n")).orderBy("__part").collect()  # a row per partition
+    firsts = np.array([r["first"] for r in parts[1:]], np.int64)
+    begins = np.cumsum([0, *(r["n"] for r in parts)])
+
+    @F.pandas_udf("int")
+    def block(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(firsts, keys.to_numpy(np.int64), "right").astype(np.int32))
+
+    placed = docs.select(key, block(F.col(key)).alias("_block"), F.col("tokens").cast("array<int>").alias("tokens"))
+    return placed.repartitionById(max(1, len(parts)), "_block").sortWithinPartitions("_block", key), begins
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """(block, its next tokens, whether they are the last ones)."""
+    before = None
+    for b in batches:
+        block, lists = b.column("_block").to_numpy(zero_copy_only=False), b.column("tokens")
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]) if len(block) else np.zeros(1, np.int64)
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if before is not None:
+                yield *before, bool(before[0] != block[i])
+            before = int(block[i]), flat[offsets[i] : offsets[j]].copy()
+    if before is not None:
+        yield *before, True
+
+
+def _arrow_windows(window: np.ndarray, at: np.ndarray, parts: pa.ListArray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(window.astype(np.int64)), pa.array(at.astype(np.int64)), parts], names=["window_id", "at", "part"])
+
+
+def _whole(begins: np.ndarray, size: int, overlap: int):
+    """Windows that lie in one block."""
+    wide = size + overlap
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, at, block = np.zeros(0, np.int32), 0, -1
+        for b, tokens, _ in _blocks(batches):
+            if b != block:
+                block, at, kept = b, int(begins[b]), np.zeros(0, np.int32)
+            kept = np.concatenate([kept, tokens])
+            first = -(-at // size)
+            n = max(0, (at + len(kept) - wide) // size - first + 1) if at + len(kept) >= wide else 0
+            if n:
+                starts = (first + np.arange(n)) * size
+                flat = kept[((starts - at)[:, None] + np.arange(wide)).ravel()]
+                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * wide)
+                yield _arrow_windows(first + np.arange(n), starts, pa.ListArray.from_arrays(offsets, pa.array(flat)))
+                done = (first + n) * size - at
+                kept, at = kept[done:], at + done
+
+    return run
+
+
+def _edges(begins: np.ndarray, size: int, overlap: int):
+    """Parts of windows that reach beyond their block: at most a window's width at each end of it."""
+    wide = size + overlap
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, tail, block, seen = np.zeros(0, np.int32), np.zeros(0, np.int32), -1, 0
+        for b, tokens, last in _blocks(batches):
+            if b != block:
+                head, tail, block, seen = np.zeros(0, np.int32), np.zeros(0, np.int32), b, 0
+            if len(head) < 2 * wide:
+                head = np.concatenate([head, tokens[: 2 * wide - len(head)]])
+            tail = np.concatenate([tail, tokens])[-2 * wide :]
+            seen += len(tokens)
+            if not last or not seen:
+                continue
+            begin, end = int(begins[b]), int(begins[b]) + seen
+            window, at, parts = [], [], []
+            # all windows from the first to the last whole one lie in the block
+            first, last_one = -(-begin // size), (end - wide) // size
+            lowest, highest = max(0, (begin - wide) // size), (end - 1) // size
+            beyond = [*range(lowest, first), *range(last_one + 1, highest + 1)] if last_one >= first else range(lowest, highest + 1)
+            for w in beyond:
+                lo, hi = max(begin, w * size), min(end, w * size + wide)
+                if hi > lo:
+                    near = head[lo - begin : hi - begin] if hi - begin <= len(head) else tail[lo - (end - len(tail)) : hi - (end - len(tail))]
+                    window.append(w), at.append(lo), parts.append(near)
+            if window:
+                yield _arrow_windows(np.array(window), np.array(at), pa.array(parts, pa.list_(pa.int32())))
+
+    return run
+
+
+def _windows(docs: DataFrame, size: int, overlap: int, key: str) -> DataFrame:
+    """window_id, tokens: windows of ``size`` tokens of the stream and ``overlap`` more; the last ones may be shorter.
+
+    Most windows lie in one block of the stream and are cut from it; only those
+    at the borders of blocks are put together from parts, whose list fits in a
+    window.
+    """
+    placed, begins = _stream(docs, key)
+    schema = "window_id long, at long, part array<int>"
+    whole = placed.mapInArrow(_whole(begins, size, overlap), schema).select("window_id", F.col("part").alias("tokens"))
+    edges = placed.mapInArrow(_edges(begins, size, overlap), schema)
+    joined = edges.groupBy("window_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda s: s["part"])).alias("tokens"))
+    return whole.unionByName(joined)
 
 
 def shifted_windows(docs: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
     """window_id, x, y of the stream: x the tokens of the window, y those one further; only whole windows."""
-    whole = _joined(_pieces(docs, size, 1, key)).where(F.size("tokens") == size + 1)
+    whole = _windows(docs, size, 1, key).where(F.size("tokens") == size + 1)
     return whole.select("window_id", F.slice("tokens", 1, size).alias("x"), F.slice("tokens", 2, size).alias("y"))
 
 
@@ -57,7 +172,7 @@ def packed_windows(docs: DataFrame, size: int, key: str = "doc_id", pad: bool =
     The rest is dropped, or filled with end tokens if ``pad``.
     """
     ended = docs.withColumn("tokens", F.when(F.coalesce(F.try_element_at("tokens", F.lit(-1)) == EOS, F.lit(False)), F.col("tokens")).otherwise(F.concat("tokens", F.array(F.lit(EOS)))))
-    windows = _joined(_pieces(ended, size, 0, key))
+    windows = _windows(ended, size, 0, key)
     if pad:
         return windows.withColumn("tokens", F.concat("tokens", F.array_repeat(F.lit(EOS), F.lit(size) - F.size("tokens"))))
     return windows.where(F.size("tokens") == size)

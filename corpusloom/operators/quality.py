@@ -71,7 +71,7 @@ def validate(samples: DataFrame, errors: Column, strict: bool = False, index: st
 
 
 def validation_report(validated: DataFrame, index: str) -> DataFrame:
-    """total, valid, invalid, dropped_pct, first_dropped and the errors by count."""
+    """total, valid, invalid, dropped_pct and first_dropped; ``dropped_indices`` lists the dropped ones."""
     return validated.agg(
         F.count("*").alias("total"),
         F.count_if("valid").alias("valid"),
@@ -81,6 +81,11 @@ def validation_report(validated: DataFrame, index: str) -> DataFrame:
     )
 
 
+def dropped_indices(validated: DataFrame, index: str) -> DataFrame:
+    """index, first_error of the invalid samples: a row each, as they may be many."""
+    return validated.where(~F.col("valid")).select(index, F.try_element_at("errors", F.lit(1)).alias("first_error"))
+
+
 def trainable(labels: Column) -> Column:
     """Whether any label isn't ignored."""
     return F.exists(labels, lambda x: x != IGNORE)

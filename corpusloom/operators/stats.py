@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import IGNORE, LENGTH_RANGES
 from ..functions.text import repetition_rate
+from .prefix import ranked
 
 
 def length_stats(docs: DataFrame, context: int = 4096, n: str = "n_tokens") -> DataFrame:
@@ -81,9 +82,11 @@ def repetition(texts: DataFrame, by: list[str], text: str = "text") -> DataFrame
 
 
 def upper_median(values: DataFrame, value: str) -> DataFrame:
-    """The element at half the count of the sorted values, an existing one; by percentile, as no list is gathered."""
-    n = values.where(F.col(value).isNotNull())
-    return n.agg(F.count("*").alias("n"), F.expr(f"percentile_disc(0.5) within group (order by {value} desc)").alias("upper_median"), F.max(value).alias("max"))
+    """n, upper_median, max: the element at half the count of the sorted values, an existing one, by its rank. Nulls don't count; without values n is 0."""
+    some = values.where(F.col(value).isNotNull()).select(value)
+    n = some.agg(F.count("*").alias("n"), F.max(value).alias("max"))
+    middle = ranked(some, value, out="_r").join(F.broadcast(n), F.col("_r") == F.floor(F.col("n") / 2) + 1).select(F.col(value).alias("upper_median"))
+    return n.join(F.broadcast(middle), how="left").select("n", "upper_median", "max")
 
 
 def change(new: Column, old: Column) -> tuple[Column, Column]:

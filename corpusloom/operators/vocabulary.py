@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CONTROL_TOKENS
+from .prefix import ranked
 
 #: Fixed value: the mark of a word's start.
 WORD_MARK = "▁"
@@ -33,11 +34,16 @@ def best(pieces: DataFrame, k: int) -> DataFrame:
 
 
 def merges(pieces: DataFrame) -> DataFrame:
-    """piece_id, left_id, right_id, score for every split of a piece into two pieces: two joins with the vocabulary."""
+    """piece_id, left_id, right_id, score, place for every split of a piece into two pieces: two joins with the vocabulary.
+
+    ``place`` counts from 1 by falling score, then by the ids of piece, left and
+    right half, which is the order in which a merging encoder tries them.
+    """
     cut = pieces.where(F.length("piece") > 1).select(F.col("id").alias("piece_id"), "score", "piece", F.explode(F.sequence(F.lit(1), F.length("piece") - 1)).alias("k"))
     parts = cut.select("piece_id", "score", F.expr("substring(piece, 1, k)").alias("l"), F.expr("substring(piece, k + 1)").alias("r"))
     left, right = pieces.select(F.col("piece").alias("l"), F.col("id").alias("left_id")), pieces.select(F.col("piece").alias("r"), F.col("id").alias("right_id"))
-    return parts.join(left, "l").join(right, "r").select("piece_id", "left_id", "right_id", "score")
+    found = parts.join(left, "l").join(right, "r").select("piece_id", "left_id", "right_id", "score")
+    return ranked(found, F.desc("score"), "piece_id", "left_id", "right_id", out="place")
 
 
 def protocol_problems(pieces: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..constants import EOS, LENGTH_RANGES
 from ..functions.text import repetition_rate, strip, words
-from ..functions.tokens import in_range, marked, piece_decoder, piece_encoder, stub_ids, stub_tokenizer, training_lines
+from ..functions.tokens import byte_decoder, byte_encoder, in_range, json_encoder, marked, piece_decoder, piece_encoder, stub_ids, stub_tokenizer, training_lines
 from ..operators import compare, layout, quality, stats, vocabulary
-from ..operators.prefix import running_total
+from ..operators.prefix import ranked
+from ..session import new_path
 from ..sources import items as item_sources
 from ..sources import lines as line_sources
 from ..sources import sinks
@@ -82,9 +83,31 @@ def s14(spark, sf):
 Q["w03_offset_differences"], SQL["w03_offset_differences"] = Q["s14_lengths_from_offsets"], SQL["s14_lengths_from_offsets"]
 
 
-@query("s13_token_bytes")
+@query("s13_token_bytes", f"""select doc_id, (len(tokens) * 2)::bigint as n_bytes, md5(unhex(array_to_string(list_transform(tokens, lambda t: printf('%02x%02x', t % 256, t // 256)), ''))) as digest from {TOKENIZED}""")
 def s13(spark, sf):
-    return sinks.token_bytes(tokenized(spark, sf)).select("doc_id", F.length("data").alias("n_bytes"), F.md5("data").alias("digest"))
+    return sinks.token_bytes(tokenized(spark, sf)).select("doc_id", F.length("data").cast("long").alias("n_bytes"), F.md5("data").alias("digest"))
+
+
+_INDEX = f"""(with t as (select doc_id, len(tokens)::bigint as n from {TOKENIZED}), s as (select doc_id, n, coalesce(sum(n) over (order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as b from t)
+ select doc_id, n as n_tokens, b * 2 as start_byte, (b + n) * 2 as end_byte from s)"""
+
+
+@query("s13_token_cache", f"select i.*, t.total as total_tokens from {_INDEX} i join (select doc_id, list_sum(tokens)::bigint as total from {TOKENIZED}) t on t.doc_id = i.doc_id")
+def s13_cache(spark, sf):
+    """Tokens and index as written by the sink and read back."""
+    path = new_path(spark)
+    sinks.write_tokens(tokenized(spark, sf), path)
+    tokens = spark.read.parquet(f"{path}/tokens").select("doc_id", F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("total_tokens"))
+    return spark.read.parquet(f"{path}/index").join(tokens, "doc_id")
+
+
+@query("s15_written_split", f"""with s as (select doc_id, tokens, (row_number() over (order by md5('42|' || doc_id), doc_id) <= greatest(1, floor(count(*) over () * 0.05))) as v from {TOKENIZED})
+ select case when v then 'val' else 'train' end as split, count(*) as n_docs, sum(len(tokens))::bigint as n_tokens from s group by 1""")
+def s15_written(spark, sf):
+    """A split as written by the sink and read back."""
+    path = new_path(spark)
+    sinks.write_split(layout.split_documents(tokenized(spark, sf), 42, 0.05), path, 42, 0.05)
+    return spark.read.parquet(f"{path}/data").groupBy("split").agg(F.count("*").alias("n_docs"), F.sum(F.size("tokens")).cast("long").alias("n_tokens"))
 
 
 _VAL = "(row_number() over (order by md5('42|' || doc_id), doc_id) <= greatest(1, floor(count(*) over () * 0.05)))"
@@ -108,10 +131,10 @@ def p01(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.length(strip(padded)).cast("long").alias("n_chars"), F.md5(strip("text")).alias("digest"))
 
 
-@query("pf02_valid_utf8")
+@query("pf02_valid_utf8", "select doc_id, true as valid, (length(text) + 1)::bigint as n_chars from documents")
 def p02(spark, sf):
     """Nearest thing to repairing lone surrogates: bytes that are no UTF-8 are replaced."""
-    return table(spark, sf, "documents").select("doc_id", F.make_valid_utf8(F.concat(F.col("text"), F.lit(b"\xff").cast("string"))).alias("text")).select("doc_id", F.is_valid_utf8("text").alias("valid"), F.length("text").alias("n_chars"))
+    return table(spark, sf, "documents").select("doc_id", F.make_valid_utf8(F.concat(F.col("text"), F.lit(b"\xff").cast("string"))).alias("text")).select("doc_id", F.is_valid_utf8("text").alias("valid"), F.length("text").cast("long").alias("n_chars"))
 
 
 @query("pf10_over_length", f"select count(*) filter (len(tokens) > 4096) as n_over, count(*) as n from {TOKENIZED}")
@@ -138,6 +161,10 @@ def _model() -> str:
     return "/opt/tokenizers/piece_bpe_32k.model"
 
 
+# one vocabulary, in the files of two libraries
+_BYTE_MODEL, _JSON_MODEL = "/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_50k.json"
+
+
 @query("t01_subword_tokens")
 def t01_subword(spark, sf):
     ids = marked(piece_encoder(_model())("text"), bos=True)
@@ -164,21 +191,40 @@ def t04(spark, sf):
     return training_lines(table(spark, sf, "documents"), most_bytes=2048).agg(F.count("*").alias("n"), F.max(F.octet_length("line")).cast("long").alias("longest"))
 
 
-@query("t06_round_trip")
+@query("t06_round_trip", "select doc_id, true as same, length(text)::bigint as n_chars from documents")
 def t06(spark, sf):
+    """Encoding and decoding by the byte-level vocabulary gives the text back, character by character."""
+    encode, decode = byte_encoder(_BYTE_MODEL), byte_decoder(_BYTE_MODEL)
+    back = table(spark, sf, "documents").select("doc_id", "text", decode(encode("text")).alias("back"))
+    return back.select("doc_id", (F.col("text") == F.col("back")).alias("same"), F.length("back").cast("long").alias("n_chars"))
+
+
+_SQUEEZED = "trim(regexp_replace(text, '[ \t\r\n\f\v]+', ' ', 'g'))"
+
+
+@query("t06_piece_round_trip")
+def t06_piece(spark, sf):
+    """By the piece vocabulary, which normalises: whether the text comes back as it is, and but for white space."""
     encode, decode = piece_encoder(_model()), piece_decoder(_model())
-    back = table(spark, sf, "documents").select("doc_id", "text", encode("text").alias("ids")).select("doc_id", "text", decode("ids").alias("back"))
+    back = table(spark, sf, "documents").select("doc_id", "text", decode(encode("text")).alias("back"))
     squeezed = lambda c: F.regexp_replace(F.trim(c), r"\s+", " ")
-    return back.select("doc_id", (squeezed(F.col("text")) == squeezed(F.col("back"))).alias("same"))
+    return back.select("doc_id", (F.col("text") == F.col("back")).alias("exact"), (squeezed(F.col("text")) == squeezed(F.col("back"))).alias("squeezed"))
 
 
-@query("t09_parity")
+@query("t09_parity", "select doc_id, true as same, null::int as first_difference from documents")
 def t09(spark, sf):
-    """The same texts under two encoders of one model: arrays joined by probe and compared."""
+    """The same texts under two implementations of one byte-level vocabulary, joined by probe: all ids agree, or the first place where they don't is told."""
+    docs = table(spark, sf, "documents")
+    a, b = docs.select("doc_id", byte_encoder(_BYTE_MODEL)("text").alias("a")), docs.select("doc_id", json_encoder(_JSON_MODEL)("text").alias("b"))
+    return compare.array_parity(a.join(b, "doc_id"), "doc_id", "a", "b")
+
+
+@query("t09_parity_failures", "select doc_id, false as same, (length(text) - length(regexp_extract(text, '[A-Z].*$', 0, 's')))::int as first_difference from documents where regexp_matches(text, '[A-Z]')")
+def t09_failures(spark, sf):
+    """Two encoders that do differ, the second one by lower case: the probes that fail, with the first place."""
     docs = table(spark, sf, "documents")
-    encode = piece_encoder(_model())
-    a, b = docs.select("doc_id", encode("text").alias("a")), docs.select("doc_id", encode(F.concat("text", F.lit(""))).alias("b"))
-    return a.join(b, "doc_id").select("doc_id", (F.col("a") == F.col("b")).alias("same"))
+    a, b = docs.select("doc_id", stub_ids("text").alias("a")), docs.select("doc_id", stub_ids(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).alias("b"))
+    return compare.array_parity(a.join(b, "doc_id"), "doc_id", "a", "b").where("not same")
 
 
 @query("k01_split", f"select doc_id, {_VAL} as is_val from documents")
@@ -333,13 +379,25 @@ def j03(spark, sf):
 Q["u03_set_equality"], SQL["u03_set_equality"] = Q["j03_regenerated"], SQL["j03_regenerated"]
 
 
-@query("w04_monotone", f"""with t as (select doc_id, len(tokens)::bigint as n from {TOKENIZED}), s as (select doc_id, coalesce(sum(n) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as b from t),
- l as (select doc_id, b, lag(b) over (order by doc_id) as p from s) select count(*) filter (b < p) as n_violations from l""")
+_CHECKED = "select count(*) filter (start_byte < p) as n_falling, count(*) filter (start_byte <> e) as n_gaps, max(end_byte)::bigint as last_end from (select *, lag(start_byte) over (order by doc_id) as p, coalesce(lag(end_byte) over (order by doc_id), 0) as e from i)"
+
+
+@query("w04_monotone", f"with i as {_INDEX}, s as (select sum(len(tokens))::bigint * 2 as size from {TOKENIZED}) select c.*, s.size as n_bytes, c.last_end = s.size as complete from ({_CHECKED}) c, s")
 def w04(spark, sf):
-    """Offsets that fall: the largest before is kept by block, so no global window over rows is needed."""
+    """The written index read back: every start against the row before, and the last end against the size of the tokens."""
+    path = new_path(spark)
+    sinks.write_tokens(tokenized(spark, sf), path)
+    size = spark.read.parquet(f"{path}/tokens").agg((F.sum(F.size("tokens")).cast("long") * 2).alias("n_bytes"))
+    return compare.offset_check(spark.read.parquet(f"{path}/index"), "doc_id").crossJoin(F.broadcast(size)).select("*", (F.col("last_end") == F.col("n_bytes")).alias("complete"))
+
+
+@query("w04_broken", f"with i as (select doc_id, case when doc_id % 97 = 1 then greatest(start_byte - 40000, 0) else start_byte end as start_byte, case when doc_id % 89 = 1 then end_byte + 2 else end_byte end as end_byte from {_INDEX}) {_CHECKED}")
+def w04_broken(spark, sf):
+    """An index with starts moved back and ends moved on."""
     index = layout.offsets(tokenized(spark, sf).select("doc_id", F.size("tokens").alias("n_tokens")))
-    checked = running_total(index, "doc_id", "n_tokens", "expected")
-    return checked.agg(F.count_if(F.col("start_byte") < F.col("expected") * 2).alias("n_violations"))
+    start, end = F.col("start_byte"), F.col("end_byte")
+    broken = index.select("doc_id", F.when(F.col("doc_id") % 97 == 1, F.greatest(start - 40000, F.lit(0))).otherwise(start).alias("start_byte"), F.when(F.col("doc_id") % 89 == 1, end + 2).otherwise(end).alias("end_byte"))
+    return compare.offset_check(broken, "doc_id")
 
 
 _N = f"(select doc_id, len(tokens)::bigint as n_tokens from {TOKENIZED})"
@@ -409,6 +467,14 @@ def f05(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.get_json_object(F.to_json(F.struct("text", "lang")), "$.lang").alias("lang"))
 
 
+@query("f08_file_hash", "select sha256(string_agg(n_name || chr(10), '' order by n_nationkey)) as sha256 from nation")
+def f08_file(spark, sf):
+    """The hash of a file: names written as lines of one file."""
+    path = new_path(spark)
+    sinks.write_lines(table(spark, sf, "nation").select(F.col("n_nationkey").alias("line_no"), F.col("n_name").alias("line")), path)
+    return sinks.file_hash(spark, f"{path}/*.txt").select("sha256")
+
+
 @query("f08_sha256", "select doc_id, sha256(text) as sha256 from documents")
 def f08(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
@@ -420,15 +486,13 @@ _VOCAB = """(select row_number() over (order by n desc, piece) - 1 as id, piece,
 
 
 def _vocabulary(spark, sf) -> DataFrame:
-    """Pieces by falling count. One window over the distinct words of the corpus, as a vocabulary is small."""
-    from pyspark.sql import Window
-
+    """Pieces by falling count, ranked by range partitions."""
     docs = table(spark, sf, "documents").select("text")
     plain = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("piece"))
     letters = docs.select(F.explode(F.split(F.lower("text"), "")).alias("piece")).where(F.col("piece").rlike("^[a-z]+$"))
     counts = plain.unionAll(letters).groupBy("piece").agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "piece")) - 1)
-    lines = ranked.select("id", F.concat_ws("\t", "piece", (-F.log(F.col("id") + 1)).cast("string")).alias("line"))
+    numbered = ranked(counts, F.desc("n"), "piece", out="id").withColumn("id", F.col("id") - 1)
+    lines = numbered.select("id", F.concat_ws("\t", "piece", (-F.log(F.col("id") + 1)).cast("string")).alias("line"))
     return item_sources.vocabulary(lines, "id")
 
 
@@ -437,15 +501,35 @@ def s10(spark, sf):
     return _vocabulary(spark, sf).withColumn("score", F.round("score", 6) + 0.0)
 
 
-@query("t05_protocol", """select piece, expected::int as expected, null::int as actual from (values ('<system>',4),('<user>',5),('<assistant>',6),('<end>',7),('<think>',8),('</think>',9),('<tool_list>',10),('<tool_call>',11),('<tool_result>',12),('</tool>',13),('<code>',14),('</code>',15)) t(piece, expected)""")
+# Pieces of every kind with their ids, some of them control tokens under right and wrong ids.
+_SPECIAL = ((0, "<pad>"), (1, "<unk>"), (2, "<s>"), (3, "</s>"), (4, "<system>"), (6, "<user>"), (5, "<assistant>"), (7, "<end>"), (8, "<think>"), (9, "</think>"), (11, "<tool_call>"), (13, "</tool>"), (14, "<code>"), (99, "</code>"), (20, "<0x41>"), (21, "<0xFF>"), (22, "<0xfg>"), (23, "<own>"), (24, "\u2581the"), (25, "\u2581"), (26, "<"))
+_SPECIAL_SQL = "(select * from (values " + ", ".join(f"({i}, '{p}')" for i, p in _SPECIAL) + ") t(id, piece))"
+_PROTOCOL = "(values ('<system>',4),('<user>',5),('<assistant>',6),('<end>',7),('<think>',8),('</think>',9),('<tool_list>',10),('<tool_call>',11),('<tool_result>',12),('</tool>',13),('<code>',14),('</code>',15)) t(piece, expected)"
+
+
+def _special(spark) -> DataFrame:
+    return spark.createDataFrame([(i, p, 0.0) for i, p in _SPECIAL], "id int, piece string, score double")
+
+
+@query("t05_protocol", f"select piece, expected::int as expected, null::int as actual from {_PROTOCOL}")
 def t05(spark, sf):
     """The corpus vocabulary has no control tokens: every one is a problem."""
     return vocabulary.protocol_problems(_vocabulary(spark, sf))
 
 
-@query("t07_pieces", f"select 'normal' as kind, count(*) as n, round(avg(length(piece)), 6) as mean_length from {_VOCAB}")
+@query("t05_protocol_mixed", f"select p.piece, expected::int as expected, v.id::int as actual from (select * from {_PROTOCOL}) p left join {_SPECIAL_SQL} v on v.piece = p.piece where v.id is null or v.id <> expected")
+def t05_mixed(spark, sf):
+    """Control tokens of which some are right, some have another id and some are missing."""
+    return vocabulary.protocol_problems(_special(spark))
+
+
+@query("t07_pieces", f"""with v as (select piece from {_VOCAB} union all select piece from {_SPECIAL_SQL}),
+ k as (select piece, case when piece = '<unk>' then 'unknown' when piece in ('<s>', '</s>', '<pad>') then 'control' when regexp_full_match(piece, '<0x[0-9A-F]{{2}}>') then 'byte' when piece like '<%' and piece like '%>' then 'user-defined' else 'normal' end as kind from v)
+ select kind, count(*) as n, round(avg(length(replace(piece, chr(9601), ''))), 6) as mean_length from k group by 1""")
 def t07(spark, sf):
-    return vocabulary.analysis(_vocabulary(spark, sf)).withColumn("mean_length", F.round("mean_length", 6))
+    """The corpus vocabulary with pieces of every kind."""
+    pieces = _vocabulary(spark, sf).unionByName(_special(spark))
+    return vocabulary.analysis(pieces).withColumn("mean_length", F.round("mean_length", 6))
 
 
 @query("t07_characters", f"select count(distinct c) as n_characters from (select unnest(string_split(piece, '')) as c from {_VOCAB})")
@@ -458,10 +542,10 @@ def l02(spark, sf):
     return vocabulary.best(_vocabulary(spark, sf), 50).withColumn("score", F.round("score", 6) + 0.0)
 
 
-@query("t08_merges", f"""with v as (select * from {_VOCAB}), c as (select id, piece, unnest(range(1, length(piece))) as k from v)
- select c.id::int as piece_id, l.id::int as left_id, r.id::int as right_id from c join v l on l.piece = substr(c.piece, 1, k) join v r on r.piece = substr(c.piece, k + 1)""")
+@query("t08_merges", f"""with v as (select * from {_VOCAB}), c as (select id, piece, score, unnest(range(1, length(piece))) as k from v)
+ select c.id::int as piece_id, l.id::int as left_id, r.id::int as right_id, row_number() over (order by c.score desc, c.id, l.id, r.id) as place from c join v l on l.piece = substr(c.piece, 1, k) join v r on r.piece = substr(c.piece, k + 1)""")
 def t08(spark, sf):
-    return vocabulary.merges(_vocabulary(spark, sf)).select("piece_id", "left_id", "right_id")
+    return vocabulary.merges(_vocabulary(spark, sf)).select("piece_id", "left_id", "right_id", "place")
 
 
 Q["j05_merge_halves"], SQL["j05_merge_halves"] = Q["t08_merges"], SQL["t08_merges"]

@@ -12,6 +12,8 @@ from ..functions import sampling
 from ..functions.text import strip
 from ..functions.tokens import stub_ids
 from ..operators import compare, encode, evaluation, stats
+from ..operators.prefix import quantiles, ranked
+from ..session import new_path
 from ..sources import items as item_sources
 from ..sources import sinks
 from .common import TOKENIZED, WS, digest, score, sql_digest, sql_score, table, tokenized
@@ -47,6 +49,16 @@ def s07(spark, sf):
     return item_sources.checked_items(table(spark, sf, "eval_items")).select("item_id", "label", F.size("endings").cast("long").alias("n_endings"), "category")
 
 
+@query("s08_parsed_items", "select item_id as line_no, coalesce(ind::varchar, 'line_' || item_id) as id, coalesce(activity_label, 'unknown') as category, label::int as label, md5(ctx) as ctx from eval_items")
+def s08_parsed(spark, sf):
+    """Items from their JSON lines, every third line with a mark of byte order before it, blank lines between, defaults for category and id."""
+    items = table(spark, sf, "eval_items")
+    line = F.to_json(F.struct("ctx", "endings", F.col("label").cast("string").alias("label"), "activity_label", "ind"))
+    marked = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("\ufeff"), line)).otherwise(line)
+    lines = items.select(F.col("item_id").alias("line_no"), marked.alias("line")).unionByName(items.select(F.col("item_id").alias("line_no"), F.lit("  ").alias("line")))
+    return item_sources.checked_items(item_sources.parsed_items(lines)).select("line_no", "id", "category", "label", F.md5("ctx").alias("ctx"))
+
+
 @query("s09_scorers", "select name, case when name like '%/mc\\_%' escape '\\' then 'multiple_choice' when name like '%/gen\\_%' escape '\\' then 'generative' end as scorer from (select distinct 'tasks/' || case when item_id % 3 = 0 then 'mc_' when item_id % 3 = 1 then 'gen_' else 'x_' end || benchmark || '.jsonl' as name from eval_items)")
 def s09(spark, sf):
     prefix = F.when(F.col("item_id") % 3 == 0, "mc_").when(F.col("item_id") % 3 == 1, "gen_").otherwise("x_")
@@ -74,9 +86,9 @@ def t11_trim(spark, sf):
 
 @query("k16_length_sorted", f"""with l as (select item_id, max(length(ctx) + length(ending)) as m from {_CHOICES} group by 1) select item_id, ((row_number() over (order by m, item_id) - 1) // 16)::bigint as batch_id from l""")
 def k16(spark, sf):
-    """Items by their longest request; one ordered window over items, as benchmarks are small."""
+    """Items by their longest request, ranked by range partitions."""
     longest = _choices(spark, sf).groupBy("item_id").agg(F.max(F.length("ctx") + F.length("ending")).alias("m"))
-    return longest.select("item_id", F.floor((F.row_number().over(Window.orderBy("m", "item_id")) - 1) / 16).alias("batch_id"))
+    return ranked(longest, "m", "item_id", out="place").select("item_id", F.floor((F.col("place") - 1) / 16).alias("batch_id"))
 
 
 def _token_scores(spark, sf) -> DataFrame:
@@ -118,6 +130,16 @@ def a18(spark, sf):
     return out.withColumn("acc", F.round("acc", 9)).withColumn("acc_norm", F.round("acc_norm", 9))
 
 
+_TIMED = f"(select coalesce(activity_label, 'unknown') as activity_label, {sql_score('item_id', 'label')} + 0.5 as seconds from eval_items)"
+
+
+@query("a18_throughput", f"select activity_label, count(*) as n, round(count(*) / sum(seconds), 6) as per_second from {_TIMED} group by rollup(activity_label)")
+def a18_throughput(spark, sf):
+    """Items a second by category and in total; the seconds are numbers by hash."""
+    timed = table(spark, sf, "eval_items").select("activity_label", (score("item_id", "label") + 0.5).alias("seconds"))
+    return evaluation.throughput(timed, "activity_label", "seconds").withColumn("per_second", F.round("per_second", 6))
+
+
 @query("l07_predictions", f"select cast(item_id as varchar) as id, choice::int as choice from {_BEST('s')} order by 1")
 def l07(spark, sf):
     return evaluation.choose(_token_scores(spark, sf), False).select(F.col("item_id").cast("string").alias("id"), "choice").orderBy("id")
@@ -134,6 +156,21 @@ def a19(spark, sf):
     return g.groupBy("mode").agg(F.count("*").alias("n"), F.count_if(evaluation.matches(F.col("generated"), F.col("reference"), F.col("mode"))).alias("correct"))
 
 
+@query("a19_tool", "select case when item_id % 3 = 0 then 'tool' when item_id % 3 = 1 then 'contains' else 'exact' end as mode, count(*) as n, count(*) filter (case item_id % 3 when 0 then item_id % 12 = 0 when 1 then true else item_id % 2 = 0 end) as correct from eval_items group by 1")
+def a19_tool(spark, sf):
+    """The three modes side by side: calls of the expected tool, of another one, without a name and never closed; answers in other case; answers with blanks or more text around."""
+    items = table(spark, sf, "eval_items")
+    kind, text = F.col("item_id") % 12, F.col("benchmark")
+    name = F.when(kind == 3, F.concat(text, F.lit("x"))).otherwise(text)
+    payload = F.when(kind == 6, F.lit('{"tool":1}')).otherwise(F.concat(F.lit('{"name":"'), name, F.lit('"}')))
+    ids = F.concat(F.array(F.lit(11)), stub_ids(payload), F.when(kind == 9, F.array().cast("array<int>")).otherwise(F.array(F.lit(13))))
+    said = F.when(F.col("item_id") % 3 == 1, F.concat(F.lit("x "), F.upper("benchmark"))).when(F.col("item_id") % 2 == 0, F.concat(F.lit("  "), text, F.lit(" "))).otherwise(F.concat(text, F.lit(" and more")))
+    mode = F.when(F.col("item_id") % 3 == 0, "tool").when(F.col("item_id") % 3 == 1, "contains").otherwise("exact")
+    decode = lambda body: F.array_join(F.transform(body, lambda i: F.char(i - 3)), "")
+    hit = evaluation.matches(said, text, mode, ids, text, decode)
+    return items.select(mode.alias("mode"), hit.alias("hit")).groupBy("mode").agg(F.count("*").alias("n"), F.count_if("hit").alias("correct"))
+
+
 @query("l06_first_shown", f"select mode, item_id from (select mode, item_id, row_number() over (partition by mode order by item_id) as r from {_GENERATED}) where r <= 3")
 def l06(spark, sf):
     g = table(spark, sf, "eval_items").select("item_id", F.when(F.col("item_id") % 2 == 0, "exact").otherwise("contains").alias("mode"))
@@ -240,6 +277,13 @@ def a28(spark, sf):
     return _logits(spark, sf).select("item_id", F.round(evaluation.cross_entropy(F.col("x"), F.col("label"), 1e-4), 6).alias("loss"))
 
 
+@query("a28_masked_mean", f"select count(*) as n_targets, round(avg(ln(list_sum(list_transform(x, lambda v: exp(v)))) - x[label + 1]), 6) as loss from {_LOGITS} where item_id % 3 <> 0")
+def a28_masked(spark, sf):
+    """The mean over the targets that aren't ignored; a third is."""
+    masked = _logits(spark, sf).withColumn("label", F.when(F.col("item_id") % 3 == 0, -100).otherwise(F.col("label")))
+    return evaluation.masked_cross_entropy(masked, "x", "label").withColumn("loss", F.round("loss", 6))
+
+
 def _long_logits(spark, sf) -> DataFrame:
     return _logits(spark, sf).select("item_id", "label", F.posexplode("x").alias("token", "logit"))
 
@@ -252,6 +296,22 @@ def l04(spark, sf):
     return sampling.top_k(_long_logits(spark, sf), "item_id", 2).select("item_id", "token")
 
 
+_WIDE = f"(select item_id, label, token, {sql_score('item_id', 'token')} * 8 - 4 as logit from (select item_id, label, unnest(range(16)) as token from eval_items))"
+
+
+def _wide_logits(spark, sf) -> DataFrame:
+    """Sixteen scores of each item."""
+    wide = table(spark, sf, "eval_items").select("item_id", "label", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("token"))
+    return wide.withColumn("logit", score("item_id", "token") * 8 - 4)
+
+
+@query("l04_top5_members", f"select item_id, bool_or(token = label and r <= 5) as label_in_top from (select *, row_number() over (partition by item_id order by logit desc, token) as r from {_WIDE}) group by 1")
+def l04_members(spark, sf):
+    """Whether the right token is among the five best."""
+    rows = sampling.top_members(_wide_logits(spark, sf), "item_id", 5)
+    return rows.groupBy("item_id").agg(F.bool_or((F.col("token") == F.col("label")) & F.col("in_top")).alias("label_in_top"))
+
+
 @query("w09_nucleus", f"""with p as (select item_id, token, exp(logit) / sum(exp(logit)) over (partition by item_id) as p from {_LONG}), c as (select *, coalesce(sum(p) over (partition by item_id order by p desc, token rows between unbounded preceding and 1 preceding), 0) as b from p) select item_id, token::int as token from c where b <= 0.8""")
 def w09(spark, sf):
     p = _long_logits(spark, sf).withColumn("p", F.exp("logit") / F.sum(F.exp("logit")).over(Window.partitionBy("item_id")))
@@ -269,6 +329,21 @@ def f13(spark, sf):
     return sampling.argmax(_long_logits(spark, sf), "item_id", "logit", "token").select("item_id", "token")
 
 
+_UNIFORM = f"({sql_score('seed', 'item_id', 'token')} + 1.0 / 33554432)"
+
+
+@query("f13_sampled", f"select item_id, arg_max(token, (logit / 0.7 - ln(-ln({_UNIFORM})), -token))::int as token from (select *, 11 as seed from {_WIDE}) group by 1")
+def f13_sampled(spark, sf):
+    """A token drawn from softmax(logit / 0.7) by a seeded hash."""
+    seeded = _wide_logits(spark, sf).withColumn("seed", F.lit(11))
+    return sampling.multinomial(seeded, "item_id", "logit", "token", score("seed", "item_id", "token") + 1.0 / 33554432, 0.7)
+
+
+@query("f13_greedy", f"select item_id, arg_max(token, (logit, -token))::int as token from {_WIDE} group by 1")
+def f13_greedy(spark, sf):
+    return sampling.multinomial(_wide_logits(spark, sf), "item_id", "logit", "token", F.lit(0.5), 0.0).select("item_id", "token")
+
+
 # a curve of losses by step, of the events
 _CURVE = "(select event_id as step, round(value, 4) as loss from events)"
 
@@ -308,7 +383,7 @@ def w11(spark, sf):
 @query("j11_first_below", f"select min(step) as first_step from {_CURVE} where loss < (select round(quantile_cont(value, 0.01), 4) from events)")
 def j11(spark, sf):
     e = table(spark, sf, "events")
-    bar = e.agg(F.round(F.percentile("value", F.lit(0.01)), 4).alias("loss"))
+    bar = quantiles(e, "value", [0.01]).select(F.round("q0", 4).alias("loss"))
     return compare.first_below(e.select(F.col("event_id").alias("step"), F.round("value", 4).alias("loss")), bar, "step", "loss")
 
 
@@ -328,6 +403,28 @@ def s17(spark, sf):
     return m.select(sinks.markdown_row(F.col("event_type"), F.col("v"), F.lit(None).cast("double")).alias("row"))
 
 
+@query("s16_json_report", "select event_type, count(*) as n, round(avg(value), 6) as mean from events group by 1")
+def s16_report(spark, sf):
+    """Report rows as written by the sink and read back."""
+    path = new_path(spark)
+    m = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    sinks.write_report(m, path)
+    return spark.read.schema("event_type string, n long, mean double").json(path)
+
+
+@query("s17_report", """with m as (select event_type, avg(value) filter (event_id % 2 = 0) as new, case when event_type = (select min(event_type) from events) then null else avg(value) filter (event_id % 2 = 1) end as old from events group by 1)
+ select line_no::int as line_no, line from (values (-4, '# Events'), (-3, ''), (-2, '| metric | new | old |'), (-1, '|-|-|-|')) t(line_no, line)
+ union all select row_number() over (order by event_type)::int, '| ' || event_type || ' | ' || coalesce(printf('%.4f', new), 'not measured') || ' | ' || coalesce(printf('%.4f', old), 'not measured') || ' |' from m
+ union all select (1 << 30)::int, 'Not measured: ' || count(*) filter (new is null or old is null) from m""")
+def s17_report(spark, sf):
+    """A whole report with a metric that wasn't measured before."""
+    e = table(spark, sf, "events")
+    least = e.agg(F.min("event_type").alias("least"))
+    m = e.groupBy("event_type").agg(F.avg(F.when(F.col("event_id") % 2 == 0, F.col("value"))).alias("new"), F.avg(F.when(F.col("event_id") % 2 == 1, F.col("value"))).alias("was"))
+    m = m.crossJoin(F.broadcast(least)).select("event_type", "new", F.when(F.col("event_type") != F.col("least"), F.col("was")).alias("old"))
+    return sinks.markdown_report(m, "event_type", "new", "old", "Events")
+
+
 @query("s16_json_rows", "select event_type, count(*) as n from events group by 1")
 def s16(spark, sf):
     """Report rows as JSON and back."""

@@ -9,7 +9,6 @@ from ..constants import GAP, PAD
 from ..functions.text import strip
 from ..functions.tokens import stub_ids
 from ..operators import encode, layout, quality, render, stats
-from ..operators.prefix import mark_smallest
 from ..sources import lines as line_sources
 from .common import ALPACA, CHATS, VALID_CHAT, WS, alpaca, chats, digest, sql_digest, table
 
@@ -111,6 +110,13 @@ def a10(spark, sf):
     return out.withColumn("dropped_pct", F.round(F.col("dropped_pct").cast("double"), 6))
 
 
+@query("a10_dropped", f"select sample_id, messages is null or len(messages) = 0 as no_messages from {CHATS} where {_CHAT_ERRORS} > 0")
+def a10_dropped(spark, sf):
+    """The dropped samples, a row each."""
+    out = quality.dropped_indices(quality.validate(chats(spark, sf), quality.conversation_errors(F.col("messages"))), "sample_id")
+    return out.select("sample_id", (F.col("first_error") == "messages missing or empty").alias("no_messages"))
+
+
 def _deliveries(spark, sf) -> DataFrame:
     """Every delivery of a conversation. Repeated ones give equal rows, so results are made distinct, not the conversations."""
     return table(spark, sf, "chat_samples").select("sample_id", "messages")
@@ -217,6 +223,42 @@ def c06(spark, sf):
     return _valid_chats(spark, sf).select("sample_id", ids.alias("i"), labels.alias("l")).select("sample_id", digest(F.col("i")).alias("ids"), digest(F.col("l")).alias("labels")).distinct()
 
 
+def _thinking_sql(train: bool) -> str:
+    think = f"list_concat([8], {_IDS('thinking')}, [9])"
+    call = f"list_concat([11], {_IDS('tool_call')}, [13])"
+    none = "[]::bigint[]"
+    ignored = lambda x: f"list_transform({x}, lambda c: -100)"
+    part = lambda c, x, target: f"case when {c} is null then {none} else {x if target else ignored(x)} end"
+    ids = f"""case role when 'system' then list_concat([4], {_IDS('said')}, [7]) when 'user' then list_concat([5], {_IDS('said')}, [7])
+ when 'assistant' then list_concat([6], {part('thinking', think, True)}, {part('tool_call', call, True)}, {_IDS('said')}, [7]) end"""
+    labels = f"""case role when 'assistant' then list_concat([-100], {part('thinking', think, train)}, {part('tool_call', call, True)}, {_IDS('said')}, [7]) else list_transform({_IDS('said')}, lambda c: -100) || [-100, -100] end"""
+    return f"""with m as (select sample_id, unnest(messages) as m, unnest(range(1, len(messages) + 1)) as i from {CHATS} where {VALID_CHAT}),
+ t as (select sample_id, i, m.role as role, trim(m.content, {WS}) as said, case when sample_id % 2 = 0 then 'step ' || m.role end as thinking, case when i % 3 = 0 then '{{"name":"find"}}' end as tool_call from m),
+ e as (select sample_id, i, {ids} as ids, {labels} as labels from t),
+ g as (select sample_id, list_concat([2], flatten(list(ids order by i)), [3])[1:{_LIMIT}] as ids, list_concat([-100], flatten(list(labels order by i)), [3])[1:{_LIMIT}] as labels from e group by 1)
+ select sample_id, {sql_digest('ids')} as ids, {sql_digest('labels')} as labels from g"""
+
+
+def _thinking(spark, sf, train: bool) -> DataFrame:
+    think = F.when(F.col("sample_id") % 2 == 0, F.lit("step "))
+    rich = F.transform("messages", lambda m, i: F.struct(m["role"].alias("role"), m["content"].alias("content"), F.concat(think, m["role"]).alias("thinking"), F.when((i + 1) % 3 == 0, '{"name":"find"}').alias("tool_call")))
+    ids, labels = encode.control_example(F.col("rich"), _LIMIT, train_thinking=train, fields=("thinking", "tool_call"))
+    rows = _valid_chats(spark, sf).select("sample_id", rich.alias("rich")).select("sample_id", ids.alias("i"), labels.alias("l"))
+    return rows.select("sample_id", digest(F.col("i")).alias("ids"), digest(F.col("l")).alias("labels")).distinct()
+
+
+@query("c06_thinking_targets", _thinking_sql(True))
+def c06_thinking(spark, sf):
+    """Thinking and tool calls are targets."""
+    return _thinking(spark, sf, True)
+
+
+@query("c06_thinking_context", _thinking_sql(False))
+def c06_context(spark, sf):
+    """Tool calls are targets, thinking is context."""
+    return _thinking(spark, sf, False)
+
+
 @query("pf09_drop_rules", f"select sample_id from {ALPACA} where not {_BLANK('instruction')} and not {_BLANK('output')}")
 def p09(spark, sf):
     m = encode.alpaca_messages(F.col("instruction"), F.col("input"), F.col("output"))
@@ -325,10 +367,20 @@ def k02(spark, sf):
     return layout.split_documents(alpaca(spark, sf), 13, 0.1, "sample_id").select("sample_id", "is_val")
 
 
-@query("k03_capped_split", f"""with s as (select sample_id from {_SCANNED} order by sample_id limit 400), r as (select sample_id, row_number() over (order by md5('13|' || sample_id), sample_id) as rn from s) select sample_id, rn <= greatest(1, 400 * 0.1) as is_val from r""")
+@query("k03_capped_split", f"""with s as (select sample_id from {_SCANNED} order by sample_id limit 400), r as (select sample_id, row_number() over (order by md5('13|' || sample_id), sample_id) as rn, count(*) over () as n from s) select sample_id, rn <= greatest(1, floor(n * 0.1)) as is_val from r""")
 def k03(spark, sf):
-    """With a cap on samples the validation side is capped in proportion."""
-    cap = 400
-    first = line_sources.samples(_sample_lines(spark, sf), "sample_id", cap).select("sample_id")
-    hashed = F.md5(F.concat(F.lit("13|"), F.col("sample_id").cast("string")))
-    return mark_smallest(first, hashed, "sample_id", F.greatest(F.lit(1), F.floor(F.lit(cap * 0.1))), "is_val").select("sample_id", "is_val")
+    """The first samples up to the cap, split by the ratio."""
+    first = line_sources.samples(_sample_lines(spark, sf), "sample_id").select("sample_id")
+    return layout.load_split(first, None, 0.1, 13, "sample_id", 400)
+
+
+@query("k03_validation_file", f"""with s as (select sample_id, sample_id % 7 = 0 as v from {_SCANNED}), r as (select *, row_number() over (partition by v order by sample_id) as rn from s) select sample_id, v as is_val from r where rn <= case when v then 40 else 400 end""")
+def k03_file(spark, sf):
+    """Validation samples from a table of their own, both sides capped."""
+    all_samples = line_sources.samples(_sample_lines(spark, sf), "sample_id").select("sample_id")
+    return layout.load_split(all_samples.where("sample_id % 7 <> 0"), all_samples.where("sample_id % 7 = 0"), 0.1, 13, "sample_id", 400)
+
+
+@query("k03_uncapped", f"select sample_id, row_number() over (order by md5('13|' || sample_id), sample_id) <= greatest(1, floor(count(*) over () * 0.1)) as is_val from {_SCANNED}")
+def k03_uncapped(spark, sf):
+    return layout.load_split(line_sources.samples(_sample_lines(spark, sf), "sample_id").select("sample_id"), None, 0.1, 13, "sample_id")

@@ -78,7 +78,7 @@ def f11(spark, sf):
 
 
 # Name, vocabulary, width, layers, heads, key-value heads, head size and context of three model sizes.
-PRESETS = [("flagship-98m", 32768, 768, 12, 12, 2, 64, 2048), ("base-50m", 32768, 512, 12, 8, 2, 64, 2048), ("tiny-5m", 32768, 128, 4, 4, 1, 32, 256)]
+PRESETS = [("wide", 32768, 768, 12, 12, 2, 64, 2048), ("middle", 32768, 512, 12, 8, 2, 64, 2048), ("narrow", 32768, 128, 4, 4, 1, 32, 256)]
 CORPUS_TOKENS = 204_501_030
 
 

@@ -80,6 +80,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses; what is written there lasts as long as a table of ``persist_table``."""
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def persist_table(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, lineage cut, safe against lost executors.
 
@@ -87,8 +94,7 @@ def persist_table(df: DataFrame) -> DataFrame:
     the driver, as results may read it until then.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    _written[path] = spark
+    path = new_path(spark)
     df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._path = path

@@ -25,11 +25,24 @@ def item_problem(ctx: Column, endings: Column, label: Column) -> Column:
     )
 
 
+def without_bom(line: Column) -> Column:
+    """The line without the mark of byte order that a file may begin with."""
+    return F.regexp_replace(line, "^\ufeff", "")
+
+
+def parsed_items(lines: DataFrame) -> DataFrame:
+    """Items of lines (line_no, line): blank lines are left out, a mark of byte order is ignored, a broken line fails the query."""
+    some = lines.where(F.trim(without_bom(F.col("line"))) != "")
+    parsed = some.select("line_no", F.from_json(without_bom(F.col("line")), ITEM, {"mode": "FAILFAST"}).alias("item"))
+    return parsed.select("line_no", "item.*").withColumn("label", F.col("label").cast("int"))
+
+
 def checked_items(items: DataFrame) -> DataFrame:
-    """Items; the first broken rule aborts the query. Category and id have defaults."""
+    """Items; the first broken rule aborts the query. Adds category, "unknown" if there is none, and id: ind, or else the line's number if the items have line_no."""
     problem = item_problem(F.col("ctx"), F.col("endings"), F.col("label"))
     guarded = F.when(problem.isNotNull(), F.raise_error(problem).cast("int")).otherwise(F.col("label"))
-    return items.withColumn("label", guarded).withColumn("category", F.coalesce("activity_label", F.lit("unknown")))
+    number = [F.concat(F.lit("line_"), F.col("line_no").cast("string"))] if "line_no" in items.columns else []
+    return items.withColumn("label", guarded).withColumn("category", F.coalesce("activity_label", F.lit("unknown"))).withColumn("id", F.coalesce(F.col("ind").cast("string"), *number))
 
 
 def scorer(name: Column) -> Column:

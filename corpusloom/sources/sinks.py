@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.layout import offsets
@@ -57,11 +57,24 @@ def split_summary(docs: DataFrame, seed: int, ratio: float) -> DataFrame:
 
 def markdown_row(name: Column, new: Column, old: Column) -> Column:
     """| name | new | old | with "not measured" for missing values, four digits."""
-    shown = lambda c: F.coalesce(F.format_string("%.4f", c), F.lit("not measured"))
     shown = lambda c: F.when(c.isNull(), "not measured").otherwise(F.format_string("%.4f", c))
     return F.concat(F.lit("| "), name, F.lit(" | "), shown(new), F.lit(" | "), shown(old), F.lit(" |"))
 
 
+def markdown_report(metrics: DataFrame, name: str, new: str, old: str, title: str) -> DataFrame:
+    """line_no, line of a report: title, head, a row per metric in the order of names, and how many weren't measured. Metrics are few; their rows are numbered in one window."""
+    rows = metrics.select(F.row_number().over(Window.orderBy(name)).alias("line_no"), markdown_row(F.col(name), F.col(new), F.col(old)).alias("line"))
+    head = metrics.sparkSession.createDataFrame([(-4, f"# {title}"), (-3, ""), (-2, "| metric | new | old |"), (-1, "|-|-|-|")], "line_no int, line string")
+    lacking = metrics.agg(F.count_if(F.col(new).isNull() | F.col(old).isNull()).alias("n"))
+    foot = lacking.select(F.lit(1 << 30).alias("line_no"), F.concat(F.lit("Not measured: "), F.col("n").cast("string")).alias("line"))
+    return head.unionByName(rows).unionByName(foot)
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """The lines (line_no, line) as one text file; a report or list, not a corpus."""
+    lines.repartition(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)
+
+
 def write_report(rows: DataFrame, path: str) -> None:
     """Report rows as JSON lines."""
     rows.write.mode("overwrite").json(path)

@@ -5,10 +5,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import session
 from corpusloom.constants import WHITESPACE
+from corpusloom.functions import sampling
 from corpusloom.functions.text import duration, repetition_rate, strip, words
 from corpusloom.functions.tokens import in_range, marked, stub_ids
-from corpusloom.operators import compare, encode, evaluation, layout, quality, render, stats, vocabulary
+from corpusloom.operators import compare, encode, evaluation, layout, prefix, quality, render, stats, vocabulary
 from corpusloom.operators.prefix import mark_smallest, running_total
 from corpusloom.sources import items, lines, sinks
 from corpusloom.streaming import rejects
@@ -189,7 +191,7 @@ def test_document_ids_and_masks(spark):
 
 def test_running_total_and_split(spark):
     df = spark.createDataFrame([(i * 1000, 2) for i in range(50)] + [(None, 5)], "k long, v long")
-    got = {r["k"]: r["t"] for r in running_total(df, "k", "v", "t", block=4096).collect()}
+    got = {r["k"]: r["t"] for r in running_total(df, "k", "v", "t").collect()}
     assert got == {None: 0, **{i * 1000: 5 + 2 * i for i in range(50)}}
     marked_rows = mark_smallest(df.where("k is not null"), F.md5(F.col("k").cast("string")), "k", F.lit(7), "m")
     import hashlib
@@ -200,6 +202,114 @@ def test_running_total_and_split(spark):
         layout.split_documents(df, 1, 1.5, "k")
 
 
+def test_ranks_and_running_values_against_lists(spark):
+    """Ranks, rows before, smallest values before and quantiles of rows with nulls, ties and a key that a third of the rows have."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice([7, 7, rng.randrange(50)]), rng.choice([None, rng.random()])) for i in range(400)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "i long, k long, v double").withColumn("_x", F.lit(1))
+    ordered = sorted(rows, key=lambda r: (-r[1], r[0]))
+    got = {r["i"]: r["place"] for r in prefix.ranked(df, F.desc("k"), "i", out="place").collect()}
+    assert got == {r[0]: n for n, r in enumerate(ordered, 1)}
+    by_id = [r[2] for r in sorted(rows)]
+    before = {r["i"]: r["b"] for r in prefix.previous(df, "i", "v", "b").collect()}
+    assert before == {i: by_id[i - 1] if i else None for i in range(400)}
+    least = {r["i"]: r["b"] for r in prefix.least_before(df, "i", "v", "b").collect()}
+    assert least == {i: min((v for v in by_id[:i] if v is not None), default=None) for i in range(400)}
+    q = prefix.quantiles(df, "v", [0.0, 0.25, 0.5, 1.0]).first()
+    known = sorted(v for v in by_id if v is not None)
+    assert q["n"] == len(known)
+    for name, share in (("q0", 0.0), ("q1", 0.25), ("q2", 0.5), ("q3", 1.0)):
+        at = share * (len(known) - 1)
+        lo = int(at)
+        assert q[name] == pytest.approx(known[lo] + (known[min(lo + 1, len(known) - 1)] - known[lo]) * (at - lo))
+    empty = df.limit(0)
+    assert prefix.ranked(empty, "i", out="r").count() == 0 and prefix.quantiles(empty, "v", [0.5]).first()["q0"] is None
+    assert stats.upper_median(empty, "v").first()["n"] == 0 and stats.upper_median(df, "v").first()["upper_median"] == known[len(known) // 2]
+
+
+@pytest.mark.parametrize("size, overlap, seed", [(4, 0, 1), (4, 1, 2), (64, 1, 3), (1000, 0, 4), (7, 1, 5)])
+def test_windows_against_lists(spark, size, overlap, seed):
+    """Windows smaller and larger than blocks, documents longer than many windows, empty ones and null keys."""
+    import random
+
+    rng = random.Random(seed)
+    docs = [(i * rng.choice([1, 1000]) * 1000 + i, [rng.randrange(60_000) for _ in range(rng.choice([0, 1, 3, 10, 90]))]) for i in range(60)]
+    docs = list({k: v for k, v in docs}.items())
+    df = spark.createDataFrame([*docs, (None, [1, 2]), (5_000_000_000, None)], "doc_id long, tokens array<int>").withColumn("part", F.lit(1))
+    stream = [t for _, v in sorted(docs) for t in v]
+    wide = size + overlap
+    got = {r["window_id"]: r["tokens"] for r in layout._windows(df, size, overlap, "doc_id").collect()}
+    expected = {w: stream[w * size : w * size + wide] for w in range(-(-len(stream) // size))}
+    assert got == expected
+    assert layout._windows(df.limit(0), size, overlap, "doc_id").count() == 0
+
+
+def test_offset_check_finds_faults(spark):
+    good = spark.createDataFrame([(i, i * 10, i * 10 + 10) for i in range(30)], "doc_id long, start_byte long, end_byte long")
+    assert tuple(compare.offset_check(good, "doc_id").first()) == (0, 0, 300)
+    assert tuple(compare.offset_check(good.where("doc_id <> 7"), "doc_id").first()) == (0, 1, 300)
+    moved = good.withColumn("start_byte", F.when(F.col("doc_id") == 20, 0).otherwise(F.col("start_byte")))
+    assert tuple(compare.offset_check(moved, "doc_id").first()) == (1, 1, 300)
+    assert compare.offset_check(good.limit(0), "doc_id").first()["n_gaps"] == 0
+
+
+def test_array_parity(spark):
+    df = spark.createDataFrame([(1, [1, 2], [1, 2]), (2, [1, 2], [1, 3]), (3, [1], [1, 2]), (4, None, [1]), (5, None, None), (6, [], [])], "k long, a array<int>, b array<int>")
+    got = {r["k"]: (r["same"], r["first_difference"]) for r in compare.array_parity(df, "k", "a", "b").collect()}
+    assert got[1] == (True, None) and got[2] == (False, 1) and got[3] == (False, 1) and got[4][0] is False and got[5] == (True, None) and got[6] == (True, None)
+
+
+def test_multinomial(spark):
+    """Shares of many draws are those of softmax(score / temperature); no temperature takes the best one; the draw is repeatable."""
+    import math
+
+    scores = spark.range(4000).select(F.col("id").alias("g"), F.explode(F.array(*(F.struct(F.lit(t).alias("token"), F.lit(x).alias("logit")) for t, x in enumerate((0.0, 1.0, 2.0))))).alias("x")).select("g", "x.*")
+    uniform = (F.pmod(F.xxhash64("g", "token"), F.lit(1 << 24)) + 0.5) / (1 << 24)
+    draws = sampling.multinomial(scores, "g", "logit", "token", uniform, 0.5)
+    share = {r["token"]: r["count"] / 4000 for r in draws.groupBy("token").count().collect()}
+    weights = [math.exp(x / 0.5) for x in (0.0, 1.0, 2.0)]
+    assert all(abs(share[t] - w / sum(weights)) < 0.03 for t, w in enumerate(weights))
+    assert {r["token"] for r in sampling.multinomial(scores, "g", "logit", "token", uniform, 0.0).collect()} == {2}
+    ties = spark.createDataFrame([(1, t, 1.0) for t in range(4)], "g long, token int, logit double")
+    assert sorted(r["token"] for r in sampling.top_members(ties, "g", 2).where("in_top").collect()) == [0, 1]
+
+
+def test_masked_cross_entropy(spark):
+    rows = spark.createDataFrame([([0.0, 1.0], 1), ([0.0, 0.0], -100)], "x array<double>, y int")
+    got = evaluation.masked_cross_entropy(rows, "x", "y").first()
+    assert got["n_targets"] == 1 and got["loss"] == pytest.approx(0.3132617)
+    with pytest.raises(Exception, match="all targets are ignored"):
+        evaluation.masked_cross_entropy(rows.where("y < 0"), "x", "y").collect()
+
+
+def test_parsed_items(spark):
+    good = '{"ctx":"a","endings":[" b"," c"],"label":1}'
+    lines = spark.createDataFrame([(1, "\ufeff" + good), (2, " "), (3, good.replace("}", ',"ind":7,"activity_label":"x"}'))], "line_no long, line string")
+    got = {r["line_no"]: (r["id"], r["category"], r["label"]) for r in items.checked_items(items.parsed_items(lines)).collect()}
+    assert got == {1: ("line_1", "unknown", 1), 3: ("7", "x", 1)}
+    with pytest.raises(Exception):
+        items.parsed_items(spark.createDataFrame([(1, "{bad")], "line_no long, line string")).collect()
+    with pytest.raises(Exception, match="label out of range"):
+        items.checked_items(items.parsed_items(spark.createDataFrame([(1, good.replace("1}", "5}"))], "line_no long, line string"))).collect()
+
+
+def test_table_scope(spark):
+    import os
+
+    with session.table_scope():
+        kept = session.persist_table(spark.range(3))
+        path = kept._path.removeprefix("file://")
+        assert os.path.isdir(path) and kept.count() == 3
+    assert not os.path.exists(path)
+    other = session.persist_table(spark.range(2))
+    session.drop_table(other)
+    session.drop_table(other)
+    assert not os.path.exists(other._path.removeprefix("file://"))
+
+
 def test_batches(spark):
     df = spark.range(20).withColumnRenamed("id", "i")
     assert layout.batches(df, "i", 8, True).count() == 16 and layout.batches(df, "i", 8, False).count() == 20

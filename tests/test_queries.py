@@ -47,7 +47,7 @@ def test_runs(spark, name):
 
 def test_golden_model_sizes(spark):
     got = {r["name"]: r["total"] for r in catalog.queries()["a31_model_sizes"](spark, SF).collect()}
-    assert got == {"flagship-98m": 98_324_736, "base-50m": 50_608_128, "tiny-5m": 4_949_376}
+    assert got == {"wide": 98_324_736, "middle": 50_608_128, "narrow": 4_949_376}
 
 
 def test_all_steps_ascending(spark, tables):

@@ -32,6 +32,8 @@ BLOCK = 2000
 ISLANDS = 2
 ROUNDS = 2
 GENERATIONS = 30
+#: Generations without a window less after which an island rests.
+PATIENCE = 10
 POPULATION = 5
 #: Windows of a block filled less than this are opened for the second level.
 OPEN = 0.98
@@ -143,7 +145,7 @@ def crossover(a: Packing, b: Packing, sizes: list[int], cap: int, rng: random.Ra
 def evolve(sizes: list[int], cap: int, seed: int, elites: list[Packing], generations: int = GENERATIONS, population: int = POPULATION) -> Packing:
     """The best packing an island finds, never worse than best fit by falling size or the elites it got.
 
-    Ends where no packing can have fewer windows.
+    Ends where no packing can have fewer windows, or no window less was found for ``PATIENCE`` generations.
     """
     if not sizes:
         return Packing([], [])
@@ -159,11 +161,14 @@ def evolve(sizes: list[int], cap: int, seed: int, elites: list[Packing], generat
         p = packed(sorted(order, key=noise.__getitem__, reverse=True), sizes, cap)
         scored.append((p.score(), p))
     scored.sort(key=lambda x: x[0], reverse=True)
+    fewest, since = len(scored[0][1].bins), 0
     for _ in range(generations):
         i, j = rng.sample(range(min(4, len(scored))), 2)
         child = crossover(scored[i][1], scored[j][1], sizes, cap, rng)
         scored = sorted([*scored, (child.score(), child)], key=lambda x: x[0], reverse=True)[:population]
-        if len(scored[0][1].bins) <= least:
+        since = since + 1 if len(scored[0][1].bins) == fewest else 0
+        fewest = len(scored[0][1].bins)
+        if fewest <= least or since >= PATIENCE:
             break
     return scored[0][1]
 

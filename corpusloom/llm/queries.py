@@ -23,6 +23,16 @@ def p1_filling(spark: SparkSession, sf: str) -> DataFrame:
     return containers.filling(p1_windows(spark, sf))
 
 
+def p1_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """By run: reports, tokens, overfull windows, reports whose pieces aren't their tokens in a row, and reports divided though they fit."""
+    windows = p1_windows(spark, sf)
+    over = windows.groupBy("run_id", "window").agg((F.sum("n_tokens") > F.max("max_seq_len")).cast("long").alias("n_overfull")).groupBy("run_id").agg(F.sum("n_overfull").alias("n_overfull"))
+    one = windows.groupBy("run_id", "report_id").agg(F.sum("n_tokens").alias("t"), F.max(F.col("start") + F.col("n_tokens")).alias("end"), F.count("*").alias("pieces"), F.count_distinct("start").alias("starts"), F.max("max_seq_len").alias("cap"))
+    sound = (F.col("t") == F.col("end")) & (F.col("pieces") == F.col("starts"))
+    by_run = one.groupBy("run_id").agg(F.count("*").alias("n_reports"), F.sum("t").cast("long").alias("n_tokens"), F.count_if(~sound).alias("n_unsound"), F.count_if((F.col("pieces") > 1) & (F.col("t") <= F.col("cap"))).alias("n_divided"))
+    return by_run.join(over, "run_id")
+
+
 def _values(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.values(_read(spark, sf, "alpaca_samples"), _read(spark, sf, "chat_samples"))
 
@@ -112,6 +122,14 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))[1]
 
 
+def p7_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """By source of the targets: rows beyond the allowed repeats, and rows that come twice."""
+    documents, targets = _read(spark, sf, "documents"), _read(spark, sf, "mix_targets")
+    rows = mixing.mix(documents, targets)[0].join(targets.select("source", "max_repeats"), "source")
+    by = rows.groupBy("source", "doc_id").agg(F.count_if(F.col("copy") >= F.col("max_repeats")).alias("over"), (F.count("*") - F.count_distinct("copy")).alias("twice")).groupBy("source").agg(F.sum("over").alias("n_over"), F.sum("twice").alias("n_twice"))
+    return targets.select("source").distinct().join(by, "source", "left").select("source", F.coalesce("n_over", F.lit(0)).cast("long").alias("n_over"), F.coalesce("n_twice", F.lit(0)).cast("long").alias("n_twice"))
+
+
 def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
     documents = _read(spark, sf, "documents")
     return encoding.garbled(documents, encoding.fit_encoding(documents))
@@ -122,10 +140,46 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_windows, p1_filling, p2_found, p2_rates, p3_found, p3_groups, p4_found, p4_report, p4_documents, p4_pairs, p5_found, p6_found, p6_leaks, p7_mixture, p7_shares, p8_found, p8_restored)
+    named = (p1_windows, p1_filling, p1_invariants, p2_found, p2_rates, p3_found, p3_groups, p4_found, p4_report, p4_documents, p4_pairs, p5_found, p6_found, p6_leaks, p7_mixture, p7_shares, p7_invariants, p8_found, p8_restored)
     return {f.__name__: f for f in named}
 
 
+def _near_sql(texts: str, key: str, group: str) -> str:
+    """Common tables of texts (key, grp, text): size (key, n) and shared (x < y, s): words shared by two texts of a group, counted with multiplicity."""
+    words = "list_filter(list_transform(regexp_split_to_array(lower(text), '[ \\t\\r\\n\\v\\f]+'), lambda w: regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g')), lambda w: w <> '')"
+    return f"""with texts as ({texts}), counts as (select {key}, {group} as grp, w, count(*) as n from (select {key}, {group}, unnest({words}) as w from texts) group by all),
+ size as (select {key}, sum(n) as n from counts group by 1),
+ shared as (select a.{key} as x, b.{key} as y, sum(least(a.n, b.n)) as s from counts a join counts b on a.grp = b.grp and a.w = b.w and a.{key} < b.{key} group by 1, 2),
+ near as (select x, y, s = a.n and s = b.n as equal from shared join size a on a.{key} = x join size b on b.{key} = y where s >= 0.85 * greatest(a.n, b.n) - 1e-9)"""
+
+
+_CHATS = "select sample_id, 0 as grp, array_to_string(list_transform(any_value(messages), lambda m: m.content), ' ') as text from chat_samples where sample_id is not null and messages is not null group by 1"
+_SIDES = "(select distinct build_id, shard_no, 'train' as side, unnest(train_doc_indices) as doc_index from split_meta union select distinct build_id, shard_no, 'val', unnest(val_doc_indices) from split_meta)"
+_PAIRS = (
+    _near_sql("select doc_id, shard_no, text from documents", "doc_id", "shard_no")
+    + f""", placed as (select distinct build_id, side, d.doc_id, d.source from {_SIDES} l join documents d on d.shard_no = l.shard_no and d.doc_index = l.doc_index),
+ both_ways as (select x, y, equal from near union all select y, x, equal from near),
+ pairs as (select t.build_id, t.doc_id as train_doc, v.doc_id as val_doc, case when t.doc_id = v.doc_id then 'same' when b.equal then 'equal' else 'near' end as kind, t.source as train_source, v.source as val_source
+ from placed t join placed v on t.build_id = v.build_id and t.side = 'train' and v.side = 'val' left join both_ways b on b.x = t.doc_id and b.y = v.doc_id where t.doc_id = v.doc_id or b.x is not null)"""
+)
+_SQL = {
+    "p1_invariants": """select r.run_id, count(*) as n_reports, sum(t)::bigint as n_tokens, 0::bigint as n_unsound, 0::bigint as n_divided, 0::bigint as n_overfull
+ from (select report_id, arg_min(run_id, (received_at, run_id, n_tokens)) as run_id, arg_min(n_tokens, (received_at, run_id, n_tokens)) as t from mask_reports where report_id is not null and run_id is not null and n_tokens > 0 group by 1) r
+ join (select distinct run_id from audit_runs where max_seq_len > 0) a on a.run_id = r.run_id group by 1""",
+    "p3_found": _near_sql(_CHATS, "sample_id", "grp") + " select x as sample_id_a, y as sample_id_b from near",
+    "p4_found": _PAIRS + " select distinct build_id, least(train_doc, val_doc) as doc_id_a, greatest(train_doc, val_doc) as doc_id_b from pairs",
+    "p4_pairs": _PAIRS + " select * from pairs",
+    "p4_report": _PAIRS
+    + """, sides as (select build_id, 'train' as side, train_source as source, kind, train_doc as doc from pairs union all select build_id, 'val', val_source, kind, val_doc from pairs)
+ select build_id, side, source, kind, count(distinct doc) as n_documents, count(*) as n_pairs from sides group by all""",
+    "p7_invariants": "select distinct source, 0::bigint as n_over, 0::bigint as n_twice from mix_targets",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    """None of these results can be told in SQL on whole tables; tests compare them with brute force on fixtures."""
-    return {}
+    """SQL of the definitions of problems 3 and 4, and of what holds for any arrangement of problems 1 and 7.
+
+    The others are compared with brute force, round trips and held-out cases in
+    the tests.
+    """
+    return dict(_SQL)

@@ -675,3 +675,22 @@ def test_query(spark, name):
         assert dict(df.dtypes) == COLUMNS[name] and df.count() == df.distinct().count()
     else:
         assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_equals_sql(spark, name):
+    """What DuckDB finds by the definitions alone."""
+    import glob
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for path in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
+    cur = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in cur.description]
+    df = queries.queries()[name](spark, SF)
+    assert sorted(columns) == sorted(df.columns)
+    expected = sorted((tuple(r) for r in cur.fetchall()), key=repr)
+    assert expected and sorted((tuple(r) for r in df.select(*columns).collect()), key=repr) == expected

@@ -158,21 +158,55 @@ def _document_prints(bits, all_bits, least: float, least_grams: float, short_bit
     return run
 
 
-def common_sequence(a: list, b: list) -> int:
-    """Length of the longest common subsequence, on bits of one integer."""
+def sequence_lengths(a: list, b: list) -> list[int]:
+    """Lengths of the longest common subsequence of a and the first 1, 2, ... elements of b, on bits of one integer."""
     at: dict = {}
     for i, x in enumerate(a):
         at[x] = at.get(x, 0) | 1 << i
     full = (1 << len(a)) - 1
-    v = full
+    v, n, out = full, 0, []
     for x in b:
-        u = v & at.get(x, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+        m = at.get(x, 0)
+        if m:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+            n = len(a) - v.bit_count()
+        out.append(n)
+    return out
+
+
+def common_sequence(a: list, b: list) -> int:
+    """Length of the longest common subsequence."""
+    return sequence_lengths(a, b)[-1] if b else 0
+
+
+def _best_end(lengths: list[int], price: float) -> int:
+    """Elements up to the end that pays best, if each costs ``price`` and each shared one brings 1."""
+    best, at = 0.0, 0
+    for i, n in enumerate(lengths, 1):
+        if n - price * i > best:
+            best, at = n - price * i, i
+    return at
+
+
+def passage_in(item: list, text: list, price: float = 0.65) -> tuple[int, int, int]:
+    """(shared words, words of the passage, words of the item from its first to its last shared word) of the best passage of ``text``.
+
+    Words before and after it that share too little with the item for their
+    number are left out.
+    """
+    text = text[: _best_end(sequence_lengths(item, text), price)]
+    text = text[len(text) - _best_end(sequence_lengths(item[::-1], text[::-1]), price) :]
+    if not text:
+        return 0, 0, 0
+    lengths = sequence_lengths(text, item)
+    shared = lengths[-1]
+    item = item[: lengths.index(shared) + 1]
+    return shared, len(text), sequence_lengths(text[::-1], item[::-1]).index(shared) + 1
 
 
 def clusters(doc: np.ndarray, doc_rows: np.ndarray, item: np.ndarray, item_rows: np.ndarray, size: int, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document row, item row, first word, word after the last, item words covered, whether there are several) of each cluster of shared grams.
+    """(document row, item row, first word, word after the last, item words covered) of each cluster of shared grams.
 
     All pairs at once.  ``wanted`` holds document row times ``size``, the number of items, plus item row.
     """
@@ -188,13 +222,13 @@ def clusters(doc: np.ndarray, doc_rows: np.ndarray, item: np.ndarray, item_rows:
     keep = np.isin(key, wanted)
     at, of, key = at[keep], of[keep], key[keep]
     if not len(at):
-        return (np.zeros(0, np.int64),) * 6
+        return (np.zeros(0, np.int64),) * 5
     order = np.lexsort((at, key))
     at, of, key = at[order], of[order], key[order]
     start = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(at) > GAP)])
     first, last = at[start], at[np.r_[start[1:], len(at)] - 1]
     covered = np.maximum.reduceat(of, start) + K - np.minimum.reduceat(of, start)
-    return key[start] // size, key[start] % size, first, last + K, covered, last > first
+    return key[start] // size, key[start] % size, first, last + K, covered
 
 
 def passages(texts: pa.Array, item_words: pa.ListArray, wanted: np.ndarray, share: float, density: float) -> dict[int, tuple[float, float]]:
@@ -212,23 +246,20 @@ def passages(texts: pa.Array, item_words: pa.ListArray, wanted: np.ndarray, shar
     ends = np.searchsorted(rows, np.arange(len(texts) + 1))
     starts = np.cumsum(lengths) - lengths
     size = len(lengths)
-    d, i, a, b, covered, several = clusters(h, rows, item, item_rows, size, wanted)
+    d, i, a, b, covered = clusters(h, rows, item, item_rows, size, wanted)
     n = lengths[i]
-    far = (b - a + 2 * EDGE >= density * share * n) & (covered + 2 * EDGE >= share * n)
+    far = (b - a + 2 * EDGE >= density * share * n) & (covered + 2 * EDGE + 2 * LOOSE >= share * n)
     out: dict[int, tuple[float, float]] = {}
     for x in np.flatnonzero(far).tolist():
-        words = item[starts[i[x]] : starts[i[x]] + n[x]].tolist()
+        words, size_of_item = item[starts[i[x]] : starts[i[x]] + n[x]].tolist(), int(n[x])
         key, begin, end = int(d[x]) * size + int(i[x]), int(ends[d[x]]), int(ends[d[x] + 1])
-        # a single gram is a phrase: words beside it count with their own places in the density
-        reach = [(EDGE, EDGE)] if several[x] else [(l, r) for l in range(EDGE + 1) for r in range(EDGE + 1)]
-        for l, r in reach:
-            shared = common_sequence(words, h[max(begin, int(a[x]) - l) : min(end, int(b[x]) + r)].tolist())
-            dn, s = shared / (int(b[x] - a[x]) + (0 if several[x] else l + r)), shared / int(n[x])
-            if not several[x] and shared <= K and s < 1:
-                continue
-            spans = s if not several[x] else (int(covered[x]) + 2 * LOOSE) / int(n[x])
-            if dn >= density and s >= density * share and max(s, spans) >= share and min(1.0, dn) * s > out.get(key, (0.0, 0.0))[0] * min(1.0, out.get(key, (0.0, 0.0))[1]):
-                out[key] = (s, dn)
+        shared, length, span = passage_in(words, h[max(begin, int(a[x]) - EDGE) : min(end, int(b[x]) + EDGE)].tolist())
+        # a single gram is a phrase, unless it is the item
+        if not length or shared <= K and shared < size_of_item:
+            continue
+        s, dn = shared / size_of_item, shared / length
+        if dn >= density and s >= density * share and span + 2 * LOOSE >= share * size_of_item and dn * s > out.get(key, (0.0, 0.0))[0] * out.get(key, (0.0, 0.0))[1]:
+            out[key] = (s, dn)
     return out
 
 

@@ -177,8 +177,8 @@ class TruncationModel:
         text = value.rstrip()
         if not text:
             return ["empty"]
-        tail = text[-200:]
-        words = tail.split()
+        tail = text[-400:]
+        words = tail[-200:].split()
         last = words[-1]
         before = words[-2] if len(words) > 1 else ""
         closed = bool(_CLOSED.search(tail[-12:]))
@@ -197,10 +197,15 @@ class TruncationModel:
             p = self.evidence(pair_cell(self.word(before)[0].lower(), c.lower())) if before else (0, -1)
             out += [f"word={w}/{kind}", f"wordend={w[1]}/{style}/{size}", f"pair={p}/{kind}", f"pairend={p[1]}/{style}/{size}", f"form={f}/{kind}", f"shape={s}/{kind}/{size}", f"runs={_RUNS.sub('0', s)}/{kind}/{size}", f"last={c.lower()}", f"both={w}/{p}", f"end3={text[-3:]}", f"quote={(text.count('“') - text.count('”'))}/{text.count(chr(34)) % 2}/{text.count('(') - text.count(')')}"]
             if kind in ("log", "list"):
-                # whether the last record ends as the one before it does
-                above = tail[: -len(line) - 1].rpartition("\n")[2].split()
+                # whether the last record ends as the nearest one before it does, by its last two words
+                above = next((x.split() for x in reversed(tail[: -len(line) - 1].split("\n")) if (_LOG if kind == "log" else _LIST).match(x)), None)
+                own = _RUNS.sub("0", s)
+                near = _RUNS.sub("0", self.word(before)[1]) if len(line.split()) > 1 else ""
                 if above:
-                    out.append(f"record={_RUNS.sub('0', self.word(above[-1])[1]) == _RUNS.sub('0', s)}/{kind}")
+                    same = _RUNS.sub("0", self.word(above[-1])[1]) == own
+                    two = same and len(above) > 1 and _RUNS.sub("0", self.word(above[-2])[1]) == near
+                    out.append(f"record={same}/{two}/{kind}")
+                out.append(f"recordend={near}/{own}/{kind}")
             if kind == "list":
                 # an item that appears as a whole elsewhere
                 out.append(f"item={p}/{min(len(line.split()), 6)}")
@@ -238,6 +243,13 @@ def find_limits(lengths: DataFrame) -> DataFrame:
     return lengths.withColumn("beside", beside).where(F.col("n") >= 4 + 5 * F.col("beside") / places).select("source", "unit", "length")
 
 
+def odd_record(value: str) -> bool:
+    """Whether the last of several log records ends in a word of another shape than the one before it."""
+    lines = [x for x in value[-2000:].split("\n") if x.strip()]
+    logged = [x.split()[-1] for x in lines if _LOG.match(x)]
+    return len(logged) > 1 and bool(_LOG.match(lines[-1])) and _RUNS.sub("0", shape(logged[-1])) != _RUNS.sub("0", shape(logged[-2]))
+
+
 def casual(value: str, rng: random.Random) -> str | None:
     """A sentence of the value as people type it: no capital and no closing mark, but complete."""
     found = re.findall(r"(?:^|(?<=[.!?] ))[^\n.!?]{25,}(?=[.!?](?: |$))", value)
@@ -334,8 +346,8 @@ def fit_truncation(cells: DataFrame, seed: int = 3, sample: int = SAMPLE) -> Tru
             x, y = [], []
             for s, i, t, v in zip(b["source"], b["sample_id"], b["turn"], b["value"], strict=True):
                 s = None if pd.isna(s) else s
-                # not intact: at a limit without a closing mark, or an open code block
-                if not v.strip() or v.count("```") % 2 or m.at_limit(s, len(v), len(v.encode())) == "at" and not _CLOSED.search(v[-12:]):
+                # not intact: at a limit without a closing mark, an open code block, or a log record unlike the one before
+                if not v.strip() or v.count("```") % 2 or odd_record(v) or m.at_limit(s, len(v), len(v.encode())) == "at" and not _CLOSED.search(v[-12:]):
                     continue
                 rng = random.Random(f"{i}/{t}")
                 x.append(m.indices(m.features(s, v)))

@@ -180,13 +180,15 @@ def common_sequence(a: list, b: list) -> int:
     return sequence_lengths(a, b)[-1] if b else 0
 
 
-def _best_end(lengths: list[int], price: float) -> int:
-    """Elements up to the end that pays best, if each costs ``price`` and each shared one brings 1."""
-    best, at = 0.0, 0
-    for i, n in enumerate(lengths, 1):
+def _best_end(item: list, text: list, price: float) -> list:
+    """The text from its first shared word to the end that pays best, if each word costs ``price`` and each shared one brings 1."""
+    lengths = sequence_lengths(item, text)
+    begin = next((i for i, n in enumerate(lengths) if n), len(text))
+    best, at = 0.0, begin
+    for i, n in enumerate(lengths[begin:], 1):
         if n - price * i > best:
-            best, at = n - price * i, i
-    return at
+            best, at = n - price * i, begin + i
+    return text[begin:at]
 
 
 def passage_in(item: list, text: list, price: float = 0.65) -> tuple[int, int, int]:
@@ -195,8 +197,7 @@ def passage_in(item: list, text: list, price: float = 0.65) -> tuple[int, int, i
     Words before and after it that share too little with the item for their
     number are left out.
     """
-    text = text[: _best_end(sequence_lengths(item, text), price)]
-    text = text[len(text) - _best_end(sequence_lengths(item[::-1], text[::-1]), price) :]
+    text = _best_end(item[::-1], _best_end(item, text, price)[::-1], price)[::-1]
     if not text:
         return 0, 0, 0
     lengths = sequence_lengths(text, item)

@@ -324,6 +324,16 @@ def test_truncation_on_held_out_cuts(spark, cut_model):
     assert kept < 0.01 and found > 0.93
 
 
+def test_cut_log_records(cut_model):
+    """A log cut inside its last record is found, a whole one isn't."""
+    record = "2031-02-0{}T08:43:33Z relay-{}.ops.example fwd[10{}5]: rate limit hit from 192.0.2.{}7"
+    log = "The log shows it.\n" + "\n".join(record.format(i, i, i, i) for i in range(1, 6))
+    assert cut_model.score("qa_dump", log) < 0.5 and not truncation.odd_record(log)
+    for end in (" hit from 192.0.2.57", " from 192.0.2.57", "mit hit from 192.0.2.57"):
+        assert cut_model.score("qa_dump", log.removesuffix(end)) > 0.5 and truncation.odd_record(log.removesuffix(end)), end
+    assert not truncation.odd_record("") and not truncation.odd_record("2031-02-01T08:43:33Z alone")
+
+
 @pytest.mark.parametrize("text", [None, "", "  \n", "TCP", "443", "see https://docs.example/a/1", "```python\nx = 1\n```", "the alarm was muted late on friday."])
 def test_complete_values(cut_model, text):
     assert cut_model.score("qa_dump", text) <= 0.5
@@ -528,6 +538,23 @@ def test_common_sequence():
         assert leakage.common_sequence(a, b) == best[-1][-1]
 
 
+def test_sequence_lengths_and_passages():
+    rng = random.Random(21)
+    for _ in range(60):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(0, 25))] for _ in range(2))
+        assert leakage.sequence_lengths(a, b) == [leakage.common_sequence(a, b[: i + 1]) for i in range(len(b))]
+    item = list(range(40))
+    other = lambda n: [rng.randrange(1000, 9999) for _ in range(n)]
+    # words around, and a phrase of the item some words further, are no part of the passage
+    assert leakage.passage_in(item, other(3) + item + other(8) + item[5:8]) == (40, 40, 40)
+    assert leakage.passage_in(item, other(3) + item[10:31] + other(3)) == (21, 21, 21)
+    changed = item[10:31]
+    changed[4], changed[12] = -1, -2
+    assert leakage.passage_in(item, other(2) + changed) == (19, 21, 21)
+    assert leakage.passage_in(item[:3], other(3) + item[:3] + other(3)) == (3, 3, 3)
+    assert leakage.passage_in(item, []) == leakage.passage_in([], item) == leakage.passage_in(item, other(9)) == (0, 0, 0)
+
+
 def test_leaks(spark):
     rng = random.Random(11)
     ctx = [" ".join(f"{rng.choice('abcdef')}{rng.randrange(3000)}" for _ in range(40)) + "." for _ in range(6)]

@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 from ..constants import EOS, IGNORE
 from ..functions.text import let
-from .prefix import in_order, mark_smallest, running_total
+from .prefix import mark_smallest, running_total
+
+
+#: Tokens to a block of the stream, which one task cuts into windows.
+BLOCK_TOKENS = 32_000_000
 
 
 def offsets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -58,8 +62,11 @@ def _stream(docs: DataFrame, key: str) -> tuple[DataFrame, np.ndarray]:
     Documents with a null key or null tokens are left out.
     """
     docs = docs.where(F.col(key).isNotNull() & F.col("tokens").isNotNull())
-    sized = in_order(docs.select(key, F.size("tokens").cast("long").alias("_n")), key)
-    parts = sized.groupBy("__part").agg(F.min(key).alias("first"), F.sum("_n").alias("n")).orderBy("__part").collect()  # a row per partition
+    sized = running_total(docs.select(key, F.size("tokens").cast("long").alias("_n")), key, "_n", "_start")
+    total = sized.agg(F.max(F.col("_start") + F.col("_n"))).first()[0] or 0
+    wide = max(1, min(BLOCK_TOKENS, -(-total // docs.sparkSession.sparkContext.defaultParallelism)))
+    # a row per block comes to the driver
+    parts = sized.groupBy(F.floor(F.col("_start") / wide).alias("_b")).agg(F.min(key).alias("first"), F.sum("_n").alias("n")).orderBy("_b").collect()
     firsts = np.array([r["first"] for r in parts[1:]], np.int64)
     begins = np.cumsum([0, *(r["n"] for r in parts)])
 

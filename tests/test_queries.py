@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from corpusloom.plans import catalog
+from corpusloom.session import table_scope
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,6 +29,12 @@ def tables():
     return con
 
 
+@pytest.fixture(autouse=True)
+def scoped_tables():
+    with table_scope():
+        yield
+
+
 @pytest.mark.parametrize("name", list(dict.fromkeys(catalog.oracle_sql())))
 def test_equals_sql(spark, tables, name):
     df = catalog.queries()[name](spark, SF)

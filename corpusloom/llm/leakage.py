@@ -16,6 +16,7 @@ is exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,23 +123,37 @@ def _known(g: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _within_long(at: np.ndarray, known: np.ndarray, rows: np.ndarray, least: float, least_grams: float) -> np.ndarray:
-    """Those of the positions ``at`` that lie in clusters of ``known`` positions, which hold them, of ``least`` words and ``least_grams`` positions or more."""
+def _within_long(at: np.ndarray, known: np.ndarray, rows: np.ndarray, width: int, count: int) -> np.ndarray:
+    """Those of the positions ``at`` whose cluster of ``known`` positions, which hold them, has ``count`` of these within ``width`` words somewhere."""
     if not len(known):
         return at[:0]
-    start = np.flatnonzero(np.r_[True, (np.diff(rows[known]) != 0) | (np.diff(known) > GAP)])
-    ends = np.r_[start[1:], len(known)]
-    first, last = known[start], known[ends - 1]
-    cluster = np.searchsorted(first, at, "right") - 1
-    return at[((last + K - first >= least) & (ends - start >= least_grams))[cluster]]
+    new = np.r_[True, (np.diff(rows[known]) != 0) | (np.diff(known) > GAP)]
+    cluster = np.cumsum(new) - 1
+    ahead = max(0, count - 1)
+    begin = np.arange(max(0, len(known) - ahead))
+    dense = (known[begin + ahead] - known[begin] + K <= width) & (cluster[begin + ahead] == cluster[begin])
+    good = np.zeros(cluster[-1] + 1, bool)
+    good[cluster[begin[dense]]] = True
+    return at[good[np.searchsorted(known[new], at, "right") - 1]]
+
+
+def least_grams(n: int, share: float, density: float) -> tuple[int, int]:
+    """(words, grams): somewhere in every passage of an item of ``n`` words or more so many of its grams lie within so many words.
+
+    The shortest passage has ``words`` words.  In it, and in the better end of
+    a longer one, one word in ``1 / (1 - density)`` is changed or added, and
+    each of these takes ``K`` grams away.
+    """
+    words = math.ceil(share * n - 1e-9)
+    return words, max(1, words - (K - 1) - K * math.ceil(words * (1 - density) - 1e-9))
 
 
-def _document_prints(bits, all_bits, least: float, least_grams: float, short_bits=None):
+def _document_prints(bits, all_bits, width: int, count: int, short_bits=None):
     """Fingerprints of documents that items may have.
 
     ``all_bits`` are all grams of the longer items: fingerprints whose cluster
-    of such grams is shorter than ``least`` words, or has fewer than
-    ``least_grams`` of them, can't be part of a passage of any of them.  ``short_bits`` are the grams of short items, if there are any;
+    of such grams nowhere has ``count`` of them within ``width`` words can't be
+    part of a passage of any of them.  ``short_bits`` are the grams of short items, if there are any;
     these are kept wherever they are.
     """
 
@@ -149,7 +164,7 @@ def _document_prints(bits, all_bits, least: float, least_grams: float, short_bit
             g, ok = grams(h, rows)
             known = np.flatnonzero(ok & _known(g, all_bits.value))
             at = winnow(h, rows)
-            at = _within_long(at[_known(g[at], bits.value) & _known(g[at], all_bits.value)], known, rows, least, least_grams)
+            at = _within_long(at[_known(g[at], bits.value) & _known(g[at], all_bits.value)], known, rows, width, count)
             if short_bits is not None:
                 at = np.union1d(at, np.flatnonzero(ok & _known(g, short_bits.value)))
             pairs = np.unique(np.stack([rows[at], g[at].view(np.int64)]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
@@ -283,13 +298,9 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, density: f
     long, shorter = all_grams.where("not short"), all_grams.where("short")
     bits, all_bits = (spark.sparkContext.broadcast(_bit_set(x)) for x in (long.where("picked"), long))
     short_bits = spark.sparkContext.broadcast(_bit_set(shorter)) if shorter.head(1) else None
-    # words that a passage of the shortest of the longer items has between its first and its last shared gram
-    shared = density * share * (long.agg(F.min("n")).first()[0] or 0)
-    least = shared - 2 * EDGE
-    # of so many shared words, each word changed or added among them takes K grams away
-    least_grams = shared - (K - 1) * (1 / density - 1) * shared - (K - 1)
+    width, count = least_grams(long.agg(F.min("n")).first()[0] or 0, share, density)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    found = texts.mapInArrow(_document_prints(bits, all_bits, least, least_grams, short_bits), "doc_id long, print long")
+    found = texts.mapInArrow(_document_prints(bits, all_bits, width, count, short_bits), "doc_id long, print long")
     pairs = persist_table(found.join(prints, "print").select("doc_id", "item_id").distinct())
 
     joined = pruned(texts, "doc_id", pairs.select("doc_id").distinct()).join(pairs, "doc_id").join(words, "item_id").select("doc_id", "item_id", "text", "words")

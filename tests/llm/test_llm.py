@@ -555,6 +555,31 @@ def test_sequence_lengths_and_passages():
     assert leakage.passage_in(item, []) == leakage.passage_in([], item) == leakage.passage_in(item, other(9)) == (0, 0, 0)
 
 
+def test_no_passage_is_lost_before_the_join():
+    """Every spoiled passage that the rule accepts has its grams dense enough to pass, whatever words are changed or added."""
+    rng = random.Random(22)
+    for _ in range(3000):
+        n = rng.randrange(39, 90)
+        item = np.array([rng.randrange(1 << 60) for _ in range(n)], np.uint64)
+        size = rng.randrange(n // 2, n + 1)
+        begin = rng.randrange(n - size + 1)
+        text = item[begin : begin + size].tolist()
+        for _ in range(rng.randrange(0, size // 5 + 1)):
+            k = rng.randrange(len(text))
+            if rng.random() < 0.5:
+                text[k] = rng.randrange(1 << 60)
+            else:
+                text.insert(k, rng.randrange(1 << 60))
+        shared, length, span = leakage.passage_in(item.tolist(), text)
+        if not (length and shared >= 0.8 * length and shared >= 0.4 * n and span + 2 * leakage.LOOSE >= 0.5 * n):
+            continue
+        words = np.array([*(rng.randrange(1 << 60) for _ in range(9)), *text, *(rng.randrange(1 << 60) for _ in range(9))], np.uint64)
+        rows = np.zeros(len(words), np.int64)
+        g = leakage.grams(words, rows)[0]
+        known = np.flatnonzero(np.isin(g, leakage.grams(item, np.zeros(n, np.int64))[0]))
+        assert len(leakage._within_long(known, known, rows, *leakage.least_grams(n, 0.5, 0.8))), (n, size, length, shared)
+
+
 def test_leaks(spark):
     rng = random.Random(11)
     ctx = [" ".join(f"{rng.choice('abcdef')}{rng.randrange(3000)}" for _ in range(40)) + "." for _ in range(6)]

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +34,39 @@ def in_range(ids: Column) -> Column:
     return F.forall(ids, lambda i: i.between(0, TOKEN_MAX))
 
 
+def _lists(found: list[list[int] | None]) -> pa.Array:
+    """Lists of ids as one Arrow array, without a Python object for each id on the way back."""
+    sizes = np.fromiter((0 if x is None else len(x) for x in found), np.int64, len(found))
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    flat = np.fromiter(chain.from_iterable(x for x in found if x is not None), np.int32, int(offsets[-1]))
+    null = pa.array([x is None for x in found]) if None in found else None
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=null)
+
+
+def batched_encoder(load: Callable[[], Callable[[list[str]], list[list[int]]]]):
+    """A vectorised function text -> ids: ``load`` makes an encoder of many texts, once in each Python worker; a null text has null ids."""
+
+    @F.arrow_udf("array<int>")
+    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        many = load()
+        for part in texts:
+            given = part.to_pylist()
+            ids = iter(many([t for t in given if t is not None]))
+            yield _lists([None if t is None else next(ids) for t in given])
+
+    return encode
+
+
 def piece_encoder(path: str):
     """A vectorised function text -> ids of a subword model; one model per Python worker."""
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def load():
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        for part in texts:
-            yield pd.Series([None if t is None else model.encode(t) for t in part])
+        return lambda texts: model.encode(texts, num_threads=1)
 
-    return encode
+    return batched_encoder(load)
 
 
 def piece_decoder(path: str):
@@ -78,13 +102,11 @@ def load_byte_model(path: str):
 def byte_encoder(path: str):
     """A vectorised function text -> ids of a byte-level vocabulary of ranks."""
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def load():
         model = load_byte_model(path)
-        for part in texts:
-            yield pd.Series([None if t is None else model.encode_ordinary(t) for t in part])
+        return lambda texts: [model.encode_ordinary(t) for t in texts]
 
-    return encode
+    return batched_encoder(load)
 
 
 def byte_decoder(path: str):
@@ -102,16 +124,14 @@ def byte_decoder(path: str):
 def json_encoder(path: str):
     """A vectorised function text -> ids of a tokenizer file in JSON; texts that look like special tokens are ordinary text."""
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def load():
         from tokenizers import Tokenizer as JsonTokenizer
 
         model = JsonTokenizer.from_file(path)
         model.encode_special_tokens = True
-        for part in texts:
-            yield pd.Series([None if t is None else model.encode(t, add_special_tokens=False).ids for t in part])
+        return lambda texts: [model.encode(t, add_special_tokens=False).ids for t in texts]
 
-    return encode
+    return batched_encoder(load)
 
 
 @dataclass(frozen=True)

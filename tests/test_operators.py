@@ -262,6 +262,21 @@ def test_array_parity(spark):
     assert got[1] == (True, None) and got[2] == (False, 1) and got[3] == (False, 1) and got[4][0] is False and got[5] == (True, None) and got[6] == (True, None)
 
 
+def test_encoders_of_nulls_and_long_texts(spark):
+    """Null, empty and very long texts under both files of one vocabulary, and the piece vocabulary."""
+    from corpusloom.functions import tokens
+
+    rows = [(0, None), (1, ""), (2, "a b"), (3, None), (4, "word é " * 20_000), (5, "<|endoftext|>")]
+    df = spark.createDataFrame(rows, "i long, text string").repartition(2)
+    folder = "/opt/tokenizers"
+    a, b, c = tokens.byte_encoder(f"{folder}/byte_bpe_50k.tiktoken"), tokens.json_encoder(f"{folder}/byte_bpe_50k.json"), tokens.piece_encoder(f"{folder}/piece_bpe_32k.model")
+    got = {r["i"]: r for r in df.select("i", a("text").alias("a"), b("text").alias("b"), c("text").alias("c"), tokens.byte_decoder(f"{folder}/byte_bpe_50k.tiktoken")(a("text")).alias("back")).collect()}
+    for i, text in rows:
+        assert got[i]["a"] == got[i]["b"] and got[i]["back"] == text and (got[i]["c"] is None) == (text is None)
+    assert got[0]["a"] is None and got[1]["a"] == [] and got[1]["c"] == [] and len(got[4]["a"]) > 20_000
+    assert df.limit(0).select(a("text")).count() == 0
+
+
 def test_multinomial(spark):
     """Shares of many draws are those of softmax(score / temperature); no temperature takes the best one; the draw is repeatable."""
     import math

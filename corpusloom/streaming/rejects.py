@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import shared_folder
+from ..session import new_path
 from ..sources.lines import corpus_records
 
 
@@ -29,6 +27,6 @@ def event_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day")
 def run_once(counts: DataFrame, name: str) -> StreamingQuery:
     """Process what is there into a memory table, offsets kept in the shared folder."""
     spark = counts.sparkSession
-    query = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    query = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", new_path(spark)).trigger(availableNow=True).start()
     query.awaitTermination()
     return query

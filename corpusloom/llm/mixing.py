@@ -12,15 +12,13 @@ sorted in one task.
 
 from __future__ import annotations
 
-import base64
-import importlib.util
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tokens import load_byte_model
 from ..session import persist_table
 
 #: Documents to a bucket of the shuffled order; a source has as many buckets as that asks of all documents, each summed by one task.
@@ -32,23 +30,13 @@ def tokenizer_file(name: str = "byte_bpe_50k.tiktoken") -> str:
     return f"/opt/tokenizers/{name}"
 
 
-def load_encoding(path: str):
-    import tiktoken
-
-    spec = importlib.util.spec_from_file_location("public_tokenizers", Path(path).parent / "__init__.py")
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-    return tiktoken.Encoding(path, pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def count_tokens(texts: DataFrame, path: str) -> DataFrame:
     """Replace the column text by n_tokens; a null text has none. One tokenizer per Python worker."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "text") + ", n_tokens long"
     rest = [c for c in texts.columns if c != "text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = load_encoding(path)
+        encoding = load_byte_model(path)
         for b in batches:
             out = b[rest].copy()
             out["n_tokens"] = [len(encoding.encode_ordinary(t)) if t else 0 for t in b["text"]]

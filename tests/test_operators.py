@@ -343,7 +343,7 @@ def test_histogram_edges(spark):
 def test_vocabulary(spark):
     p = spark.createDataFrame([(0, "<unk>", 0.0), (1, "<s>", 0.0), (2, "<0x0A>", 0.0), (3, "<x>", 0.0), (4, "▁ab", -1.0), (5, "▁", -2.0), (6, "ab", -2.5)], "id int, piece string, score double")
     assert {r["kind"]: r["n"] for r in vocabulary.analysis(p).collect()} == {"unknown": 1, "control": 1, "byte": 1, "user-defined": 1, "normal": 3}
-    assert [tuple(r) for r in vocabulary.merges(p).collect()] == [(4, 5, 6, -1.0)]
+    assert [tuple(r) for r in vocabulary.merges(p).collect()] == [(4, 5, 6, -1.0, 1)]
 
 
 def test_choices_and_ties(spark):

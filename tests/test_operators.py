@@ -262,6 +262,16 @@ def test_array_parity(spark):
     assert got[1] == (True, None) and got[2] == (False, 1) and got[3] == (False, 1) and got[4][0] is False and got[5] == (True, None) and got[6] == (True, None)
 
 
+def test_parity_failures_move_no_ids(spark, tmp_path):
+    from corpusloom.plans import corpus
+
+    rows = [(1, "aB"), (1, "aB"), (None, "C"), (2, "ab"), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = corpus.t09_failures(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, False, 1), (1, False, 1), (None, False, 0)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_encoders_of_nulls_and_long_texts(spark):
     """Null, empty and very long texts under both files of one vocabulary, and the piece vocabulary."""
     from corpusloom.functions import tokens

@@ -15,11 +15,16 @@ longer one, counted with multiplicity and in any order.  The search is exact.
    different levels: if all prefix tokens of one are rare, so is the shared one.
 4. Each key carries the text's size and a 256-bit parity of its tokens.  Bits
    that differ bound the symmetric difference from below, so pairs that cannot
-   reach the threshold end inside the join.  The rest is verified on tokens.
+   reach the threshold end inside the join.  Texts of ``WIDE`` words or more,
+   which may differ in more tokens than 256 bits can tell, carry 768 bits
+   besides.  The rest is verified on tokens.
 5. Rows of each key are counted where the exchange has brought them together.
    Keys of more than ``HOT`` rows, as a template repeated with other values has
    them, are spread over blocks of that size, so no task meets more than
    ``HOT`` rows of a key with as many others.
+6. Only the first text of a class is matched.  Keys of large tables are written
+   once, a row a text, and meet in up to ``ROUNDS`` rounds, each of its share of
+   the keys; what a round has shuffled is deleted before the next.
 
 Null and empty texts have no words and are in no class.
 """
@@ -28,13 +33,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import drop_table, persist_table
+from ..session import drop_table, persist_table, shuffles_released
 from .pruning import pruned
 from .words import bags, mix
 
@@ -45,11 +51,17 @@ RARE = 100
 HOT = 20_000
 #: Words of texts for each of the tasks that match keys, if the session asks for fewer tasks.
 WORDS_A_TASK = 2_000_000
+#: Words of texts from which keys meet in one more round, and the most rounds.
+WORDS_A_ROUND, ROUNDS = 32_000_000, 8
+#: Words from which a text carries further parity bits, as words of 64.
+WIDE, MORE = 250, 12
 #: Classes that a task remembers, so that copies of a text are matched once a task.
 REMEMBERED = 1 << 18
 
 _SCAN = "id long, grp long, bag long, n int, cell int, df long"
-_KEYS = "key long, bag long, n int, s0 long, s1 long, s2 long, s3 long"
+_BITS, _MORE_BITS = [f"s{i}" for i in range(4)], [f"e{i}" for i in range(MORE)]
+_ROW = ("n", *_BITS, *_MORE_BITS)
+_KEYS = "bag long, n int, " + ", ".join(f"{c} long" for c in (*_BITS, *_MORE_BITS)) + ", keys array<array<long>>"
 
 
 @dataclass
@@ -151,14 +163,24 @@ def match_keys(rows, tokens, n, grp, df, rank, threshold):
     return np.concatenate(keys), np.concatenate(at)
 
 
-def parity(rows: np.ndarray, tokens: np.ndarray, count: int) -> np.ndarray:
-    """256 bits of each row as four words: bit = parity of the number of tokens that hash to it."""
-    bit = (mix(tokens ^ np.uint64(0xA5A5)) >> np.uint64(56)).astype(np.int64)
-    odd = (np.bincount(rows * 256 + bit, minlength=count * 256) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(count, 256), axis=1, bitorder="little").view(np.int64)
+def parity(rows: np.ndarray, tokens: np.ndarray, count: int, words: int = 4) -> np.ndarray:
+    """Bits of each row as words of 64: bit = parity of the number of tokens that hash to it."""
+    bits = words * 64
+    bit = ((mix(tokens ^ np.uint64(0xA5A5 + words - 4)) >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)).astype(np.int64)
+    odd = (np.bincount(rows * bits + bit, minlength=count * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(count, bits), axis=1, bitorder="little").view(np.int64)
 
 
-def _keyed(df_cells, threshold: float):
+def _lists(key: np.ndarray, at: np.ndarray, count: int, rounds: int) -> pa.Array:
+    """Keys of each of ``count`` rows, as a list of each round."""
+    place = at * rounds + (key % np.uint64(rounds)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    ends = np.cumsum(np.bincount(place, minlength=count * rounds))
+    inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(key[order].view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array((np.arange(count + 1) * rounds).astype(np.int32)), inner)
+
+
+def _keyed(df_cells, threshold: float, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = df_cells.value
         rank = np.empty(len(df), np.int64)
@@ -176,14 +198,17 @@ def _keyed(df_cells, threshold: float):
             keep[first[new]] = True
             of_kept = keep[rows]
             key, at = match_keys(rows[of_kept], tokens[of_kept], np.where(keep, n, 0), grp, df, rank, threshold)
-            # rows of a text side by side: what they repeat is compressed away in the shuffle
-            order = np.argsort(at, kind="stable")
-            key, at = key[order], at[order]
             bits = parity(rows, tokens, len(n))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(bag.view(np.int64)[at]), pa.array(n[at].astype(np.int32)), *(pa.array(bits[at, i]) for i in range(4))],
-                names=["key", "bag", "n", "s0", "s1", "s2", "s3"],
-            )
+            wide = np.flatnonzero(n >= WIDE)
+            of_wide = np.full(len(n), -1)
+            of_wide[wide] = np.arange(len(wide))
+            some = of_wide[rows] >= 0
+            more = np.zeros((len(n), MORE), np.int64)
+            more[wide] = parity(of_wide[rows[some]], tokens[some], len(wide), MORE)
+            none = n < WIDE
+            kept = pa.array(np.flatnonzero(keep))
+            arrays = [pa.array(bag.view(np.int64)), pa.array(n.astype(np.int32)), *(pa.array(bits[:, i]) for i in range(4)), *(pa.array(more[:, i], mask=none) for i in range(MORE)), _lists(key, at, len(n), rounds)]
+            yield pa.RecordBatch.from_arrays([x.take(kept) for x in arrays], names=["bag", *_ROW, "keys"])
 
     return run
 
@@ -206,9 +231,10 @@ def _blocks(keys: DataFrame) -> DataFrame:
 
 def _close(threshold: float) -> Column:
     """Whether rows a and b, of different bags, may share enough words by their sizes and parities."""
-    apart = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(4)), F.lit(0))
+    apart = lambda bits: sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in bits), F.lit(0))
     need = F.ceil(F.greatest("a.n", "b.n") * threshold - 1e-9)
-    return (F.col("a.bag") < F.col("b.bag")) & (F.least("a.n", "b.n") >= need) & (apart <= F.col("a.n") + F.col("b.n") - 2 * need)
+    room = F.col("a.n") + F.col("b.n") - 2 * need
+    return (F.col("a.bag") < F.col("b.bag")) & (F.least("a.n", "b.n") >= need) & (apart(_BITS) <= room) & F.coalesce(apart(_MORE_BITS) <= room, F.lit(True))
 
 
 def _candidates(keys: DataFrame, threshold: float) -> DataFrame:
@@ -217,12 +243,13 @@ def _candidates(keys: DataFrame, threshold: float) -> DataFrame:
     Rows of hot keys pass the first join unmatched and are kept beside its
     pairs; only if there are any they meet in blocks.
     """
-    parts = ("key", "bag", "n", "s0", "s1", "s2", "s3", "m")
+    parts = ("key", "bag", *_ROW, "m")
     a, b = keys.where("m > 1").alias("a"), keys.where(F.col("m").between(2, HOT)).alias("b")
     hot = F.when(F.col("a.m") > HOT, F.struct(*(F.col(f"a.{c}") for c in parts)))
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & _close(threshold), "left").where((F.col("a.m") > HOT) | F.col("b.bag").isNotNull())
     met = persist_table(met.select(F.col("a.bag").alias("bag_a"), F.col("b.bag").alias("bag_b"), hot.alias("hot")).distinct())
     pairs, rest = met.where("hot is null").select("bag_a", "bag_b"), met.where("hot is not null").select("hot.*")
+    pairs._path = met._path
     if rest.head(1):
         blocks = _blocks(rest)
         a, b = blocks.alias("a"), blocks.alias("b")
@@ -235,6 +262,16 @@ def _candidates(keys: DataFrame, threshold: float) -> DataFrame:
     return pairs
 
 
+def _met(keyed: DataFrame, at: int, tasks: int, threshold: float) -> DataFrame:
+    """Candidates of the keys of one round."""
+    # said here, as the optimizer would add it to one side of the join only, and the sides would have exchanges of their own
+    keys = keyed.select(F.explode(F.element_at("keys", at + 1)).alias("key"), "bag", *_ROW).where("key is not null")
+    keys = keys.repartition(tasks, "key") if tasks > int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")) else keys.repartition("key")
+    keys = keys.groupBy("key", "bag").agg(*(F.first(c).alias(c) for c in _ROW))
+    # one exchange serves the counts and both sides of the join
+    return _candidates(keys.withColumn("m", F.count("*").over(Window.partitionBy("key"))), threshold)
+
+
 def near_duplicates(texts: DataFrame, id_col: str, text: Column | str, group: Column | str | None = None, threshold: float = 0.85) -> NearDuplicates:
     """Classes of equal word multisets and the links between different classes.
 
@@ -242,6 +279,11 @@ def near_duplicates(texts: DataFrame, id_col: str, text: Column | str, group: Co
     harm.  ``group`` (a long) restricts links and classes to rows of one group.
     Other columns of ``texts`` are not read.
     """
+    with shuffles_released(texts.sparkSession):
+        return _near_duplicates(texts, id_col, text, group, threshold)
+
+
+def _near_duplicates(texts: DataFrame, id_col: str, text: Column | str, group: Column | str | None, threshold: float) -> NearDuplicates:
     spark = texts.sparkSession
     grp = F.lit(0) if group is None else (F.col(group) if isinstance(group, str) else group)
     col = F.col(text) if isinstance(text, str) else text
@@ -252,19 +294,26 @@ def near_duplicates(texts: DataFrame, id_col: str, text: Column | str, group: Co
     counts = scan.where("cell is not null").groupBy("cell").agg(F.sum("df").alias("df")).toArrow()
     cells = np.zeros(1 << CELL_BITS, np.int64)
     cells[counts["cell"].to_numpy()] = counts["df"].to_numpy()
-    words = scan.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
-    # said here, as the optimizer would add it to one side of the join only, and the sides would have exchanges of their own
-    keys = source.mapInArrow(_keyed(spark.sparkContext.broadcast(cells), threshold), _KEYS).where("key is not null")
-    tasks = -(-words // WORDS_A_TASK)
-    keys = keys.repartition(tasks, "key") if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else keys.repartition("key")
-    keys = keys.groupBy("key", "bag").agg(*(F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")))
-    # one exchange serves the counts and both sides of the join
-    keys = keys.withColumn("m", F.count("*").over(Window.partitionBy("key")))
-    candidates = _candidates(keys, threshold)
+    # the text of each class that stands for it
+    firsts = persist_table(members.groupBy("bag").agg(F.min("id").alias("id"), F.first("n").alias("n")))
+    words, classes = firsts.agg(F.sum(F.col("n").cast("long")), F.count("*")).first()
+    words = words or 0
+    # copies of a text have the same keys; the few that pass meet as one
+    matched = pruned(source, "id", firsts) if 2 * classes <= scan.where("bag is not null").count() else source
+    rounds = min(ROUNDS, max(1, -(-words // WORDS_A_ROUND)))
+    keyed = matched.select("id", "grp", "text").mapInArrow(_keyed(spark.sparkContext.broadcast(cells), threshold, rounds), _KEYS)
+    if rounds > 1:
+        keyed = persist_table(keyed)
+    found = [_met(keyed, at, -(-words // (rounds * WORDS_A_TASK)), threshold) for at in range(rounds)]
+    candidates = found[0]
+    if rounds > 1:
+        candidates = persist_table(reduce(DataFrame.unionByName, found).distinct())
+        for table in (keyed, *found):
+            drop_table(table)
 
     wanted = candidates.select(F.explode(F.array("bag_a", "bag_b")).alias("bag")).distinct()
     # one text of each class that may have a link
-    ids = persist_table(members.groupBy("bag").agg(F.min("id").alias("id")).join(wanted, "bag", "left_semi"))
+    ids = persist_table(firsts.select("bag", "id").join(wanted, "bag", "left_semi"))
     tokens = pruned(source, "id", ids).select("id", "grp", "text").mapInArrow(_tokens_of, "id long, bag long, tokens array<long>")
     tokens = persist_table(tokens.join(ids, ["bag", "id"], "left_semi").dropDuplicates(["bag"]).select("bag", "tokens"))
     ta, tb = tokens.select(F.col("bag").alias("bag_a"), F.col("tokens").alias("ta")), tokens.select(F.col("bag").alias("bag_b"), F.col("tokens").alias("tb"))

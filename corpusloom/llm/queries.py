@@ -57,13 +57,18 @@ def _conversations(spark: SparkSession, sf: str) -> neardup.NearDuplicates:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of every class and of every two linked classes.
+
+    They are distinct as they are made, so they aren't shuffled once more for
+    it, unless deliveries of one id differ in their words.
+    """
     near = _conversations(spark, sf)
-    members = near.members.select("id", "bag").distinct()
+    members = near.members.select("id", "bag")
     a, b = members.select(F.col("id").alias("x"), F.col("bag").alias("bag_a")), members.select(F.col("id").alias("y"), F.col("bag").alias("bag_b"))
     equal = a.join(b, (F.col("bag_a") == F.col("bag_b")) & (F.col("x") < F.col("y"))).select("x", "y")
     linked = near.links.join(a, "bag_a").join(b, "bag_b").select("x", "y").where("x <> y")
-    pairs = equal.unionByName(linked)
-    return pairs.select(F.least("x", "y").alias("sample_id_a"), F.greatest("x", "y").alias("sample_id_b")).distinct()
+    pairs = equal.unionByName(linked).select(F.least("x", "y").alias("sample_id_a"), F.greatest("x", "y").alias("sample_id_b"))
+    return pairs.distinct() if members.groupBy("id").count().where("count > 1").head(1) else pairs
 
 
 def p3_groups(spark: SparkSession, sf: str) -> DataFrame:

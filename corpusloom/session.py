@@ -101,6 +101,18 @@ def persist_table(df: DataFrame) -> DataFrame:
     return table
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Files that a query shuffled are deleted once it ends, as those of ``persist_table`` are of no use then; else they stay until the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table ``name`` of Parquet files in a folder.
 

@@ -120,6 +120,23 @@ def test_one_template_in_many_texts(spark, monkeypatch):
     assert degree == found.members.select("bag").distinct().count()
 
 
+def test_long_texts_end_inside_the_join(spark, monkeypatch):
+    """Unrelated texts of 450 common words are no candidates, edited ones are, in several rounds, and copies are matched once."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(450)) for _ in range(40)]
+    texts += [edited(rng, t, 20) for t in texts[:5]]
+    monkeypatch.setattr(neardup, "WORDS_A_ROUND", 5_000)
+    met, former = [], neardup._met
+    monkeypatch.setattr(neardup, "_met", lambda *a: met.append(former(*a)) or met[-1])
+    monkeypatch.setattr(neardup, "drop_table", lambda df: None)
+    found = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts * 3)), "id long, text string"), "id", "text")
+    bag_of = {r["id"]: r["bag"] for r in found.members.collect()}
+    links = {frozenset((r["bag_a"], r["bag_b"])) for r in found.links.collect()}
+    assert links == {frozenset((bag_of[i], bag_of[40 + i])) for i in range(5)}
+    assert len(met) == 5 and {frozenset(r) for m in met for r in m.collect()} == links
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_pruned(spark, monkeypatch):
     rows = spark.range(20_000).select("id", F.lit(1).alias("_x")).unionByName(spark.createDataFrame([(None, 1)], "id long, _x int"))
     wanted = spark.range(0, 20_000, 50)

@@ -5,7 +5,7 @@ against, 0 no opinion.  Votes are counted by pattern over all answers; an
 expectation-maximization label model estimates from these counts how reliable
 each function is and how probable the defect is given each pattern.  A pair
 keeps every defect whose posterior exceeds its cutoff; cutoffs are validated on
-answers of a bounded sample made defective on purpose.
+all answers, made defective on purpose.
 
 Three of the voters are trained: the truncation classifier, a language
 classifier (``language``), and a classifier of refusals, which learns from
@@ -412,15 +412,34 @@ class Voters:
             if empty[2] == 1 or not a:
                 out.append({"empty": empty, **{d: (-1,) * VOTERS[d] for d in DEFECTS[1:]}})
                 continue
-            out.append({
-                "empty": empty,
-                "truncated": votes_truncated(self.truncation.score(s, a), a),
-                "refusal": (*votes_refusal(p, a), self.refusals.vote(a)),
-                "copy": votes_copy(p, x, a),
-                "language": lang if p.strip() else (0, 0, 0),
-            })
+            out.append({"empty": empty, **{d: self._vote(d, s, p, x, a, lang) for d in DEFECTS[1:]}})
         return out
 
+    def votes_on(self, defects: list[str], sources: list[str | None], prompts: list[str | None], extras: list[str | None], answers: list[str]) -> list[tuple[int, ...]]:
+        """Of these votes those on one defect of each pair."""
+        prompts, extras = [p or "" for p in prompts], [x or "" for x in extras]
+        of = [i for i, d in enumerate(defects) if d == "language"]
+        spoken = dict(zip(of, votes_language(self.languages, [prompts[i] for i in of], [extras[i] for i in of], [answers[i] for i in of]), strict=True))
+        out = []
+        for i, (d, s, p, x, a) in enumerate(zip(defects, sources, prompts, extras, answers, strict=True)):
+            empty = votes_empty(a)
+            if d == "empty":
+                out.append(empty)
+            elif empty[2] == 1 or not a:
+                out.append((-1,) * VOTERS[d])
+            else:
+                out.append(self._vote(d, s, p, x, a, spoken.get(i, (0, 0, 0))))
+        return out
+
+    def _vote(self, defect: str, source: str | None, prompt: str, extra: str, answer: str, spoken: tuple[int, ...]) -> tuple[int, ...]:
+        if defect == "truncated":
+            return votes_truncated(self.truncation.score(source, answer), answer)
+        if defect == "refusal":
+            return *votes_refusal(prompt, answer), self.refusals.vote(answer)
+        if defect == "copy":
+            return votes_copy(prompt, extra, answer)
+        return spoken if prompt.strip() else (0, 0, 0)
+
 
 def code(votes: tuple[int, ...]) -> int:
     """A pattern of votes as one number."""
@@ -520,11 +539,11 @@ def fit_voters(alpaca: DataFrame, chat: DataFrame, truncation: TruncationModel,
 _SQL_ASKS = "translat|übersetz|tradu|перевед|english|german|french|spanish|portug|russian|deutsch|français|español|rewrite|rephrase|correct|polish|spelling|paraphras"
 
 
-def find_defects(alpaca: DataFrame, chat: DataFrame, voters: Voters, sample: int = 4000, keep: float = 0.97) -> tuple[DataFrame, dict[str, float]]:
+def find_defects(alpaca: DataFrame, chat: DataFrame, voters: Voters, keep: float = 0.97) -> tuple[DataFrame, dict[str, float]]:
     """(sample_id, turn, defect, posterior of each defective pair; cutoff by defect).
 
     Cutoffs are the highest of a fixed row that keep the share ``keep`` of
-    spoiled answers, made of about ``sample`` pairs.  A null answer is empty;
+    spoiled answers, made of all pairs.  A null answer is empty;
     a null prompt excludes only the language defect; repeated rows count once.
     """
     spark = alpaca.sparkSession
@@ -542,7 +561,7 @@ def find_defects(alpaca: DataFrame, chat: DataFrame, voters: Voters, sample: int
     voted = persist_table(base.mapInPandas(vote, "sample_id long, turn int, " + ", ".join(f"{d} int" for d in DEFECTS)).distinct())
     grouped = voted.groupBy(*DEFECTS).count().toPandas()  # at most 3 to the number of voters rows
     posterior = {d: label_model(grouped.groupby(d)["count"].sum().to_dict(), VOTERS[d]) for d in DEFECTS}
-    cutoffs = _validated(drawn_share(base, voted.count(), sample, 11), shared, posterior, keep)
+    cutoffs = _validated(base, shared, posterior, keep)
     named = [
         F.struct(F.lit(d).alias("defect"), F.coalesce(_lookup(F.col(d), posterior[d]), F.lit(0.0)).alias("posterior"), F.lit(cutoffs[d]).alias("cutoff"))
         for d in DEFECTS
@@ -558,11 +577,12 @@ def _lookup(col, table: dict[int, float]):
     return F.create_map(*(x for k, v in likely.items() for x in (F.lit(int(k)), F.lit(float(v)))))[col]
 
 
-def _validated(drawn: DataFrame, shared, posterior: dict[str, dict[int, float]], keep: float) -> dict[str, float]:
-    drawn = drawn.where("answer is not null and prompt is not null").repartition(drawn.sparkSession.sparkContext.defaultParallelism)
+def _validated(base: DataFrame, shared, posterior: dict[str, dict[int, float]], keep: float) -> dict[str, float]:
+    """Cutoff by defect; each task counts the patterns of its spoiled answers, at most 3 to the number of voters a defect."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Voters.of(shared.value)
+        counts: Counter = Counter()
         for b in batches:
             prompts, answers = b["prompt"].tolist(), b["answer"].tolist()
             sources, extras = ([v if isinstance(v, str) else None for v in b[c]] for c in ("source", "extra"))
@@ -571,10 +591,13 @@ def _validated(drawn: DataFrame, shared, posterior: dict[str, dict[int, float]],
             for k, (p, x, a) in enumerate(zip(prompts, extras, answers, strict=True)):
                 far = next((answers[j] for j in range(k + 1, min(len(b), k + 40)) if of_prompt[k] >= 0 and of_answer[j] >= 0 and of_answer[j] != of_prompt[k]), "")
                 made += [(d, k, bad) for d, bad in spoil(p, x or "", a, far, random.Random(f"{p}/{a}"))]
-            votes = own.votes([sources[k] for _, k, _ in made], [prompts[k] for _, k, _ in made], [extras[k] for _, k, _ in made], [bad for *_, bad in made])
-            yield pd.DataFrame([(d, code(v[d])) for (d, _, _), v in zip(made, votes, strict=True)], columns=["defect", "pattern"]).astype({"pattern": "int32"})
+            named = [d for d, *_ in made]
+            votes = own.votes_on(named, [sources[k] for _, k, _ in made], [prompts[k] for _, k, _ in made], [extras[k] for _, k, _ in made], [bad for *_, bad in made])
+            counts.update((d, code(v)) for d, v in zip(named, votes, strict=True))
+        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["defect", "pattern", "count"]).astype({"pattern": "int32", "count": "int64"})
 
-    made = drawn.mapInPandas(run, "defect string, pattern int").groupBy("defect", "pattern").count().toPandas()
+    spoiled = base.where("answer is not null and prompt is not null").mapInPandas(run, "defect string, pattern int, count long")
+    made = spoiled.groupBy("defect", "pattern").agg(F.sum("count").alias("count")).toPandas()
     out = {}
     for d in DEFECTS:
         mine = made[made["defect"] == d]

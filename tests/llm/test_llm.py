@@ -518,6 +518,20 @@ def test_find_defects(spark, cut_model):
     assert none.count() == 0
 
 
+def test_cutoffs_come_from_all_answers(spark, monkeypatch):
+    """Every pair with prompt and answer is spoiled once, however many there are, and a vote on one defect is that of all votes."""
+    seen, validated = [], defects._validated
+    monkeypatch.setattr(defects, "_validated", lambda base, *a: seen.append(base.count()) or validated(base, *a))
+    a = spark.range(6000).select(F.col("id").alias("sample_id"), F.lit("s").alias("source"), F.lit("Why?").alias("instruction"), F.lit("").alias("input"), F.concat(F.lit("Because of part "), "id").alias("output"))
+    c = spark.createDataFrame([], "sample_id long, source string, messages array<struct<role:string,content:string>>")
+    voters = defects.Voters(truncation.fit_truncation(truncation.values(a.limit(0), c)), language.no_languages(), defects.RefusalModel())
+    defects.find_defects(a, c, voters)
+    assert seen == [6000]
+    for answer in ("n/a", "Why is that?", "I can't help with that.", "Because of part 7"):
+        every = voters.votes(["s"], ["Why is that so?"], [None], [answer])[0]
+        assert [voters.votes_on([d], ["s"], ["Why is that so?"], [None], [answer])[0] for d in defects.DEFECTS] == [every[d] for d in defects.DEFECTS]
+
+
 def test_closed_answers_can_be_cut(spark, cut_model):
     """Truncated answers of p5 are those of p2, whatever they end with."""
     answers = ["The relay needs at least version 4.", "Set the lifetime of the token to v2.", "It listens on port 443 and on", "Keep the keys in a safe."]

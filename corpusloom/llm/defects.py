@@ -5,7 +5,8 @@ against, 0 no opinion.  Votes are counted by pattern over all answers; an
 expectation-maximization label model estimates from these counts how reliable
 each function is and how probable the defect is given each pattern.  A pair
 keeps every defect whose posterior exceeds its cutoff; cutoffs are validated on
-all answers, made defective on purpose.
+all answers, made defective on purpose.  Both are voted on in one pass, which
+reads the words and the languages of a text once.
 
 Three of the voters are trained: the truncation classifier, a language
 classifier (``language``), and a classifier of refusals, which learns from
@@ -20,9 +21,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from ..session import drop_table, persist_table
 from .language import LanguageModel, fit_languages, leading, no_languages, taught
 from .leakage import common_sequence
-from .truncation import WEIGHT_BITS, TruncationModel, _CLOSED, logistic
+from .truncation import WEIGHT_BITS, TruncationModel, _CLOSED, _DIGIT, logistic
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "language")
 #: Labelling functions of each defect.
@@ -92,6 +96,7 @@ _STEMS = (
     "n'ai pas", "n’ai pas", "hors de mes", "m'est", "m’est", "m'a", "m’a", "no puedo", "no tengo", "no me es", "no estoy", "no debo", "no voy", "prefiero", "prohib", "imposib", "vedad", "não",
     "prefiro", "proibid", "не ", "отказ",
 )
+_ANY_STEM = "|".join(map(re.escape, _STEMS))
 _OPENER = re.compile(OPENERS, re.I)
 #: Words above which a refusal is told by the shares of its sentences, and up to which the classifier votes.
 LONG, SHORT = 32, 70
@@ -120,6 +125,13 @@ _ASKS_LANGUAGE = re.compile(
     r"|\b(?:answer|reply|respond|write|antworte\w*|réponds?\w*|responde\w*)\b.{0,30}\b(?:english|german|french|spanish|portuguese|russian|deutsch|englisch|französisch|spanisch|anglais|allemand|français|espagnol|inglés|alemán|francés|español)\b",
     re.I,
 )
+# Every request for a language holds one of these.
+_LANGUAGE_STEMS = (
+    "translat|überset|tradu|перевед|перевод|english|german|french|spanish|portuguese|russian|deutsch|englisch|französisch|spanisch|russisch|portugiesisch"
+    "|anglais|allemand|français|espagnol|portugais|russe|inglés|alemán|francés|español|portugués|ruso|inglês|alemão|francês|espanhol|português|русск|английск|немецк|французск|испанск"
+)
+# "i" has case forms that only Python takes for one letter
+_ANY_LANGUAGE_STEM = "(?i)" + _LANGUAGE_STEMS.replace("i", "[iıİ]")
 _ASKS_REWORDING = re.compile(
     r"\b(?:rewrite|rephrase|reword|paraphrase|polish|proofread|correct (?:the|spelling|this|grammar|all)|correct spelling|fix (?:the )?(?:spelling|grammar|typos|punctuation|text)|improve the (?:style|wording|text)|repeat|copy (?:the|this)|translate|capital letters|punctuat\w+|edit (?:the|this)|clean up|reformat|convert|shorten|simplify"
     r"|formuliere|korrigiere|verbessere|überarbeite|übersetze|wiederhole|schreibe .{0,20}um|reformule|corrige|améliore|traduis|répète|récris|réécris|reescribe|reformula|corrige|mejora|traduce|repite|reescreva|reformule|corrija|melhore|traduza|repita|исправь|перепиши|переформулируй|переведи|повтори)\b",
@@ -149,41 +161,60 @@ def prose(text: str) -> str:
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 
 
-def votes_language(model: LanguageModel, prompts: list[str], extras: list[str], answers: list[str], least: float = 3.0, words: int = 3) -> list[tuple[int, int, int]]:
-    """By the whole text, by its letters, and by the share of words in sentences of another language; abstains on answers of fewer than ``words`` words.
+def asked_languages(model: LanguageModel, prompts: list[str], extras: list[str], least: float = 3.0) -> tuple[np.ndarray, ...]:
+    """(language that a prompt sets, the same by letters, that of the prompt itself).
 
-    A text to be reworded sets the language instead of the prompt; a prompt
-    that asks for a language excuses any.
+    A text to be reworded sets the language instead of the prompt.
     """
-    if not model.languages:
-        return [(0, 0, 0)] * len(prompts)
-    asking = [x if x.strip() and _ASKS_REWORDING.search(p) else p for p, x in zip(prompts, extras, strict=True)]
-    asked, asked_letters, _ = model.score([prose(p) for p in asking])
-    wanted, wanted_letters = leading(asked, least), leading(asked_letters, least)
+    own, own_letters, _ = model.score([prose(p) for p in prompts])
+    spoken = leading(own, least)
+    reworded = [i for i, (p, x) in enumerate(zip(prompts, extras, strict=True)) if x.strip() and _ASKS_REWORDING.search(p)]
+    wanted, letters = spoken.copy(), leading(own_letters, least)
+    if reworded:
+        by_word, by_letter, _ = model.score([prose(extras[i]) for i in reworded])
+        wanted[reworded], letters[reworded] = leading(by_word, least), leading(by_letter, least)
+    return wanted, letters, spoken
+
+
+def given_languages(model: LanguageModel, answers: list[str], least: float = 3.0) -> tuple[np.ndarray, ...]:
+    """(language of an answer, the same by letters, number of its words, words in sentences of each language)."""
     parts = [[x for x in _SENTENCE.split(prose(a)) if x] for a in answers]
     owner = np.repeat(np.arange(len(answers)), [len(x) for x in parts])
     by_word, by_letter, n = model.score([x for part in parts for x in part])
     total = lambda v: np.stack([np.bincount(owner, weights=v[:, j], minlength=len(answers)) for j in range(v.shape[1])], axis=1)
-    sizes = np.bincount(owner, weights=n, minlength=len(answers))
-    given, given_letters = leading(total(by_word), least), leading(total(by_letter), least)
     of_sentence = leading(by_word, 2.0)
-    told = (of_sentence >= 0) * n
-    all_told = np.bincount(owner, weights=told, minlength=len(answers))
-    other = np.bincount(owner, weights=told * (of_sentence != wanted[owner]), minlength=len(answers))
-    share = other / np.maximum(all_told, 1)
+    told = np.stack([np.bincount(owner, weights=(of_sentence == j) * n, minlength=len(answers)) for j in range(len(model.languages))], axis=1)
+    return leading(total(by_word), least), leading(total(by_letter), least), np.bincount(owner, weights=n, minlength=len(answers)), told
+
+
+def compared_languages(asked: tuple[np.ndarray, ...], given: tuple[np.ndarray, ...], words: int = 3) -> np.ndarray:
+    """Votes by the whole text, by its letters, and by the share of words in sentences of another language; abstains on answers of fewer than ``words`` words."""
+    (wanted, wanted_letters), (spoken, spoken_letters, sizes, told) = asked[:2], given
+    all_told = told.sum(axis=1)
+    share = (all_told - told[np.arange(len(told)), wanted]) / np.maximum(all_told, 1)
 
     def vote(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.where((a < 0) | (b < 0) | (sizes < words), 0, np.where(a != b, 1, -1))
 
-    one, two = vote(wanted, given), vote(wanted_letters, given_letters)
     three = np.where((wanted < 0) | (all_told < words), 0, np.where(share >= 0.7, 1, np.where(share <= 0.5, -1, 0)))
-    out = np.stack([one, two, three], axis=1)
-    for i in np.flatnonzero((out > 0).any(axis=1)).tolist():
+    return np.stack([vote(wanted, spoken), vote(wanted_letters, spoken_letters), three], axis=1)
+
+
+def votes_language(model: LanguageModel, prompts: list[str], extras: list[str], answers: list[str], least: float = 3.0, words: int = 3) -> list[tuple[int, int, int]]:
+    """Votes on each pair; a prompt that asks for a language excuses any."""
+    if not model.languages:
+        return [(0, 0, 0)] * len(prompts)
+    return _excused(compared_languages(asked_languages(model, prompts, extras, least), given_languages(model, answers, least), words), prompts)
+
+
+def _excused(votes: np.ndarray, prompts: list[str]) -> list[tuple[int, int, int]]:
+    for i in np.flatnonzero((votes > 0).any(axis=1)).tolist():
         if _ASKS_LANGUAGE.search(prompts[i]):
-            out[i] = -1
-    return [tuple(v) for v in out.tolist()]
+            votes[i] = -1
+    return [tuple(v) for v in votes.tolist()]
 
 
+@lru_cache(maxsize=1024)
 def votes_empty(answer: str | None) -> tuple[int, int, int, int]:
     if answer is None:
         return 1, 1, 1, 1
@@ -200,6 +231,8 @@ def votes_empty(answer: str | None) -> tuple[int, int, int, int]:
     return -1, 1 if not words else -1, 1 if listed or not words else -1, 1 if bracketed or not words else 1 if listed and len(words) <= 3 else -1
 
 
+_CLAUSE, _CLAUSE_OR_LINE = re.compile(r"(?<=[.!?…;])\s+"), re.compile(r"(?<=[.!?…;])\s+|\n+")
+_FIGURE = re.compile(r"\d|[`_/]|\b[A-Z][a-z]+[A-Z]")
 _REFUSAL_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?]")
 _MASK = (1 << WEIGHT_BITS) - 1
 
@@ -222,30 +255,45 @@ def refusal_features(answer: str) -> list[int] | None:
     return None if found is None else sorted({xxhash.xxh32_intdigest(w) & _MASK for w in found[0]} | {xxhash.xxh32_intdigest(f"{a} {b}") & _MASK for a, b in found[1]})
 
 
+class _Weights(dict):
+    """Weights of words and word pairs, looked up once each."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, w: str | tuple[str, str]) -> float:
+        v = self[w] = float(self.weights[xxhash.xxh32_intdigest(w if isinstance(w, str) else f"{w[0]} {w[1]}") & _MASK])
+        return v
+
+
 @dataclass
 class RefusalModel:
     """A hashed logistic regression; without weights it abstains."""
 
     weights: np.ndarray | None = None
     bias: float = 0.0
-    _known: dict[str | tuple[str, str], float] = field(default_factory=dict, repr=False)
+    _known: _Weights | None = field(default=None, repr=False)
+    _voted: dict[str, int] = field(default_factory=dict, repr=False)
 
     def vote(self, answer: str) -> int:
         if self.weights is None:
             return 0
+        out = self._voted.get(answer)
+        if out is None:
+            if len(self._voted) > 1000:
+                self._voted.clear()
+            out = self._voted[answer] = self._vote(answer)
+        return out
+
+    def _vote(self, answer: str) -> int:
         found = _refusal_words(answer)
         if found is None:
             return 0
-        known = self._known
-        if len(known) > 300_000:
-            known.clear()
-        odds = self.bias
-        for part in found:
-            for w in part:
-                v = known.get(w)
-                if v is None:
-                    v = known[w] = float(self.weights[xxhash.xxh32_intdigest(w if isinstance(w, str) else f"{w[0]} {w[1]}") & _MASK])
-                odds += v
+        if self._known is None or len(self._known) > 300_000:
+            self._known = _Weights(self.weights)
+        weight = self._known.__getitem__
+        odds = self.bias + sum(map(weight, found[0])) + sum(map(weight, found[1]))
         return 1 if odds > 1 else -1 if odds < -1 else 0
 
 
@@ -269,36 +317,61 @@ def fit_refusals(drawn: DataFrame) -> RefusalModel:
     return RefusalModel(*logistic([list(x) for x in got["x"]], y, epochs=6, l2=1e-4))
 
 
+@lru_cache(maxsize=64)
+def all_words(text: str) -> list[str]:
+    """Words in lower case; the list is shared."""
+    return _WORDS.findall(text.lower())
+
+
+def stemmed(answers: list[str]) -> tuple[list[str], list[bool]]:
+    """The answers with single blanks, and whether they hold a stem of a refusal phrase."""
+    flat = [" ".join(a.split()) for a in answers]
+    return flat, pc.match_substring_regex(pa.array([x.lower() for x in flat], pa.string()), _ANY_STEM).to_pylist()
+
+
+def _votes_unstemmed(flat: str) -> tuple[int, int, int, int]:
+    return -1, 1 if len(flat) < 160 and _OPENER.match(flat) and not _DIGIT.search(flat) else -1, -1, -1
+
+
 def votes_refusal(prompt: str, answer: str) -> tuple[int, int, int, int]:
+    votes, content, lone = _refusal_traits(answer)
+    if content is None:
+        return (-1, -1, -1, -1) if votes[0] > 0 and _ASKS_REFUSAL.search(prompt) else votes
+    about = content.intersection(all_words(prompt))
+    return votes[0], votes[1], 1 if lone and not about else -1 if len(about) >= 2 else 0, votes[3]
+
+
+@lru_cache(maxsize=64)
+def _refusal_traits(answer: str) -> tuple[tuple[int, int, int, int], set[str] | None, bool]:
+    """(votes by the answer alone, long words of a short answer, whether only these can speak against the third vote)."""
     # blanks and line breaks in a row are one blank
     flat = " ".join(answer.split())
     low = flat.lower()
     stems = [s for s in _STEMS if s in low]
     if not stems:
-        return -1, 1 if len(flat) < 160 and _OPENER.search(flat) and not re.search(r"\d", flat) else -1, -1, -1
+        return _votes_unstemmed(flat), None, False
     words = _WORDS.findall(low)
     if len(words) > LONG:
-        return _votes_long_refusal(prompt, answer, stems)
-    sentences = [x for x in re.split(r"(?<=[.!?…;])\s+", flat) if x]
+        return _votes_long_refusal(answer, stems), None, False
+    sentences = [x for x in _CLAUSE.split(flat) if x]
     declined = [any(map(x.lower().__contains__, stems)) and bool(_REFUSAL.search(x)) for x in sentences]
     # a polite sentence beside it answers no more
     idle = [no or bool(_COURTESY.search(x)) for no, x in zip(declined, sentences, strict=True)] if any(declined) else declined
-    content = {w for w in words if len(w) > 4}
-    about = content & set(_WORDS.findall(prompt.lower()))
-    figures = re.search(r"\d|[`_/]|\b[A-Z][a-z]+[A-Z]", flat)
-    return (
+    figures = _FIGURE.search(flat)
+    votes = (
         1 if any(declined) else -1,
-        -1 if len(words) > 32 or figures else 1 if _OPENER.search(flat) and len(words) <= 24 else 0,
-        1 if 3 < len(words) <= 24 and len(sentences) <= 2 and not about and not figures and any(declined) else -1 if len(about) >= 2 or len(words) > 32 else 0,
+        -1 if figures else 1 if _OPENER.match(flat) and len(words) <= 24 else 0,
+        0,
         1 if sentences and sum(idle) >= 0.5 * len(sentences) else -1,
     )
+    return votes, {w for w in words if len(w) > 4}, 3 < len(words) <= 24 and len(sentences) <= 2 and not figures and any(declined)
 
 
-def _votes_long_refusal(prompt: str, answer: str, stems: list[str]) -> tuple[int, int, int, int]:
+def _votes_long_refusal(answer: str, stems: list[str]) -> tuple[int, int, int, int]:
     """By a declined sentence, by how the answer begins, and by the shares of words and of sentences that only decline or are polite about it."""
-    sentences = [" ".join(x.split()) for x in re.split(r"(?<=[.!?…;])\s+|\n+", answer) if x.strip()]
+    sentences = [" ".join(x.split()) for x in _CLAUSE_OR_LINE.split(answer) if x.strip()]
     declined = [any(map(x.lower().__contains__, stems)) and bool(_REFUSAL.search(x)) for x in sentences]
-    if not any(declined) or _ASKS_REFUSAL.search(prompt):
+    if not any(declined):
         return -1, -1, -1, -1
     idle = [no or bool(_COURTESY.search(x) or _OPENER.search(x)) for no, x in zip(declined, sentences, strict=True)]
     sizes = [len(_WORDS.findall(x)) for x in sentences]
@@ -313,7 +386,9 @@ def _votes_long_refusal(prompt: str, answer: str, stems: list[str]) -> tuple[int
 
 
 def bare_words(text: str) -> list[str]:
-    return _WORDS.findall(_LABEL.sub("", text.lower()))
+    low = text.lower()
+    label = _LABEL.match(low)
+    return _WORDS.findall(low[label.end() :]) if label else all_words(text)
 
 
 def once(words: list[str]) -> list[str]:
@@ -337,7 +412,12 @@ def particulars(text: str) -> set[str]:
 def likeness(answer: list[str], source: list[str]) -> float:
     """Words shared in order over those of the longer text; 0 unless at least 60 % are shared in any order."""
     longer = max(len(answer), len(source))
-    if min(len(answer), len(source)) < 0.6 * longer or sum((Counter(answer) & Counter(source)).values()) < 0.6 * longer:
+    if min(len(answer), len(source)) < 0.6 * longer:
+        return 0.0
+    if answer == source:
+        return 1.0
+    # words known at all are no fewer than those shared as often as they come
+    if sum(map(set(source).__contains__, answer)) < 0.6 * longer or sum((Counter(answer) & Counter(source)).values()) < 0.6 * longer:
         return 0.0
     return common_sequence(answer, source) / longer
 
@@ -351,6 +431,8 @@ def votes_copy(prompt: str, extra: str, answer: str) -> tuple[int, int, int]:
     if len(a) < 3:
         return -1, -1, -1
     sources = [(prompt, bare_words(prompt))]
+    if a == sources[0][1]:
+        return 1, 1, 1
     if extra.strip():
         sources += [(extra, bare_words(extra)), (f"{prompt} {extra}", bare_words(prompt) + bare_words(extra))]
     scored = [(likeness(a, w), t, w) for t, w in sources if w]
@@ -405,31 +487,55 @@ class Voters:
     def votes(self, sources: list[str | None], prompts: list[str | None], extras: list[str | None], answers: list[str | None]) -> list[dict[str, tuple[int, ...]]]:
         """Votes on every defect of each pair; where nothing is there no other defect is, and a missing prompt excludes the language."""
         prompts, extras = [p or "" for p in prompts], [x or "" for x in extras]
-        spoken = votes_language(self.languages, prompts, extras, [a or "" for a in answers])
-        out = []
-        for s, p, x, a, lang in zip(sources, prompts, extras, answers, spoken, strict=True):
+        return list(self._votes(sources, prompts, extras, answers, votes_language(self.languages, prompts, extras, [a or "" for a in answers])))
+
+    def _votes(self, sources: list[str | None], prompts: list[str], extras: list[str], answers: list[str | None], spoken: list[tuple[int, ...]]) -> Iterator[dict[str, tuple[int, ...]]]:
+        flat, stems = stemmed([a or "" for a in answers])
+        for s, p, x, a, lang, f, stem in zip(sources, prompts, extras, answers, spoken, flat, stems, strict=True):
             empty = votes_empty(a)
             if empty[2] == 1 or not a:
-                out.append({"empty": empty, **{d: (-1,) * VOTERS[d] for d in DEFECTS[1:]}})
+                yield {"empty": empty, **{d: (-1,) * VOTERS[d] for d in DEFECTS[1:]}}
                 continue
-            out.append({"empty": empty, **{d: self._vote(d, s, p, x, a, lang) for d in DEFECTS[1:]}})
-        return out
+            yield {"empty": empty, **{d: self._vote(d, s, p, x, a, lang) for d in DEFECTS[1:] if stem or d != "refusal"}} | ({} if stem else {"refusal": (*_votes_unstemmed(f), self.refusals.vote(a))})
 
     def votes_on(self, defects: list[str], sources: list[str | None], prompts: list[str | None], extras: list[str | None], answers: list[str]) -> list[tuple[int, ...]]:
         """Of these votes those on one defect of each pair."""
         prompts, extras = [p or "" for p in prompts], [x or "" for x in extras]
         of = [i for i, d in enumerate(defects) if d == "language"]
         spoken = dict(zip(of, votes_language(self.languages, [prompts[i] for i in of], [extras[i] for i in of], [answers[i] for i in of]), strict=True))
-        out = []
-        for i, (d, s, p, x, a) in enumerate(zip(defects, sources, prompts, extras, answers, strict=True)):
-            empty = votes_empty(a)
-            if d == "empty":
-                out.append(empty)
-            elif empty[2] == 1 or not a:
-                out.append((-1,) * VOTERS[d])
-            else:
-                out.append(self._vote(d, s, p, x, a, spoken.get(i, (0, 0, 0))))
-        return out
+        return [self._vote_on(d, s, p, x, a, spoken.get(i, (0, 0, 0))) for i, (d, s, p, x, a) in enumerate(zip(defects, sources, prompts, extras, answers, strict=True))]
+
+    def _vote_on(self, defect: str, source: str | None, prompt: str, extra: str, answer: str, spoken: tuple[int, ...]) -> tuple[int, ...]:
+        empty = votes_empty(answer)
+        if defect == "empty":
+            return empty
+        return (-1,) * VOTERS[defect] if empty[2] == 1 or not answer else self._vote(defect, source, prompt, extra, answer, spoken)
+
+    def votes_and_spoiled(self, sources: list[str | None], prompts: list[str | None], extras: list[str | None], answers: list[str | None]) -> Iterator[tuple[dict[str, tuple[int, ...]], dict[str, tuple[int, ...]]]]:
+        """The votes of each pair, and by defect those on that defect of its spoiled answer; a null prompt or answer isn't spoiled.
+
+        An answer of another language is one of the next pairs of the batch, so
+        its languages are known.
+        """
+        whole = [i for i, (p, a) in enumerate(zip(prompts, answers, strict=True)) if p is not None and a is not None]
+        prompts, extras = [p or "" for p in prompts], [x or "" for x in extras]
+        spoken: list[tuple[int, ...]] = [(0, 0, 0)] * len(prompts)
+        far: dict[int, tuple[str, tuple[int, ...]]] = {}
+        if self.languages.languages:
+            asked, given = asked_languages(self.languages, prompts, extras), given_languages(self.languages, [a or "" for a in answers])
+            spoken = _excused(compared_languages(asked, given), prompts)
+            asks = pc.match_substring_regex(pa.array(prompts, pa.string()), _ANY_LANGUAGE_STEM).to_pylist()
+            after = next_other(asked[2][whole], given[0][whole])
+            chosen = [(i, whole[j]) for i, j in zip(whole, after.tolist(), strict=True) if j >= 0 and not (asks[i] and _ASKS_LANGUAGE.search(prompts[i]))]
+            i, j = np.array(chosen, np.int64).reshape(-1, 2).T
+            for (at, other), v in zip(chosen, compared_languages(tuple(x[i] for x in asked), tuple(x[j] for x in given)).tolist(), strict=True):
+                far[at] = answers[other], tuple(v)
+        spoil_at = set(whole)
+        for k, votes in enumerate(self._votes(sources, prompts, extras, answers, spoken)):
+            p, x, a = prompts[k], extras[k], answers[k]
+            other, heard = far.get(k, ("", (0, 0, 0)))
+            made = spoil(p, a, other, random.Random(f"{p}/{a}")) if k in spoil_at else []
+            yield votes, {d: self._vote_on(d, sources[k], p, x, bad, heard) for d, bad in made}
 
     def _vote(self, defect: str, source: str | None, prompt: str, extra: str, answer: str, spoken: tuple[int, ...]) -> tuple[int, ...]:
         if defect == "truncated":
@@ -495,18 +601,33 @@ _LONG_REFUSALS = (
 )
 
 
-def spoil(prompt: str, extra: str, answer: str, other: str, rng: random.Random) -> list[tuple[str, str]]:
-    """(defect, answer made defective) for validation; ``other`` is an answer of another language."""
+_SHORT_REFUSALS = ("I'm sorry, but I can't help with that.", "Sorry, I am not able to assist with this request.", "Leider kann ich diese Frage nicht beantworten.", "Je ne peux pas répondre à cette demande.", "Lo siento, no puedo ayudar con eso.", "I won't provide that information.")
+
+
+def next_other(of_prompt: np.ndarray, of_answer: np.ndarray, reach: int = 40) -> np.ndarray:
+    """By pair the nearest pair less than ``reach`` after it whose answer is known to be of another language than its prompt, -1 if there is none."""
+    n = len(of_prompt)
+    at = np.arange(n)
+    out = np.full(n, -1)
+    for lang in np.unique(of_prompt[of_prompt >= 0]):
+        other = np.where((of_answer >= 0) & (of_answer != lang), at, n)
+        after = np.append(np.minimum.accumulate(other[::-1])[::-1], n)[1:]
+        out = np.where((of_prompt == lang) & (after < np.minimum(n, at + reach)), after, out)
+    return out
+
+
+def spoil(prompt: str, answer: str, other: str, rng: random.Random) -> list[tuple[str, str]]:
+    """(defect, answer made defective) for validation; ``other`` is an answer of another language that the prompt doesn't ask for, or empty."""
     out = [("empty", rng.choice(["", "   ", "n/a", "[no response]", "-", "None", "<blank>"]))]
     if len(prompt.split()) >= 5:
         out.append(("copy", rng.choice([prompt, prompt.upper(), f"Q: {prompt}", f"> {prompt}", prompt.lower().replace(",", "")])))
-    if other and not _ASKS_LANGUAGE.search(prompt):
+    if other:
         out.append(("language", other))
     if len(answer) > 60:
         cut = rng.randrange(30, len(answer) - 10)
         if answer[cut - 1].isalnum() and answer[cut].isalnum():
             out.append(("truncated", answer[:cut]))
-    out.append(("refusal", rng.choice(["I'm sorry, but I can't help with that.", "Sorry, I am not able to assist with this request.", "Leider kann ich diese Frage nicht beantworten.", "Je ne peux pas répondre à cette demande.", "Lo siento, no puedo ayudar con eso.", "I won't provide that information.", *_LONG_REFUSALS])))
+    out.append(("refusal", rng.choice([*_SHORT_REFUSALS, *_LONG_REFUSALS])))
     return out
 
 
@@ -539,6 +660,10 @@ def fit_voters(alpaca: DataFrame, chat: DataFrame, truncation: TruncationModel,
 _SQL_ASKS = "translat|übersetz|tradu|перевед|english|german|french|spanish|portug|russian|deutsch|français|español|rewrite|rephrase|correct|polish|spelling|paraphras"
 
 
+#: Columns of the votes on the spoiled answers of a pair.
+_SPOILED = tuple(f"spoiled_{d}" for d in DEFECTS)
+
+
 def find_defects(alpaca: DataFrame, chat: DataFrame, voters: Voters, keep: float = 0.97) -> tuple[DataFrame, dict[str, float]]:
     """(sample_id, turn, defect, posterior of each defective pair; cutoff by defect).
 
@@ -546,22 +671,22 @@ def find_defects(alpaca: DataFrame, chat: DataFrame, voters: Voters, keep: float
     spoiled answers, made of all pairs.  A null answer is empty;
     a null prompt excludes only the language defect; repeated rows count once.
     """
-    spark = alpaca.sparkSession
-    shared = spark.sparkContext.broadcast(voters.state())
-    base = pairs(alpaca, chat)
+    shared = alpaca.sparkSession.sparkContext.broadcast(voters.state())
 
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Voters.of(shared.value)
         for b in batches:
-            columns = [[v if isinstance(v, str) else None for v in b[c]] for c in ("source", "prompt", "extra", "answer")]
-            rows = [[code(v[d]) for d in DEFECTS] for v in own.votes(*columns)]
-            out = pd.DataFrame(rows, columns=list(DEFECTS)).astype("int32")
-            yield pd.concat([b[["sample_id", "turn"]].reset_index(drop=True), out], axis=1)
-
-    voted = persist_table(base.mapInPandas(vote, "sample_id long, turn int, " + ", ".join(f"{d} int" for d in DEFECTS)).distinct())
-    grouped = voted.groupBy(*DEFECTS).count().toPandas()  # at most 3 to the number of voters rows
+            columns = [b.column(c).to_pylist() for c in ("source", "prompt", "extra", "answer")]
+            rows = [[*(code(v[d]) for d in DEFECTS), *(code(bad[d]) if d in bad else None for d in DEFECTS)] for v, bad in own.votes_and_spoiled(*columns)]
+            patterns = [pa.array(x, pa.int32()) for x in (zip(*rows, strict=True) if rows else [[]] * 2 * len(DEFECTS))]
+            yield pa.RecordBatch.from_arrays([b.column("sample_id"), b.column("turn"), *patterns], names=["sample_id", "turn", *DEFECTS, *_SPOILED])
+
+    base = pairs(alpaca, chat).select(F.col("sample_id").cast("long"), F.col("turn").cast("int"), *(F.col(c).cast("string") for c in ("source", "prompt", "extra", "answer")))
+    rows = persist_table(base.mapInArrow(vote, "sample_id long, turn int, " + ", ".join(f"{c} int" for c in (*DEFECTS, *_SPOILED))))
+    voted = rows.select("sample_id", "turn", *DEFECTS)
+    grouped = voted.distinct().groupBy(*DEFECTS).count().toPandas()  # at most 3 to the number of voters rows
     posterior = {d: label_model(grouped.groupby(d)["count"].sum().to_dict(), VOTERS[d]) for d in DEFECTS}
-    cutoffs = _validated(base, shared, posterior, keep)
+    cutoffs = _validated(rows, posterior, keep)
     named = [
         F.struct(F.lit(d).alias("defect"), F.coalesce(_lookup(F.col(d), posterior[d]), F.lit(0.0)).alias("posterior"), F.lit(cutoffs[d]).alias("cutoff"))
         for d in DEFECTS
@@ -577,27 +702,10 @@ def _lookup(col, table: dict[int, float]):
     return F.create_map(*(x for k, v in likely.items() for x in (F.lit(int(k)), F.lit(float(v)))))[col]
 
 
-def _validated(base: DataFrame, shared, posterior: dict[str, dict[int, float]], keep: float) -> dict[str, float]:
-    """Cutoff by defect; each task counts the patterns of its spoiled answers, at most 3 to the number of voters a defect."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Voters.of(shared.value)
-        counts: Counter = Counter()
-        for b in batches:
-            prompts, answers = b["prompt"].tolist(), b["answer"].tolist()
-            sources, extras = ([v if isinstance(v, str) else None for v in b[c]] for c in ("source", "extra"))
-            of_prompt, of_answer = (leading(own.languages.score([prose(t) for t in texts])[0], 3.0) if own.languages.languages else np.full(len(b), -1) for texts in (prompts, answers))
-            made = []
-            for k, (p, x, a) in enumerate(zip(prompts, extras, answers, strict=True)):
-                far = next((answers[j] for j in range(k + 1, min(len(b), k + 40)) if of_prompt[k] >= 0 and of_answer[j] >= 0 and of_answer[j] != of_prompt[k]), "")
-                made += [(d, k, bad) for d, bad in spoil(p, x or "", a, far, random.Random(f"{p}/{a}"))]
-            named = [d for d, *_ in made]
-            votes = own.votes_on(named, [sources[k] for _, k, _ in made], [prompts[k] for _, k, _ in made], [extras[k] for _, k, _ in made], [bad for *_, bad in made])
-            counts.update((d, code(v)) for d, v in zip(named, votes, strict=True))
-        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["defect", "pattern", "count"]).astype({"pattern": "int32", "count": "int64"})
-
-    spoiled = base.where("answer is not null and prompt is not null").mapInPandas(run, "defect string, pattern int, count long")
-    made = spoiled.groupBy("defect", "pattern").agg(F.sum("count").alias("count")).toPandas()
+def _validated(rows: DataFrame, posterior: dict[str, dict[int, float]], keep: float) -> dict[str, float]:
+    """Cutoff by defect, from the patterns of the spoiled answers of all pairs: at most 3 to the number of voters a defect."""
+    spoiled = F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.col(c).alias("pattern")) for d, c in zip(DEFECTS, _SPOILED, strict=True)))).alias("x")
+    made = rows.select(spoiled).where("x.pattern is not null").groupBy("x.defect", "x.pattern").count().toPandas()
     out = {}
     for d in DEFECTS:
         mine = made[made["defect"] == d]

@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -44,6 +45,9 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _STRIP = " \t\r\n.,;:!?…'\"“”‘’«»()[]{}*_`>"
 _LIST = re.compile(r"^\s*(?:[-*•+]|\d+[.)])\s")
 _LOG = re.compile(r"^\d{4}-\d\d-\d\dT|^\[?\d{4}-\d\d-\d\d[ T]")
+_MARK = re.compile(r"[.!?](?=\s|$)")
+_CAPITAL = re.compile(r"[.!?]\s+[A-ZÀ-Ý]")
+_ALL64 = (1 << 64) - 1
 
 
 def values(alpaca: DataFrame, chat: DataFrame) -> DataFrame:
@@ -95,10 +99,12 @@ def _end_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return cells, np.concatenate([e[inner], e[two], e[inner]])
 
 
-def pair_cell(a: str, b: str) -> int:
-    x, y = (np.array([xxhash.xxh64_intdigest("w" + w)], np.uint64) for w in (a, b))
-    with np.errstate(over="ignore"):
-        return int(mix(x * np.uint64(3) + y)[0] >> np.uint64(64 - CELL_BITS))
+def pair_cell(x: int, y: int) -> int:
+    """Cell of two words by their hashes, as ``mix`` makes it of arrays."""
+    x = x * 3 + y & _ALL64
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _ALL64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _ALL64
+    return (x ^ x >> 31) >> (64 - CELL_BITS)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +147,7 @@ class TruncationModel:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1 << WEIGHT_BITS, np.float32))
     bias: float = 0.0
     slots: dict[str, int] = field(default_factory=dict, repr=False)
+    paid: dict[str, float] = field(default_factory=dict, repr=False)
     words: dict[str, tuple] = field(default_factory=dict, repr=False)
 
     def state(self) -> dict:
@@ -150,13 +157,15 @@ class TruncationModel:
     def evidence(self, cell: int) -> tuple[int, int]:
         """(occurrences, how often they end something), both in steps of powers of two."""
         n, e = int(self.total[cell]), int(self.ends[cell])
-        return min(n.bit_length(), 8), -1 if n == 0 else (0 if e == 0 else 1 + min(6, int(np.log2((e + 0.5) / (n + 1)) + 7)))
+        return min(n.bit_length(), 8), -1 if n == 0 else (0 if e == 0 else 1 + min(6, int(math.log2((e + 0.5) / (n + 1)) + 7)))
 
     def word(self, w: str) -> tuple:
+        """(core in lower case, shape, evidence of both, hash of the core)."""
         found = self.words.get(w)
         if found is None:
-            c = core(w)
-            found = (c, shape(w), self.evidence(_cell(c.lower(), "w")), self.evidence(_cell(shape(w), "s")))
+            c, s = core(w).lower(), shape(w)
+            h = xxhash.xxh64_intdigest("w" + c)
+            found = (c, s, self.evidence(h >> (64 - CELL_BITS)), self.evidence(_cell(s, "s")), h)
             if len(self.words) > 300_000:
                 self.words.clear()
             self.words[w] = found
@@ -185,17 +194,17 @@ class TruncationModel:
         fence = value.count("```")
         line = tail.rpartition("\n")[2]
         kind = "code" if fence % 2 else "fence" if tail.endswith("```") else "log" if _LOG.match(line) else "list" if _LIST.match(line) else "prose"
-        marks = len(re.findall(r"[.!?](?=\s|$)", text[:-1]))
+        marks = len(_MARK.findall(text[:-1]))
         first = next((ch for ch in text if ch.isalpha()), "A")
-        loose = first.islower() and (marks == 0 or not re.search(r"[.!?]\s+[A-ZÀ-Ý]", text))
+        loose = first.islower() and (marks == 0 or not _CAPITAL.search(text))
         size = "1" if chars < 24 and len(words) == 1 else "few" if len(words) < 5 else "many"
-        limit = self.at_limit(source, chars, len(value.encode()))
+        limit = self.at_limit(source, chars, chars if value.isascii() else len(value.encode()))
         style = f"{kind}/{'closed' if closed else 'open'}/{'casual' if loose else 'formal'}"
         out = [f"style={style}", f"char={text[-1] if not text[-1].isalnum() else 'd' if text[-1].isdigit() else 'x'}/{kind}", f"limit={limit}/{closed}", f"size={size}/{closed}/{kind}", f"blank={value != text}/{closed}", f"marks={min(marks, 3)}/{style}"]
         if not closed:
-            c, s, w, f = self.word(last)
-            p = self.evidence(pair_cell(self.word(before)[0].lower(), c.lower())) if before else (0, -1)
-            out += [f"word={w}/{kind}", f"wordend={w[1]}/{style}/{size}", f"pair={p}/{kind}", f"pairend={p[1]}/{style}/{size}", f"form={f}/{kind}", f"shape={s}/{kind}/{size}", f"runs={_RUNS.sub('0', s)}/{kind}/{size}", f"last={c.lower()}", f"both={w}/{p}", f"end3={text[-3:]}", f"quote={(text.count('“') - text.count('”'))}/{text.count(chr(34)) % 2}/{text.count('(') - text.count(')')}"]
+            c, s, w, f, h = self.word(last)
+            p = self.evidence(pair_cell(self.word(before)[4], h)) if before else (0, -1)
+            out += [f"word={w}/{kind}", f"wordend={w[1]}/{style}/{size}", f"pair={p}/{kind}", f"pairend={p[1]}/{style}/{size}", f"form={f}/{kind}", f"shape={s}/{kind}/{size}", f"runs={_RUNS.sub('0', s)}/{kind}/{size}", f"last={c}", f"both={w}/{p}", f"end3={text[-3:]}", f"quote={(text.count('“') - text.count('”'))}/{text.count(chr(34)) % 2}/{text.count('(') - text.count(')')}"]
             if kind in ("log", "list"):
                 # whether the last record ends as the nearest one before it does, by its last two words
                 above = next((x.split() for x in reversed(tail[: -len(line) - 1].split("\n")) if (_LOG if kind == "log" else _LIST).match(x)), None)
@@ -227,7 +236,16 @@ class TruncationModel:
         """Log odds that the value is cut; blank values are complete."""
         if value is None or not value.strip():
             return -30.0
-        return float(self.weights[self.indices(self.features(source, value))].sum()) + self.bias
+        paid = self.paid
+        if len(paid) > 300_000:
+            paid.clear()
+        odds = self.bias
+        for f in self.features(source, value):
+            v = paid.get(f)
+            if v is None:
+                v = paid[f] = float(self.weights[zlib.crc32(f.encode()) & ((1 << WEIGHT_BITS) - 1)])
+            odds += v
+        return odds
 
 
 def find_limits(lengths: DataFrame) -> DataFrame:
@@ -375,7 +393,7 @@ def fit_truncation(cells: DataFrame, seed: int = 3, sample: int = SAMPLE) -> Tru
         z = np.array([weights[r].sum() + bias for r in x])
         clean = np.flatnonzero((y == 1) | (z < 0.5))
         model.weights, model.bias = logistic([x[i] for i in clean], y[clean])
-    model.slots.clear(), model.words.clear()
+    model.slots.clear(), model.words.clear(), model.paid.clear()
     return model
 
 

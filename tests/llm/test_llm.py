@@ -532,6 +532,36 @@ def test_cutoffs_come_from_all_answers(spark, monkeypatch):
         assert [voters.votes_on([d], ["s"], ["Why is that so?"], [None], [answer])[0] for d in defects.DEFECTS] == [every[d] for d in defects.DEFECTS]
 
 
+def test_votes_and_cutoffs_take_one_pass(spark, languages, cut_model, monkeypatch):
+    """Answers and their spoiled copies are voted on in one pass, which reads the languages of a text once and votes as separate passes do."""
+    a, c = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("alpaca_samples", "chat_samples"))
+    rows = defects.pairs(a, c).orderBy("sample_id", "turn").limit(400).collect()
+    columns = [[r[x] for r in rows] for x in ("source", "prompt", "extra", "answer")]
+    sources, prompts, extras, answers = columns
+    voters = defects.Voters(cut_model, languages, defects.RefusalModel())
+    whole = [k for k, r in enumerate(rows) if r["prompt"] is not None and r["answer"] is not None]
+    of = lambda texts: language.leading(languages.score([defects.prose(t) for t in texts])[0], 3.0)
+    of_prompt, of_answer = of([prompts[k] for k in whole]), of([answers[k] for k in whole])
+    expected: list[dict] = [{} for _ in rows]
+    for i, k in enumerate(whole):
+        far = next((answers[whole[j]] for j in range(i + 1, min(len(whole), i + 40)) if of_prompt[i] >= 0 and of_answer[j] >= 0 and of_answer[j] != of_prompt[i]), "")
+        made = defects.spoil(prompts[k], answers[k], "" if defects._ASKS_LANGUAGE.search(prompts[k]) else far, random.Random(f"{prompts[k]}/{answers[k]}"))
+        n = len(made)
+        expected[k] = dict(zip([d for d, _ in made], voters.votes_on([d for d, _ in made], [sources[k]] * n, [prompts[k]] * n, [extras[k]] * n, [x for _, x in made]), strict=True))
+    every = voters.votes(*columns)
+    scored, score = [], language.LanguageModel.score
+    monkeypatch.setattr(language.LanguageModel, "score", lambda self, texts: scored.extend(texts) or score(self, texts))
+    assert list(voters.votes_and_spoiled(*columns)) == list(zip(every, expected, strict=True))
+    assert all(sum(d in x for x in expected) > 100 for d in defects.DEFECTS)
+    reworded = sum(bool((x or "").strip() and defects._ASKS_REWORDING.search(p or "")) for p, x in zip(prompts, extras, strict=True))
+    assert len(scored) == len(rows) + reworded + sum(bool(x) for r in answers for x in defects._SENTENCE.split(defects.prose(r or "")))
+    passes, frame = [], type(a)
+    for name in ("mapInPandas", "mapInArrow"):
+        monkeypatch.setattr(frame, name, lambda self, *args, _call=getattr(frame, name), **more: passes.append(1) or _call(self, *args, **more))
+    defects.find_defects(a, c, voters)
+    assert len(passes) == 1
+
+
 def test_closed_answers_can_be_cut(spark, cut_model):
     """Truncated answers of p5 are those of p2, whatever they end with."""
     answers = ["The relay needs at least version 4.", "Set the lifetime of the token to v2.", "It listens on port 443 and on", "Keep the keys in a safe."]

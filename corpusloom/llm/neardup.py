@@ -15,13 +15,14 @@ longer one, counted with multiplicity and in any order.  The search is exact.
    different levels: if all prefix tokens of one are rare, so is the shared one.
 4. Each key carries the text's size and a 256-bit parity of its tokens.  Bits
    that differ bound the symmetric difference from below, so pairs that cannot
-   reach the threshold end inside the join.  Texts of ``WIDE`` words or more,
+   reach the threshold end where they meet.  Texts of ``WIDE`` words or more,
    which may differ in more tokens than 256 bits can tell, carry 768 bits
    besides.  The rest is verified on tokens.
-5. Rows of each key are counted where the exchange has brought them together.
-   Keys of more than ``HOT`` rows, as a template repeated with other values has
-   them, are spread over blocks of that size, so no task meets more than
-   ``HOT`` rows of a key with as many others.
+5. Rows are exchanged and sorted by key once and meet on Arrow batches: those
+   of a key by size, each with the rows after it that aren't too long for it,
+   so no pair is looked at twice.  Keys of more than ``HOT`` rows, as a
+   template repeated with other values has them, are spread over blocks of that
+   size, so no task meets more than ``HOT`` rows of a key with as many others.
 6. Only the first text of a class is matched.  Keys of large tables are written
    once, a row a text, and meet in up to ``ROUNDS`` rounds, each of its share of
    the keys; what a round has shuffled is deleted before the next.
@@ -58,10 +59,12 @@ WIDE, MORE = 250, 12
 #: Classes that a task remembers, so that copies of a text are matched once a task.
 REMEMBERED = 1 << 18
 
+#: Rows of keys, and pairs of them, that a task looks at together.
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 1 << 17, 1 << 17
+
 _SCAN = "id long, grp long, bag long, n int, cell int, df long"
-_BITS, _MORE_BITS = [f"s{i}" for i in range(4)], [f"e{i}" for i in range(MORE)]
-_ROW = ("n", *_BITS, *_MORE_BITS)
-_KEYS = "bag long, n int, " + ", ".join(f"{c} long" for c in (*_BITS, *_MORE_BITS)) + ", keys array<array<long>>"
+_KEYS = "bag long, n int, bits binary, keys array<array<long>>"
+_MET = "bag_a long, bag_b long, key long, bag long, n int, bits binary"
 
 
 @dataclass
@@ -171,6 +174,19 @@ def parity(rows: np.ndarray, tokens: np.ndarray, count: int, words: int = 4) ->
     return np.packbits(odd.reshape(count, bits), axis=1, bitorder="little").view(np.int64)
 
 
+def _parities(rows: np.ndarray, tokens: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Parity bits of each row, and the further ones of long texts behind them."""
+    wide = n >= WIDE
+    ends = np.cumsum(np.where(wide, 4 + MORE, 4))
+    at = ends - np.where(wide, 4 + MORE, 4)
+    flat = np.empty(ends[-1] if len(n) else 0, np.int64)
+    flat[at[:, None] + np.arange(4)] = parity(rows, tokens, len(n))
+    of_wide, some = np.cumsum(wide) - 1, wide[rows]
+    flat[at[wide][:, None] + 4 + np.arange(MORE)] = parity(of_wide[rows[some]], tokens[some], int(wide.sum()), MORE)
+    offsets = np.concatenate([[0], ends * 8]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+
 def _lists(key: np.ndarray, at: np.ndarray, count: int, rounds: int) -> pa.Array:
     """Keys of each of ``count`` rows, as a list of each round."""
     place = at * rounds + (key % np.uint64(rounds)).astype(np.int64)
@@ -198,17 +214,9 @@ def _keyed(df_cells, threshold: float, rounds: int):
             keep[first[new]] = True
             of_kept = keep[rows]
             key, at = match_keys(rows[of_kept], tokens[of_kept], np.where(keep, n, 0), grp, df, rank, threshold)
-            bits = parity(rows, tokens, len(n))
-            wide = np.flatnonzero(n >= WIDE)
-            of_wide = np.full(len(n), -1)
-            of_wide[wide] = np.arange(len(wide))
-            some = of_wide[rows] >= 0
-            more = np.zeros((len(n), MORE), np.int64)
-            more[wide] = parity(of_wide[rows[some]], tokens[some], len(wide), MORE)
-            none = n < WIDE
             kept = pa.array(np.flatnonzero(keep))
-            arrays = [pa.array(bag.view(np.int64)), pa.array(n.astype(np.int32)), *(pa.array(bits[:, i]) for i in range(4)), *(pa.array(more[:, i], mask=none) for i in range(MORE)), _lists(key, at, len(n), rounds)]
-            yield pa.RecordBatch.from_arrays([x.take(kept) for x in arrays], names=["bag", *_ROW, "keys"])
+            arrays = [pa.array(bag.view(np.int64)), pa.array(n.astype(np.int32)), _parities(rows, tokens, n), _lists(key, at, len(n), rounds)]
+            yield pa.RecordBatch.from_arrays([x.take(kept) for x in arrays], names=["bag", "n", "bits", "keys"])
 
     return run
 
@@ -229,34 +237,141 @@ def _blocks(keys: DataFrame) -> DataFrame:
     return own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
 
 
-def _close(threshold: float) -> Column:
-    """Whether rows a and b, of different bags, may share enough words by their sizes and parities."""
-    apart = lambda bits: sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in bits), F.lit(0))
-    need = F.ceil(F.greatest("a.n", "b.n") * threshold - 1e-9)
-    room = F.col("a.n") + F.col("b.n") - 2 * need
-    return (F.col("a.bag") < F.col("b.bag")) & (F.least("a.n", "b.n") >= need) & (apart(_BITS) <= room) & F.coalesce(apart(_MORE_BITS) <= room, F.lit(True))
+def close_pairs(run: np.ndarray, n: np.ndarray, words: np.ndarray, at: np.ndarray, side: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of one run that may share enough words by their sizes and parities.
+
+    Rows come by run, then by size.  ``words`` holds the parities, those of row
+    i from ``at[i]`` up to ``at[i + 1]``.  Rows of one side, unless it is
+    negative, are no pair.
+    """
+    need = _need(n, threshold)
+    spare = n - 2 * need
+    first = np.ascontiguousarray(words[at[:-1, None] + np.arange(4)].T)
+    wide = np.diff(at) > 4
+    # partners as long or longer follow a row, up to where they are too long
+    longest = np.minimum(np.floor((n + 1e-6) / threshold), 2**32 - 1).astype(np.int64)
+    count = np.searchsorted(run << 32 | n, run << 32 | longest, side="right") - np.arange(len(n)) - 1
+    ends = np.cumsum(count)
+    lo = 0
+    while lo < len(n):
+        done = ends[lo] - count[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, side="right")))
+        c, own = count[lo:hi], np.arange(lo, hi)
+        of = lambda x: np.repeat(x[lo:hi], c)
+        i = np.repeat(own, c)
+        j = np.arange(len(i)) + np.repeat(own + 1 - (ends[lo:hi] - c - done), c)
+        # half of the bits end nearly all pairs
+        apart = np.bitwise_count(of(first[0]) ^ first[0][j]) + np.bitwise_count(of(first[1]) ^ first[1][j])
+        ok = np.flatnonzero(apart <= of(n) + spare[j])
+        i, j, apart = i[ok], j[ok], apart[ok].astype(np.int64)
+        apart += np.bitwise_count(first[2][i] ^ first[2][j])
+        apart += np.bitwise_count(first[3][i] ^ first[3][j])
+        ok = (apart <= n[i] + spare[j]) & (need[j] <= n[i])
+        if side is not None:
+            ok &= (side[i] < 0) | (side[i] != side[j])
+        i, j = i[ok], j[ok]
+        both = np.flatnonzero(wide[i] & wide[j])
+        ok = np.ones(len(i), bool)
+        more = 4 + np.arange(MORE)
+        apart = np.bitwise_count(words[at[i[both], None] + more] ^ words[at[j[both], None] + more]).sum(axis=1, dtype=np.int64)
+        ok[both] = apart <= (n[i] + spare[j])[both]
+        if ok.any():
+            yield i[ok], j[ok]
+        lo = hi
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches in tables of ``ROWS_AT_ONCE`` rows or more, but for the last."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += len(batch)
+        if size >= ROWS_AT_ONCE:
+            yield pa.Table.from_batches(some)
+            some, size = [], 0
+    if size:
+        yield pa.Table.from_batches(some)
+
+
+def _by_size(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """Rows by key, size and bag, each bag of a key once, and numbers of their keys."""
+    key, bag, n = (rows.column(c).to_numpy() for c in ("key", "bag", "n"))
+    run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    order = np.lexsort((bag, run << 32 | n))
+    run, bag = run[order], bag[order]
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (bag[1:] != bag[:-1])
+    return rows.take(pa.array(order[new])), run[new]
+
+
+def _pairs_of(rows: pa.Table, run: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    bag, n = rows.column("bag").to_numpy(), rows.column("n").to_numpy().astype(np.int64)
+    side = rows.column("side").to_numpy() if "side" in rows.column_names else None
+    bits = pa.concat_arrays(rows.column("bits").cast(pa.large_binary()).chunks)
+    _, offsets, data = bits.buffers()
+    at = np.frombuffer(offsets, np.int64)[bits.offset : bits.offset + len(bits) + 1] >> 3
+    words = np.frombuffer(data, np.uint64, count=int(at[-1]))
+    for i, j in close_pairs(run, n, words, at, side, threshold):
+        a, b = np.minimum(bag[i], bag[j]), np.maximum(bag[i], bag[j])
+        none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *none], names=["bag_a", "bag_b", "key", "bag", "n", "bits"])
+
+
+def _unmatched(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    none = pa.nulls(len(rows), pa.int64())
+    columns = [none, none, *(rows.column(c) for c in ("key", "bag", "n", "bits"))]
+    yield from pa.table(columns, names=["bag_a", "bag_b", "key", "bag", "n", "bits"]).to_batches()
+
+
+def _meeting(threshold: float, hot: int | None):
+    """Pairs of rows that come sorted by key; rows of keys of more than ``hot`` rows pass unmatched."""
+
+    def met(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows, run = _by_size(rows)
+        if hot is not None and len(run) and (many := np.bincount(run)[run] > hot).any():
+            yield from _unmatched(rows.filter(pa.array(many)))
+            rows, run = rows.filter(pa.array(~many)), run[~many]
+        if len(run):
+            yield from _pairs_of(rows, run, threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, passing = None, None
+        for rows in _together(batches):
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            key = rows.column("key").to_numpy()
+            if passing is not None and (past := int(np.searchsorted(key, passing, side="right"))):
+                yield from _unmatched(rows.slice(0, past))
+                rows, key = rows.slice(past), key[past:]
+            held = None
+            if len(key):
+                # more rows of the last key may follow
+                last = int(np.searchsorted(key, key[-1]))
+                yield from met(rows.slice(0, last))
+                held = rows.slice(last)
+                if hot is not None and len(held) > hot and len(held := _by_size(held)[0]) > hot:
+                    yield from _unmatched(held)
+                    held, passing = None, key[-1]
+        if held is not None:
+            yield from met(held)
+
+    return run
 
 
 def _candidates(keys: DataFrame, threshold: float) -> DataFrame:
     """bag_a < bag_b of rows of one key that may share enough words.
 
-    Rows of hot keys pass the first join unmatched and are kept beside its
-    pairs; only if there are any they meet in blocks.
+    Rows of hot keys come unmatched beside the pairs of the others; only if
+    there are any they meet in blocks.
     """
-    parts = ("key", "bag", *_ROW, "m")
-    a, b = keys.where("m > 1").alias("a"), keys.where(F.col("m").between(2, HOT)).alias("b")
-    hot = F.when(F.col("a.m") > HOT, F.struct(*(F.col(f"a.{c}") for c in parts)))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & _close(threshold), "left").where((F.col("a.m") > HOT) | F.col("b.bag").isNotNull())
-    met = persist_table(met.select(F.col("a.bag").alias("bag_a"), F.col("b.bag").alias("bag_b"), hot.alias("hot")).distinct())
-    pairs, rest = met.where("hot is null").select("bag_a", "bag_b"), met.where("hot is not null").select("hot.*")
+    met = persist_table(keys.sortWithinPartitions("key").mapInArrow(_meeting(threshold, HOT), _MET).distinct())
+    pairs, rest = met.where("key is null").select("bag_a", "bag_b"), met.where("key is not null").select("key", "bag", "n", "bits")
     pairs._path = met._path
     if rest.head(1):
-        blocks = _blocks(rest)
-        a, b = blocks.alias("a"), blocks.alias("b")
-        same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "lo", "hi")]
+        blocks = _blocks(rest.withColumn("m", F.count("*").over(Window.partitionBy("key"))))
         # rows of one part meet in their own block only
-        once = (F.col("a.lo") == F.col("a.hi")) | (F.col("a.part") != F.col("b.part"))
-        more = a.join(b, same[0] & same[1] & same[2] & once & _close(threshold)).select(F.col("a.bag").alias("bag_a"), F.col("b.bag").alias("bag_b"))
+        side = F.when(F.col("lo") == F.col("hi"), -1).otherwise((F.col("part") == F.col("hi")).cast("int")).alias("side")
+        blocks = blocks.select(F.xxhash64("key", "lo", "hi").alias("key"), "bag", "n", "bits", side).repartition("key").sortWithinPartitions("key")
+        more = blocks.mapInArrow(_meeting(threshold, None), _MET).select("bag_a", "bag_b")
         pairs = persist_table(pairs.unionByName(more).distinct())
         drop_table(met)
     return pairs
@@ -264,12 +379,9 @@ def _candidates(keys: DataFrame, threshold: float) -> DataFrame:
 
 def _met(keyed: DataFrame, at: int, tasks: int, threshold: float) -> DataFrame:
     """Candidates of the keys of one round."""
-    # said here, as the optimizer would add it to one side of the join only, and the sides would have exchanges of their own
-    keys = keyed.select(F.explode(F.element_at("keys", at + 1)).alias("key"), "bag", *_ROW).where("key is not null")
+    keys = keyed.select(F.explode(F.element_at("keys", at + 1)).alias("key"), "bag", "n", "bits")
     keys = keys.repartition(tasks, "key") if tasks > int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")) else keys.repartition("key")
-    keys = keys.groupBy("key", "bag").agg(*(F.first(c).alias(c) for c in _ROW))
-    # one exchange serves the counts and both sides of the join
-    return _candidates(keys.withColumn("m", F.count("*").over(Window.partitionBy("key"))), threshold)
+    return _candidates(keys, threshold)
 
 
 def near_duplicates(texts: DataFrame, id_col: str, text: Column | str, group: Column | str | None = None, threshold: float = 0.85) -> NearDuplicates:

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +138,51 @@ def test_long_texts_end_inside_the_join(spark, monkeypatch):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+@pytest.mark.parametrize("seed, hot, at_once", [(1, None, 7), (2, 6, 7), (3, 6, 1 << 17), (4, 1, 3)])
+def test_rows_of_a_key_meet_once(monkeypatch, seed, hot, at_once):
+    """Pairs of close rows of each key, whatever the batches it comes in; rows of hot keys pass unmatched, copies of a row don't make a key hot."""
+    monkeypatch.setattr(neardup, "ROWS_AT_ONCE", at_once)
+    monkeypatch.setattr(neardup, "PAIRS_AT_ONCE", at_once)
+    rng = random.Random(seed)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.choice([1, 2, 7, 40, 246, 250, 290]))) for _ in range(12)]
+    texts += [edited(rng, t, max(1, len(t.split()) // rng.choice([8, 12, 40]))) for t in texts for _ in range(2)]
+    tokens_at, tokens, bag_hash, n = words.bags(pa.array(texts))
+    bags_of, bits = bag_hash.view(np.int64).tolist(), neardup._parities(tokens_at, tokens, n).to_pylist()
+    rows = [(key, rng.randrange(len(texts))) for key in range(-20, 20) for _ in range(rng.choice([1, 2, 5, 9, 30]))]
+    rows += [(99, 0)] * 25
+    table = pa.table({"key": pa.array([k for k, _ in rows]), "bag": pa.array([bags_of[t] for _, t in rows]), "n": pa.array([int(n[t]) for _, t in rows], pa.int32()), "bits": pa.array([bits[t] for _, t in rows])})
+    met = [r for b in neardup._meeting(0.85, hot)(iter(table.to_batches(max_chunksize=4))) for r in b.to_pylist()]
+
+    def close(a, b):
+        x, y = (np.frombuffer(bits[t], np.uint64) for t in (a, b))
+        longer = max(int(n[a]), int(n[b]))
+        need = int(np.ceil(0.85 * longer - 1e-9))
+        room = int(n[a]) + int(n[b]) - 2 * need
+        apart = np.bitwise_count(x[: len(y)] ^ y[: len(x)]).astype(int)
+        return min(n[a], n[b]) >= need and apart[:4].sum() <= room and apart[4:].sum() <= room
+
+    of_key = {k: {t for q, t in rows if q == k} for k, _ in rows}
+    of_key = {k: {min(t for t in ts if bags_of[t] == b) for b in {bags_of[t] for t in ts}} for k, ts in of_key.items()}
+    many = {k for k, ts in of_key.items() if hot is not None and len(ts) > hot}
+    assert 99 not in many and (hot is None or many)
+    want = sorted(tuple(sorted((bags_of[a], bags_of[b]))) for k, ts in of_key.items() if k not in many for a in ts for b in ts if a < b and close(a, b))
+    # each pair once a key
+    assert sorted((r["bag_a"], r["bag_b"]) for r in met if r["key"] is None) == want
+    assert bool(want) == (hot != 1)
+    assert {(r["key"], r["bag"], r["n"], r["bits"]) for r in met if r["key"] is not None} == {(k, bags_of[t], int(n[t]), bits[t]) for k in many for t in of_key[k]}
+
+
+def test_keys_are_sorted_once_and_not_joined(spark, monkeypatch):
+    """Rows of keys with their parities go through one exchange and one sort; no join looks at every pair in both orders."""
+    plans, former = [], neardup.persist_table
+    monkeypatch.setattr(neardup, "persist_table", lambda df: plans.append((df.columns, df._jdf.queryExecution().sparkPlan().toString())) or former(df))
+    texts = corpus(6)[:60]
+    found = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text")
+    assert found.links.count()
+    plan = next(p for columns, p in plans if columns[:2] == ["bag_a", "bag_b"])
+    assert "Join" not in plan and "Window" not in plan and plan.count("Sort ") == 1
+
+
 def test_pruned(spark, monkeypatch):
     rows = spark.range(20_000).select("id", F.lit(1).alias("_x")).unionByName(spark.createDataFrame([(None, 1)], "id long, _x int"))
     wanted = spark.range(0, 20_000, 50)
